@@ -85,7 +85,10 @@ class Codec:
         return b"".join(map(self.bpe.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-codec = lru_cache(2)(Codec)
+@lru_cache(2)
+def codec(path: str) -> Codec:
+    """One per Python worker."""
+    return Codec(path)
 
 
 @lru_cache(1)

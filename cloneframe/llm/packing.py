@@ -80,7 +80,10 @@ class WordEncoder:
         ]
 
 
-encoder = lru_cache(2)(WordEncoder)
+@lru_cache(2)
+def encoder(path: str) -> WordEncoder:
+    """One per Python worker."""
+    return WordEncoder(path)
 
 
 def pieces(

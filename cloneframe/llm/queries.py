@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, media, near_dedup, packing, secrets, token_counts
+from . import bpe_codec, media, near_dedup, packing, quality_rules, secrets, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_report(documents(spark, sf_dir))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir)).select("doc_id", *quality_rules.COLUMNS)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -39,6 +43,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_near_duplicates, op3_media_columns, op4_secret_scan, op8_best_fit_packing, op9_bpe_codec, op10_token_counts)
+    f.__name__: f for f in (op2_near_duplicates, op3_media_columns, op4_secret_scan, op5_quality_rules, op8_best_fit_packing, op9_bpe_codec, op10_token_counts)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.ORACLE}

@@ -126,7 +126,10 @@ class Scanner:
         return sorted(out, key=lambda s: (s[0], ORDER[s[2]], s[1]))
 
 
-scanner = lru_cache(1)(Scanner)
+@lru_cache(1)
+def scanner() -> Scanner:
+    """One per Python worker."""
+    return Scanner()
 
 
 def joined(spans) -> str:

@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame
 from .bpe import HeapCounter
 from .bpe_codec import _map
 
-counter = lru_cache(2)(HeapCounter)
+@lru_cache(2)
+def counter(path: str) -> HeapCounter:
+    """One per Python worker."""
+    return HeapCounter(path)
 
 
 def count_tokens(df: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
