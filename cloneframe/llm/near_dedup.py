@@ -17,7 +17,7 @@
 Skew: exact copies never meet in a bucket (2). Copies of one set meet only in
 partial aggregates and in joins whose inputs are written tables, which adaptive execution splits. A bucket
 of near copies costs as many comparisons as it has members. Tables that are read
-again are checkpointed in the shared folder.
+again are written in the shared folder.
 
 Defined results: null, empty and blank texts have 0 shingles and are linked with nothing;
 their component is their own id. Texts of one to four words are one shingle. Rows that share an id are one
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import slices
-from .frames import checkpointed
+from .frames import written
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 COORDINATES = BANDS * ROWS
@@ -210,13 +210,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over the links, for every node of a link."""
-    edges = checkpointed(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b"), F.col("a"))).distinct())
-    labels = checkpointed(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("_v")).select("node", F.least("node", "_v").alias("label"), F.lit(True).alias("moved")))
+    edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b"), F.col("a"))).distinct())
+    labels = written(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("_v")).select("node", F.least("node", "_v").alias("label"), F.lit(True).alias("moved")))
     while not labels.filter("moved").isEmpty():
         near = edges.join(labels.select(F.col("node").alias("u"), "label"), "u").groupBy(F.col("v").alias("node")).agg(F.min("label").alias("_near"))
         step = labels.select("node", F.col("label").alias("_old")).join(near, "node").select("node", "_old", F.least("_old", "_near").alias("_new"))
         jump = labels.select(F.col("node").alias("_new"), F.col("label").alias("_far"))
-        labels = checkpointed(
+        labels = written(
             step.join(jump, "_new").select("node", F.least("_new", "_far").alias("label"), (F.least("_new", "_far") < F.col("_old")).alias("moved"))
         )
     return labels.select("node", "label")
@@ -229,26 +229,26 @@ def _alike(n: str, m: str):
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document."""
-    sk = checkpointed(sketches(df, id_col, text_col))
-    classes = checkpointed(sk.filter("set_hash is not null").groupBy("set_hash").agg(F.min(id_col).alias("node")))
+    sk = written(sketches(df, id_col, text_col))
+    classes = written(sk.filter("set_hash is not null").groupBy("set_hash").agg(F.min(id_col).alias("node")))
     own = classes.select(F.col("set_hash"), F.col("node").alias(id_col))
-    bands = checkpointed(
+    bands = written(
         sk.join(own, ["set_hash", id_col])
         .select(F.col(id_col).alias("node"), F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("band"))
         .groupBy("band", "node")
         .agg(F.min("n").alias("n"))
     )
     shared = bands.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
-    bucket = checkpointed(bands.join(shared.select("band"), "band", "left_semi"))
-    ids = checkpointed(bucket.select(F.col("node").alias(id_col)).distinct())
+    bucket = written(bands.join(shared.select("band"), "band", "left_semi"))
+    ids = written(bucket.select(F.col("node").alias(id_col)).distinct())
     if not ids.isEmpty():
         small = ids.count() <= BROADCAST_IDS
-        sets = checkpointed(full_sets(df.join(F.broadcast(ids) if small else ids, id_col, "left_semi"), id_col, text_col).dropDuplicates(["node"]))
+        sets = written(full_sets(df.join(F.broadcast(ids) if small else ids, id_col, "left_semi"), id_col, text_col).dropDuplicates(["node"]))
         labels = components(_all_links(bucket, sets, ids.count()))
         named = classes.join(labels, "node", "left").select("set_hash", F.coalesce("label", "node").alias("component_id"))
     else:
         named = classes.select("set_hash", F.col("node").alias("component_id"))
-    named = checkpointed(named)
+    named = written(named)
     out = sk.select(id_col, "n_shingles", "set_hash").join(named, "set_hash", "left")
     component = F.when(F.col("set_hash").isNull(), F.col(id_col)).otherwise(F.col("component_id"))
     return out.select(id_col, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
@@ -265,18 +265,18 @@ def _all_links(bucket: DataFrame, sets: DataFrame, nodes: int) -> DataFrame:
             of = F.coalesce("label", "node")
             named = bucket.join(components(links), "node", "left").select("band", "node", "n", of.alias("label"))
             split = named.groupBy("band").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_k")).filter("_x < _y")
-            split = checkpointed(split.select("band", "_k"))
+            split = written(split.select("band", "_k"))
             pairs_open = split.agg(F.sum(F.col("_k") * (F.col("_k") - 1) / 2)).first()[0]
             if not pairs_open:
                 break
-            open_bucket = checkpointed(named.join(split, "band"))
+            open_bucket = written(named.join(split, "band"))
             if pairs_open <= OPEN_PAIRS * nodes or turn == CENTRES:
                 x, y = (open_bucket.select("band", *(F.col(c).alias(f"{c}{s}") for c in ("node", "n", "label"))) for s in "ab")
                 pairs = x.join(y, "band").filter((F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & _alike("na", "nb"))
                 pairs = pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
-                return checkpointed(links.union(verified(pairs, sets)))
+                return written(links.union(verified(pairs, sets)))
         centre = open_bucket.groupBy("band").agg(F.min(F.struct(turned.alias("_o"), "node", "n", "label")).alias("_c"))
-        centre = checkpointed(centre.select("band", F.col("_c.node").alias("a"), F.col("_c.n").alias("_na"), F.col("_c.label").alias("_la")))
+        centre = written(centre.select("band", F.col("_c.node").alias("a"), F.col("_c.n").alias("_na"), F.col("_c.label").alias("_la")))
         pairs = (
             open_bucket.join(centre, "band")
             .filter((F.col("node") != F.col("a")) & (F.col("label") != F.col("_la")) & _alike("n", "_na"))
@@ -284,5 +284,5 @@ def _all_links(bucket: DataFrame, sets: DataFrame, nodes: int) -> DataFrame:
             .distinct()
         )
         found = verified(pairs, sets)
-        links = checkpointed(found if links is None else links.union(found))
+        links = written(found if links is None else links.union(found))
     return links

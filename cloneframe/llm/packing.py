@@ -13,7 +13,7 @@
    so that one common length, even of a third of all rows, is spread over many tasks.
 
 The plan is bounded by the number of lengths and rounds, not by the rows; it is broadcast.
-The piece table (no ids unless asked for) is checkpointed, because the histogram and the
+The piece table (no ids unless asked for) is written to the shared folder, because the histogram and the
 placement both read it.
 
 Defined results: null and empty texts are one piece with the end id alone. Repeated rows
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .bpe import CACHE_WORDS, LETTERS, NUMBERS, PLAIN, SPACES, PairIndexBPE
 from .bpe_codec import slices
-from .frames import checkpointed
+from .frames import written
 
 _WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 #: Rounds of multiplicative weights, and their rate.
@@ -266,4 +266,4 @@ def pack(
     df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per piece of every text with its sequence and place: the pieces of a sequence fill it from 0 without gaps."""
-    return place(checkpointed(pieces(df, path, capacity, end_id, keep_ids, id_col, text_col)), capacity, id_col)
+    return place(written(pieces(df, path, capacity, end_id, keep_ids, id_col, text_col)), capacity, id_col)

@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, media, near_dedup, packing, quality_rules, secrets, token_counts
+from . import bpe_codec, license_scan, media, near_dedup, packing, quality_rules, secrets, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir)).drop("detections")
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -43,6 +47,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_near_duplicates, op3_media_columns, op4_secret_scan, op5_quality_rules, op8_best_fit_packing, op9_bpe_codec, op10_token_counts)
+    f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_media_columns, op4_secret_scan, op5_quality_rules, op8_best_fit_packing, op9_bpe_codec, op10_token_counts)
 }
-ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
