@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, license_scan, media, near_dedup, packing, quality_rules, secrets, token_counts
+from . import bpe_codec, license_scan, media, near_dedup, packing, quality_classifier, quality_rules, secrets, token_counts, url_filter
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).select("doc_id", *quality_rules.COLUMNS)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,6 +55,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_media_columns, op4_secret_scan, op5_quality_rules, op8_best_fit_packing, op9_bpe_codec, op10_token_counts)
+    f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_media_columns, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op7_url_filter, op8_best_fit_packing, op9_bpe_codec, op10_token_counts)
 }
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op7_url_filter": url_filter.ORACLE}
