@@ -286,3 +286,19 @@ def _all_links(bucket: DataFrame, sets: DataFrame, nodes: int) -> DataFrame:
         found = verified(pairs, sets)
         links = written(found if links is None else links.union(found))
     return links
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without those of a group other than its smallest id. Rows without an id stay; of rows that share an id one stays.
+
+    The ids that go are broadcast to the rows while they are few, else joined by shuffle.
+    """
+    found = near_duplicates(df.select(id_col, text_col), id_col, text_col)
+    gone = written(found.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct())
+    few = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    left = df.join(few(gone), id_col, "left_anti")
+    repeated = written(df.groupBy(id_col).count().filter(F.col("count") > 1).select(id_col))
+    if not repeated.isEmpty():
+        again = few(repeated)
+        left = left.join(again, id_col, "left_anti").unionByName(left.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+    return left.select(df.columns)

@@ -22,6 +22,7 @@ null id are scored, never learned from; labels of ids without a text are unused,
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,34 +160,57 @@ def fit(rows: DataFrame, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return mean, scale, weights
 
 
-def quality_scores(
-    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality"
-) -> DataFrame:
-    """(id, held_out, score, predicted) of every document."""
-    x = written(features(df, id_col, text_col))
-    known = (
+class Model:
+    """A fitted score: callable on a matrix of features. Without weights every score is the prior."""
+
+    def __init__(self, prior: float, parts: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
+        self.prior, self.parts = prior, parts
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if self.parts is None:
+            return np.full(len(x), self.prior)
+        mean, scale, w = self.parts
+        return 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w[:-1] + w[-1], -30, 30)))
+
+
+def learn(x: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_id: str = "doc_id", label_col: str = "quality") -> Model:
+    """A model from a table of features (id, x) that can be read again, and labels."""
+    known = written(
         labels.filter(F.col(label_id).isNotNull() & F.col(label_col).isin(0, 1))
         .filter(~held_out(label_id))
         .groupBy(F.col(label_id).alias(id_col))
         .agg(F.min(label_col).alias("_y"))
     )
-    known = written(known)
     seen = known.agg(F.count("*").alias("n"), F.sum("_y").alias("ones")).first()
     prior = float(seen["ones"] / seen["n"]) if seen["n"] else 1.0
-    model = None
-    if seen["n"] and 0 < seen["ones"] < seen["n"]:
-        rows = x.filter(F.col(id_col).isNotNull() & ~held_out(id_col)).join(known, id_col, "left")
-        model = fit(written(rows.select("x", F.coalesce(F.col("_y") == 1, F.lit(False)).alias("positive"))), prior)
+    if not seen["n"] or not 0 < seen["ones"] < seen["n"]:
+        return Model(prior, None)
+    rows = x.filter(F.col(id_col).isNotNull() & ~held_out(id_col)).join(known, id_col, "left")
+    return Model(prior, fit(written(rows.select("x", F.coalesce(F.col("_y") == 1, F.lit(False)).alias("positive"))), prior))
+
+
+def quality_scores(
+    df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "quality"
+) -> DataFrame:
+    """(id, held_out, score, predicted) of every document."""
+    x = written(features(df, id_col, text_col))
+    model = learn(x, labels, id_col, label_id, label_col)
     kind = df.schema[id_col].dataType.simpleString()
 
     def score(batches):
         for batch in batches:
-            if model is None:
-                s = np.full(batch.num_rows, prior)
-            else:
-                mean, scale, w = model
-                s = 1 / (1 + np.exp(-np.clip(((matrix(batch) - mean) / scale) @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model(matrix(batch)))], names=[id_col, "score"])
 
     scored = x.mapInArrow(score, f"`{id_col}` {kind}, score double")
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text scores 0.5 or more, as they are: learned as above, then scored row by row without a shuffle of texts."""
+    model = learn(written(features(df, id_col, text_col)), labels, id_col)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model(np.array([features_of(t or "") for t in texts], np.float64).reshape(-1, FEATURES)))
+
+    return df.filter(score(F.col(text_col)) >= 0.5)

@@ -85,28 +85,35 @@ def line_fails(line: Column) -> Column:
     return punctuation | navigation | F.lower(line).rlike(BOILERPLATE)
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_kept_words, kept, clean_text)."""
-    lines = F.filter(F.split("_text", "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")
+def with_rules(df: DataFrame, text_col: str = "text", name: str = "rules") -> DataFrame:
+    """``df`` with a struct ``name`` of all measures, the verdict ``kept`` and ``clean_text``."""
+    words, lines, good = (f"_{name}_{x}" for x in ("words", "lines", "good"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
     count_words = lambda lines: F.aggregate(lines, F.lit(0), lambda a, x: a + F.size(words_of(x))).cast("long")
-    base = (
-        df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-        .withColumns({"_words": words_of(F.col("_text")), "_lines": lines})
-        .withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x)))
-    )
-    measured = base.select(
-        id_col,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.regexp_replace("_text", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_words")).alias("n_repeat_words"),
-        count_words(F.col("_good")).alias("n_kept_words"),
-        F.array_join("_good", "\n").alias("clean_text"),
+    measures = {
+        "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "n_repeat_words": repeat_words(F.col(words)),
+        "n_kept_words": count_words(F.col(good)),
+        "clean_text": F.array_join(good, "\n"),
+    }
+    at = lambda c: F.col(f"{name}.{c}")
+    failed = (at("n_words") < MIN_WORDS) | (100 * at("n_repeat_words") > MAX_REPEAT_PERCENT * at("n_words"))
+    enough = 100 * (at("n_words") - at("n_kept_words")) <= MAX_LOST_PERCENT * at("n_words")
+    return (
+        df.withColumns({words: words_of(text), lines: F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACES)) != "")})
+        .withColumn(good, F.filter(lines, lambda x: ~line_fails(x)))
+        .withColumn(name, F.struct(*(c.alias(n) for n, c in measures.items())))
+        .withColumn(name, F.col(name).withField("base_failed", failed).withField("kept", ~failed & enough))
+        .drop(words, lines, good)
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    enough = 100 * (F.col("n_words") - F.col("n_kept_words")) <= MAX_LOST_PERCENT * F.col("n_words")
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & enough)
+
+
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_kept_words, clean_text, base_failed, kept)."""
+    return with_rules(df.select(id_col, text_col), text_col, "_rules").select(id_col, "_rules.*")
 
 
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

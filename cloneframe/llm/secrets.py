@@ -24,6 +24,7 @@ import re
 import zlib
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -179,7 +180,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with every secret in ``text_col`` replaced by a mark; null stays null, other columns stay as they are."""
 
     @F.pandas_udf("string")
-    def clean(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def clean(texts: pd.Series) -> pd.Series:
         find = scanner().spans
         return texts.map(lambda t: t if t is None or not (s := find(t)) else redacted(t, s), na_action="ignore")
 
