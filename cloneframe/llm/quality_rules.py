@@ -7,7 +7,7 @@ Line rules, in order:
 
 * punctuation: it ends without a closing sign, or a third of its words carry a sign of ``[#*$%&|<>]``;
 * navigation: a fifth of its words are separators standing alone, or it has five words or more, all in capitals;
-* boilerplate: it names a fixed phrase of web pages' frames (``BOILERPLATE``).
+* boilerplate: it has at most ``SHORT_LINE`` words and names a fixed phrase of web pages' frames (``BOILERPLATE``).
 
 All work is within a row: no shuffle, and memory is that of one text's words. Repeated 3-word windows are found by
 sorting (hash, place) numbers of a text; windows of equal hashes are then compared as strings, so counts
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[ \t\n\x0B\f\r]+"
-MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT = 50, 50, 50
+MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT, SHORT_LINE = 50, 50, 50, 25
 #: Phrases of page frames, in lower case.
 BOILERPLATE = (
     "javascript is disabled|enable javascript|use cookies|cookie policy|privacy policy|terms of use|terms of service|all rights reserved|"
@@ -82,7 +82,7 @@ def line_fails(line: Column) -> Column:
     punctuation = ~line.rlike(CLOSING) | (3 * F.regexp_count(line, F.lit(SYMBOL_WORD)) >= n)
     capitals = (n >= 5) & (line == F.upper(line)) & (line != F.lower(line))
     navigation = (5 * F.regexp_count(line, F.lit(SEPARATOR)) >= n) | capitals
-    return punctuation | navigation | F.lower(line).rlike(BOILERPLATE)
+    return punctuation | navigation | (n <= SHORT_LINE) & F.lower(line).rlike(BOILERPLATE)
 
 
 def with_rules(df: DataFrame, text_col: str = "text", name: str = "rules") -> DataFrame:
@@ -133,7 +133,7 @@ g AS (SELECT *, list_filter(lines, lambda x: NOT (
         OR 3 * len(list_filter(regexp_split_to_array(x, '[ \\t\\n\\x0b\\f\\r]+'), lambda y: regexp_matches(y, '[#*$%&|<>]'))) >= len(list_filter(regexp_split_to_array(x, '[ \\t\\n\\x0b\\f\\r]+'), lambda y: y <> ''))
         OR 5 * len(list_filter(regexp_split_to_array(x, '[ \\t\\n\\x0b\\f\\r]+'), lambda y: regexp_full_match(y, '[|»•·>/-]+'))) >= len(list_filter(regexp_split_to_array(x, '[ \\t\\n\\x0b\\f\\r]+'), lambda y: y <> ''))
         OR (len(list_filter(regexp_split_to_array(x, '[ \\t\\n\\x0b\\f\\r]+'), lambda y: y <> '')) >= 5 AND x = upper(x) AND x <> lower(x))
-        OR regexp_matches(lower(x), '{BOILERPLATE}'))) AS good FROM w),
+        OR (len(list_filter(regexp_split_to_array(x, '[ \\t\\n\\x0b\\f\\r]+'), lambda y: y <> '')) <= {SHORT_LINE} AND regexp_matches(lower(x), '{BOILERPLATE}')))) AS good FROM w),
 n AS (SELECT doc_id, txt, words, lines, len(words)::BIGINT AS n_words,
              list_sum([0] || list_transform(good, lambda x: len(list_filter(regexp_split_to_array(x, '[ \\t\\n\\x0b\\f\\r]+'), lambda y: y <> ''))))::BIGINT AS n_kept_words FROM g),
 tri AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS t FROM n, unnest(range(1, len(words) - 1)) AS r(i)),
