@@ -21,7 +21,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "error") -> None:
-    flat(df).write.mode(mode).option("header", True).option("sep", sep).csv(path)
+    flat(df).write.mode(mode).option("header", True).option("sep", sep).option("escape", '"').csv(path)
 
 
 def write_edges(edges: DataFrame, path: str, mode: str = "error") -> None:
