@@ -47,45 +47,61 @@ def subject_sample(reference: DataFrame, size: int, most: int = 120_000, subject
 
 @dataclass(frozen=True)
 class Recombination:
-    """A generation model of one chain.
+    """A generation model of a chain with V, D and J genes.
 
-    ``v``, ``j``: gene to germline nucleotides of its CDR3 part; ``d``: gene to nucleotides, empty for chains
-    without. Probabilities of genes, of trims, of insert lengths, and a first-order chain of inserted bases.
+    ``v``, ``d``, ``j``: gene to its kept nucleotides after trimming, (sequence, probability) each: of V from the conserved cysteine on, of
+    J up to the conserved last residue. ``p_v``, ``p_dj``: gene probabilities. Inserts have a length distribution and a
+    first-order chain of bases A, C, G, T that starts in its steady state; that between D and J runs from J towards D.
     """
 
-    v: dict[str, str]
-    j: dict[str, str]
-    d: dict[str, str]
+    v: dict[str, list[tuple[str, float]]]
+    d: dict[str, list[tuple[str, float]]]
+    j: dict[str, list[tuple[str, float]]]
     p_v: dict[str, float]
     p_dj: dict[tuple[str, str], float]
-    p_trim_v: list[float]
-    p_trim_j: list[float]
-    p_trim_d: list[float]
     p_insert_vd: list[float]
     p_insert_dj: list[float]
-    markov: list[list[float]]
+    markov_vd: list[list[float]]
+    markov_dj: list[list[float]]
+
+    @staticmethod
+    def trimmed(germline: str, left: list[float] | None = None, right: list[float] | None = None, palindrome: int = 0) -> list[tuple[str, float]]:
+        """Kept sequences of a germline with palindromic bases, ``left`` and ``right`` being the probabilities of losing 0, 1, ... of either end's extended bases."""
+        rc = germline[::-1].translate(str.maketrans("ACGT", "TGCA"))
+        head, tail = (rc[len(rc) - palindrome :] if palindrome and left else ""), (rc[:palindrome] if palindrome and right else "")
+        full, out = head + germline + tail, {}
+        for a, p in enumerate(left or [1.0]):
+            for b, q in enumerate(right or [1.0]):
+                if p * q and a + b <= len(full):
+                    kept = full[a : len(full) - b]
+                    out[kept] = out.get(kept, 0.0) + p * q
+        return list(out.items())
+
+    def first(self, chain: list[list[float]]) -> np.ndarray:
+        """The chain's steady state."""
+        m = np.array(chain, float)
+        x = np.linalg.lstsq(np.vstack([m.T - np.eye(4), np.ones(4)]), np.array([0, 0, 0, 0, 1.0]), rcond=None)[0]
+        return np.clip(x, 0, None) / np.clip(x, 0, None).sum()
 
     def draw(self, rng: np.random.Generator, v: str | None, j: str | None) -> tuple[str, str, str] | None:
-        """(nucleotides, V, J) of one event; None where a trim takes more than there is."""
-        pick = lambda keys, p: keys[int(np.searchsorted(np.cumsum(p) / sum(p), rng.random(), "right"))]
-        v = v or pick(list(self.p_v), list(self.p_v.values()))
-        d, drawn = pick(list(self.p_dj), list(self.p_dj.values()))
-        j = j or drawn
-        trim = lambda p: int(np.searchsorted(np.cumsum(p) / sum(p), rng.random(), "right"))
-        a, b, c, e = trim(self.p_trim_v), trim(self.p_trim_d), trim(self.p_trim_d), trim(self.p_trim_j)
-        v_part, j_part, d_full = self.v[v], self.j[j], self.d.get(d, "")
-        if a > len(v_part) or e > len(j_part) or b + c > len(d_full) and d_full:
-            return None
-        insert = lambda p: self._bases(rng, trim(p))
-        d_part = d_full[b : len(d_full) - c] if d_full else ""
-        return v_part[: len(v_part) - a] + insert(self.p_insert_vd) + d_part + (insert(self.p_insert_dj) if d_full else "") + j_part[e:], v, j
-
-    def _bases(self, rng: np.random.Generator, n: int) -> str:
-        out, last = "", None
+        """(nucleotides, V, J) of one event; given genes stay, with D drawn as if J had been drawn with it."""
+        pick = lambda p: int(np.searchsorted(np.cumsum(p) / np.sum(p), rng.random(), "right"))
+        v = v or list(self.p_v)[pick(list(self.p_v.values()))]
+        d, drawn = list(self.p_dj)[pick(list(self.p_dj.values()))]
+        parts = []
+        for options in (self.v[v], self.d[d], self.j[j or drawn]):
+            if not options:
+                return None
+            parts.append(options[pick([q for _, q in options])][0])
+        one = self._bases(rng, pick(self.p_insert_vd), self.markov_vd)
+        two = self._bases(rng, pick(self.p_insert_dj), self.markov_dj)[::-1]
+        return parts[0] + one + parts[1] + two + parts[2], v, j or drawn
+
+    def _bases(self, rng: np.random.Generator, n: int, chain: list[list[float]]) -> str:
+        out, p = "", self.first(chain)
         for _ in range(n):
-            p = self.markov[last] if last is not None else [0.25] * 4
-            last = int(np.searchsorted(np.cumsum(p) / sum(p), rng.random(), "right"))
-            out += "ACGT"[last]
+            k = min(3, int(np.searchsorted(np.cumsum(p) / np.sum(p), rng.random(), "right")))
+            out, p = out + "ACGT"[k], chain[k]
         return out
 
     def cdr3(self, rng: np.random.Generator, v: str | None = None, j: str | None = None, tries: int = 20) -> tuple[str, str, str] | None:
@@ -135,108 +151,110 @@ def matched_background(usage: DataFrame, model: Recombination, size: int, v: str
     return generate(usage.withColumn("n", F.col("n") * times), model, v, j, seed=seed)
 
 
-def generation_probability(cdr3: str, model: Recombination, v: str | None = None, j: str | None = None) -> float:
-    """The probability that the model makes exactly this residue string, by summing over events and codons.
+class _Reader:
+    """Matrices that follow a residue string base by base: at place p the state is the open codon's bases, 1, 4 or 16 of them."""
+
+    def __init__(self, cdr3: str):
+        self.n = 3 * len(cdr3)
+        bases = "ACGT"
+        self.steps: list[list[np.ndarray]] = []
+        for a in cdr3:
+            codons = {x + y + z for x in bases for y in bases for z in bases if residues(x + y + z) == a}
+            one, two = {c[0] for c in codons}, {c[:2] for c in codons}
+            first = [np.zeros((1, 4)) for _ in bases]
+            second, third = [np.zeros((4, 16)) for _ in bases], [np.zeros((16, 1)) for _ in bases]
+            for k, b in enumerate(bases):
+                first[k][0, k] = b in one
+                for i, x in enumerate(bases):
+                    second[k][i, 4 * i + k] = x + b in two
+                    for m, y in enumerate(bases):
+                        third[k][4 * i + m, 0] = x + y + b in codons
+            self.steps += [first, second, third]
+
+    def width(self, place: int) -> int:
+        return (1, 4, 16)[place % 3]
+
+    def empty(self, *shape: int) -> list[np.ndarray]:
+        return [np.zeros((*shape, self.width(p))) for p in range(self.n + 1)]
+
+    def inserted(self, start: list[np.ndarray], lengths: list[float], step: np.ndarray, head: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+        """Weights after an insert: arrays (any, state) per place. ``step[x, y]`` weighs base y after x, ``head`` a first base, ``end`` a last one."""
+        rows, most = start[0].shape[0], len(lengths) - 1
+        out = [lengths[0] * x for x in start]
+        layer = np.zeros((most, 4, rows, 1))  # by length less one, last base, row, state
+        share = np.array(lengths[1:])
+        for p in range(self.n):
+            new = np.zeros((most, 4, rows, self.width(p + 1)))
+            for k in range(4):
+                move = self.steps[p][k]
+                if most:
+                    new[0, k] = head[k] * (start[p] @ move)
+                    new[1:, k] = np.tensordot(layer[:-1], step[:, k], ([1], [0])) @ move
+            layer = new
+            out[p + 1] = out[p + 1] + np.einsum("l,lbrs,b->rs", share, layer, end)
+        return out
+
+
+def generation_probability(cdr3: str, model: Recombination, v: str | list[str] | None = None, j: str | list[str] | None = None) -> float:
+    """The probability that the model makes exactly this residue string, summed over all events and codons; with genes given, of these with their own probabilities.
 
-    Dynamic programming over nucleotide places: for each V with its trim, the string's codons are followed through V's kept bases, the
-    first insert, D's kept bases, the second insert and J's kept bases. State: place in the string and last inserted base.
+    Forward sums over places: V's kept bases, the first insert, D's, the second insert; J's kept bases are read from the end.
     """
-    n, total = 3 * len(cdr3), 0.0
-    codes = {a: [c for c in range(64) if _CODONS[c] == a] for a in set(cdr3)}
-    if any(not c for c in codes.values()):
+    if not cdr3 or set(cdr3) - set(_CODONS) or "*" in cdr3:
         return 0.0
-    order = "TCAG"
-    norm = lambda p: [x / sum(p) for x in p]
-    trim_v, trim_j, trim_d, ins1, ins2 = (norm(p) for p in (model.p_trim_v, model.p_trim_j, model.p_trim_d, model.p_insert_vd, model.p_insert_dj))
-    chain = [norm(row) for row in model.markov]
-    #: State: tuple of (bases of the open codon) -> weight; closed codons must read the residue.
-    readable = {a: {"".join((order[c // 16], order[c // 4 % 4], order[c % 4])) for c in cs} for a, cs in codes.items()}
-    heads = {a: {c[:k] for c in cs for k in (1, 2)} | {""} for a, cs in readable.items()}
-
-    def push(states: dict, base: str, place: int) -> dict:
-        """All states after one more base at the place."""
-        a, out = cdr3[place // 3], {}
-        for open_codon, w in states.items():
-            now = open_codon + base
-            if len(now) == 3:
-                if now in readable[a]:
-                    out[""] = out.get("", 0.0) + w
-            elif now in heads[a]:
-                out[now] = out.get(now, 0.0) + w
-        return out
-
-    def run(states: dict, text: str, place: int) -> dict:
-        for k, base in enumerate(text):
-            if place + k >= n or not states:
-                return {}
-            states = push(states, base, place + k)
-        return states
-
-    def inserted(start: dict[int, dict], p: list[float]) -> dict[int, dict]:
-        """{place: states} after an insert of every length, weighed by its probability."""
-        out: dict[int, dict] = {}
-        for place, states in start.items():
-            layer = {(None, s): w for s, w in states.items()}
-            for length, weight in enumerate(p):
-                at = place + length
-                if at > n or not layer:
-                    break
-                if weight:
-                    slot = out.setdefault(at, {})
-                    for (_, s), w in layer.items():
-                        slot[s] = slot.get(s, 0.0) + weight * w
-                if at == n:
-                    break
-                new: dict = {}
-                for (last, s), w in layer.items():
-                    for k, base in enumerate("ACGT"):
-                        q = w * (chain[last][k] if last is not None else 0.25)
-                        for t, u in push({s: q}, base, at).items():
-                            new[(k, t)] = new.get((k, t), 0.0) + u
-                layer = new
-        return out
+    r, base = _Reader(cdr3), {b: i for i, b in enumerate("ACGT")}
+    chosen = lambda x, every: list(every) if x is None else [x] if isinstance(x, str) else list(x)
 
-    p_v, p_dj = model.p_v, model.p_dj
-    v_total, dj_total = sum(p_v.values()), sum(p_dj.values())
-    vs = [(v, 1.0)] if v else [(g, p / v_total) for g, p in p_v.items()]
-    starts: dict[int, dict] = {}
-    for gene, p in vs:
-        germ = model.v.get(gene)
-        for k, q in enumerate(trim_v if germ is not None else []):
-            if k <= len(germ) and q:
-                got = run({"": p * q}, germ[: len(germ) - k], 0)
-                slot = starts.setdefault(len(germ) - k, {})
-                for s, w in got.items():
-                    slot[s] = slot.get(s, 0.0) + w
-    after_first = inserted(starts, ins1)
-    by_j: dict[str, dict[str, float]] = {}
-    for (d, g), p in p_dj.items():
-        g = j or g
-        by_j.setdefault(g, {})
-        by_j[g][d] = by_j[g].get(d, 0.0) + p / dj_total
-    for g, ds in by_j.items():
-        germ = model.j.get(g)
-        if germ is None:
-            continue
-        middle: dict[int, dict] = {}
-        for d, p in ds.items():
-            d_full = model.d.get(d, "")
-            cuts = [(b, c, trim_d[b] * trim_d[c]) for b in range(len(trim_d)) for c in range(len(trim_d)) if b + c <= len(d_full)] if d_full else [(0, 0, 1.0)]
-            here: dict[int, dict] = {}
-            for b, c, q in cuts:
-                part = d_full[b : len(d_full) - c]
-                for place, states in after_first.items():
-                    got = run({s: w * q * p for s, w in states.items()}, part, place) if place + len(part) <= n else {}
-                    slot = here.setdefault(place + len(part), {})
-                    for s, w in got.items():
-                        slot[s] = slot.get(s, 0.0) + w
-            for place, states in (inserted(here, ins2) if d_full else here).items():
-                slot = middle.setdefault(place, {})
-                for s, w in states.items():
-                    slot[s] = slot.get(s, 0.0) + w
-        for e, q in enumerate(trim_j):
-            if e <= len(germ) and q and (states := middle.get(n - len(germ) + e)):
-                total += q * run(states, germ[e:], n - len(germ) + e).get("", 0.0)
+    def forward(x: np.ndarray, text: str, place: int) -> np.ndarray | None:
+        if place + len(text) > r.n:
+            return None
+        for k, b in enumerate(text):
+            x = x @ r.steps[place + k][base[b]]
+            if not x.any():
+                return None
+        return x
+
+    begin = r.empty(1)
+    for gene in chosen(v, model.p_v):
+        for kept, q in model.v.get(gene, []):
+            got = forward(np.array([[model.p_v.get(gene, 0.0) * q]]), kept, 0)
+            if got is not None:
+                begin[len(kept)] += got
+    vd, dj = np.array(model.markov_vd, float), np.array(model.markov_dj, float)
+    after = r.inserted(begin, model.p_insert_vd, vd, model.first(vd), np.ones(4))
+    names = list(model.d)
+    middle = r.empty(len(names))
+    for i, d in enumerate(names):
+        starts: dict[int, list[tuple[str, float]]] = {}
+        for kept, q in model.d[d]:
+            for place in range(r.n - len(kept) + 1):
+                if after[place].any():
+                    starts.setdefault(place, []).append((kept, q))
+        for place, options in starts.items():
+            read: dict[str, np.ndarray | None] = {"": after[place]}
+            for kept, q in sorted(options, key=lambda o: o[0]):
+                # Longest prefix read so far, then base by base.
+                k = len(kept)
+                while kept[:k] not in read:
+                    k -= 1
+                x = read[kept[:k]]
+                for m in range(k, len(kept)):
+                    x = forward(x, kept[m], place + m) if x is not None else None
+                    read[kept[: m + 1]] = x
+                if x is not None:
+                    middle[place + len(kept)][i] += q * x[0]
+    last = r.inserted(middle, model.p_insert_dj, dj.T, np.ones(4), model.first(dj))
+    total = 0.0
+    for gene in chosen(j, dict.fromkeys(g for _, g in model.p_dj)):
+        tail = r.empty(1)
+        for kept, q in model.j.get(gene, []):
+            if len(kept) <= r.n:
+                x = np.array([[q]])
+                for k, b in enumerate(reversed(kept)):
+                    x = x @ r.steps[r.n - 1 - k][base[b]].T
+                tail[r.n - len(kept)] += x
+        share = np.array([model.p_dj.get((d, gene), 0.0) for d in names])
+        total += sum(float(share @ (last[p] @ tail[p][0])) for p in range(r.n + 1))
     return total
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..functions.metrics import Edit, Hamming, MetricSpec, Tcr
-from ..operators import background, clones as C, cluster, diversity, edges as E, motifs, neighbors as N, radii as R
+from ..operators import background, clones as C, cluster, discovery, diversity, edges as E, motifs, neighbors as N, radii as R
 from ..sources import readers
 from . import testbed as T
 
@@ -640,3 +640,59 @@ def srt01_top_100(spark, d):
     """A top-k report: the limit is the feature."""
     top = T.clones(spark, d).orderBy(F.desc("count"), "clone_id").limit(100)
     return top.select("clone_id", F.row_number().over(Window.orderBy(F.desc("count"), "clone_id")).alias("rank"))
+
+
+# Composed analyses ----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {T.CELLS}, n AS (SELECT sum(count)::DOUBLE AS n FROM cells), r AS (SELECT v_b_gene AS a, sum(count) AS r FROM cells GROUP BY ALL), k AS (SELECT j_b_gene AS b, sum(count) AS c FROM cells GROUP BY ALL),
+x AS (SELECT v_b_gene AS a, j_b_gene AS b, sum(count) AS x FROM cells GROUP BY ALL), t AS (SELECT a, b, coalesce(x, 0) AS x, r, c, n FROM r CROSS JOIN k CROSS JOIN n LEFT JOIN x USING (a, b))
+SELECT 'v_b_gene' AS first, 'j_b_gene' AS second, a, b, x::BIGINT AS n_11, round(r / n, 9) AS p_a, round(x / n, 9) AS p_ab, round(x / r, 9) AS p_b_given_a, round(x * (n - r - c + x) / ((r - x) * (c - x)), 6) AS "OR" FROM t""")
+def tst05_vj_association(spark, d):
+    out = discovery.gene_associations(T.cells(spark, d), ["v_b_gene", "j_b_gene"], "count", test=False)
+    return out.select("first", "second", "a", "b", "n_11", *(F.round(c, 9).alias(c) for c in ("p_a", "p_ab", "p_b_given_a")), F.round("OR", 6).alias("OR"))
+
+
+_GROUPS = f"{T.CLONES}, {edges_sql('clones', 'clones', 99)}, g AS (SELECT clone_id, v_b_gene || '/' || j_b_gene AS node, count FROM clones)"
+
+
+@query(f"""WITH {_GROUPS}, s AS (SELECT node, count(*) AS size, sum(count)::DOUBLE AS n FROM g GROUP BY node HAVING count(*) >= 3),
+p AS (SELECT a.node, avg(dist) AS m, count(*) FILTER (dist < 3) AS u, sum(a.count::DOUBLE * b.count) FILTER (dist <= 3) AS f FROM edges JOIN g a ON left_ix = a.clone_id JOIN g b ON right_ix = b.clone_id AND a.node = b.node WHERE left_ix < right_ix GROUP BY a.node)
+SELECT node, size::BIGINT AS size, round(m, 6) AS mean_dist, round(100 * u / (size * (size - 1) / 2), 6) AS pct_3, round(1 - coalesce(f, 0) / (n * n), 9) AS fuzzy_3 FROM s JOIN p USING (node)""")
+def clu04_node_statistics(spark, d):
+    c = T.clones(spark, d)
+    groups = c.select(F.concat_ws("/", "v_b_gene", "j_b_gene").alias("node"), F.col("clone_id").alias("ix"))
+    out = discovery.group_statistics(groups, edit_edges(c, c, 99), c, cuts=(3,), clone_id="clone_id")
+    return out.select("node", "size", F.round("mean_dist", 6).alias("mean_dist"), F.round("pct_3", 6).alias("pct_3"), F.round("fuzzy_3", 9).alias("fuzzy_3"))
+
+
+@query(f"""WITH {T.CLONES}, g AS (SELECT v_b_gene AS node, sum(count) FILTER (j_b_gene = 'PROMO') AS x, sum(count) FILTER (j_b_gene <> 'PROMO') AS y FROM clones GROUP BY v_b_gene), t AS (SELECT sum(x) AS tx, sum(y) AS ty FROM g)
+SELECT node, y::BIGINT AS ct_0, (ty - y)::BIGINT AS ct_1, x::BIGINT AS ct_2, (tx - x)::BIGINT AS ct_3 FROM g, t""")
+def tst02_node_tally(spark, d):
+    c = T.clones(spark, d)
+    return discovery.group_tally(c.select(F.col("v_b_gene").alias("node"), F.col("clone_id").alias("ix")), c, F.col("j_b_gene") == "PROMO", clone_id="clone_id")
+
+
+@query()
+def clu03_centroids(spark, d):
+    """Ward linkage, medoids and publicity (iterative; parts are tested against examples)."""
+    c = T.clones(spark, d)
+    return discovery.clustered(edit_edges(c, c, 2), c.withColumn("subject", F.col("j_b_gene")), 2, "subject", "complete", "clone_id")
+
+
+@query(f"""WITH {_SEARCH.replace('dist <= radius', 'dist < radius')}, k AS (SELECT DISTINCT v_b_gene, list(DISTINCT cdr3_b_aa) AS seqs FROM target WHERE j_b_gene = 'PROMO' GROUP BY v_b_gene)
+SELECT clone_id AS left_ix, coalesce(sum(c), 0)::BIGINT AS bulk_sum, coalesce(sum(c) FILTER (motif), 0)::BIGINT AS bulk_motif, coalesce(sum(c) FILTER (hit3 = hit.cdr3_b_aa), 0)::BIGINT AS bulk_exact,
+coalesce(sum(c) FILTER (list_contains(seqs, hit3)), 0)::BIGINT AS bulk_targets FROM s LEFT JOIN hit ON left_ix = clone_id LEFT JOIN k ON s.v_b_gene = k.v_b_gene GROUP BY clone_id""")
+def tab02_centres_in_bulk(spark, d):
+    target, bulk = T.target_and_bulk(spark, d)
+    seqs = target.filter("j_b_gene = 'PROMO'").groupBy("v_b_gene").agg(F.collect_set("cdr3_b_aa").alias("target_seqs"))
+    centres = target.withColumn("radius", (F.col("clone_id") % 3 + 1).cast("int")).withColumn("regex", F.expr("'(' || substr(cdr3_b_aa, 3, 2) || '.?[A-M])'")).join(seqs, "v_b_gene", "left")
+    return discovery.centres_in_bulk(edit_edges(target, bulk), centres, bulk, "cdr3_b_aa", "v_b_gene", centre_id="clone_id", bulk_id="clone_id")
+
+
+@query()
+def rad05_find_metaclonotypes(spark, d):
+    """The whole discovery: background-controlled radii, motifs, ranking (its parts have SQL of their own)."""
+    target, bulk = T.target_and_bulk(spark, d)
+    target, bulk = target.withColumn("subject", F.col("j_b_gene")), bulk.withColumn("weight", F.col("count") / 25.0)
+    return discovery.find_metaclonotypes(target, bulk, edit_edges(target, target), edit_edges(target, bulk), 0.05, _GRID, clone_id="clone_id")

@@ -223,36 +223,45 @@ def test_patterns(spark):
     assert [(r["letter"], r["frequency"]) for r in f] == [("G", 1.0)]
 
 
+_T = background.Recombination.trimmed
 MODEL = background.Recombination(
-    v={"V1*01": "TGTGCCAGC", "V2*01": "TGTGCA"}, j={"J1*01": "GAGCAGTTC", "J2*01": "TTT"}, d={"D1*01": "GGGAC"}, p_v={"V1*01": 0.6, "V2*01": 0.4},
-    p_dj={("D1*01", "J1*01"): 0.7, ("D1*01", "J2*01"): 0.3}, p_trim_v=[0.5, 0.3, 0.2], p_trim_j=[0.6, 0.4], p_trim_d=[0.5, 0.3, 0.2], p_insert_vd=[0.5, 0.3, 0.2],
-    p_insert_dj=[0.7, 0.3], markov=[[0.4, 0.3, 0.2, 0.1], [0.1, 0.4, 0.3, 0.2], [0.25] * 4, [0.3, 0.2, 0.1, 0.4]],
+    v={"V1*01": _T("TGTGCCAGC", right=[0.4, 0.3, 0.2, 0.1], palindrome=1), "V2*01": _T("TGTGCA", right=[0.5, 0.3, 0.2])},
+    d={"D1*01": _T("GGGAC", [0.5, 0.3, 0.2], [0.6, 0.4], 1)}, j={"J1*01": _T("GAGCAGTTC", left=[0.6, 0.4]), "J2*01": _T("TTT", left=[0.7, 0.3])},
+    p_v={"V1*01": 0.6, "V2*01": 0.4}, p_dj={("D1*01", "J1*01"): 0.7, ("D1*01", "J2*01"): 0.3}, p_insert_vd=[0.5, 0.3, 0.2], p_insert_dj=[0.6, 0.3, 0.1],
+    markov_vd=[[0.4, 0.3, 0.2, 0.1], [0.1, 0.4, 0.3, 0.2], [0.25] * 4, [0.3, 0.2, 0.1, 0.4]], markov_dj=[[0.1, 0.2, 0.3, 0.4], [0.25] * 4, [0.7, 0.1, 0.1, 0.1], [0.2, 0.3, 0.4, 0.1]],
 )
 
 
+def test_trims_with_palindromes():
+    assert dict(_T("ACG", right=[0.5, 0.5], palindrome=1)) == {"ACGC": 0.5, "ACG": 0.5}
+    assert dict(_T("ACG", left=[0.5, 0.25, 0.25], palindrome=2)) == {"GTACG": 0.5, "TACG": 0.25, "ACG": 0.25}
+
+
 def test_generation_probability_is_the_sum_of_events():
     """All events of the model, spelled out one by one."""
     want: dict[str, float] = {}
-    bases = "ACGT"
 
-    def inserts(p):
+    def inserts(p, chain, reverse):
+        first = MODEL.first(chain)
         for n, q in enumerate(p):
             for w in itertools.product(range(4), repeat=n):
                 r = q
                 for k, b in enumerate(w):
-                    r *= 0.25 if k == 0 else MODEL.markov[w[k - 1]][b]
-                yield "".join(bases[b] for b in w), r
+                    r *= first[b] if k == 0 else chain[w[k - 1]][b]
+                yield "".join("ACGT"[b] for b in (w[::-1] if reverse else w)), r
 
+    one, two = list(inserts(MODEL.p_insert_vd, MODEL.markov_vd, False)), list(inserts(MODEL.p_insert_dj, MODEL.markov_dj, True))
     for (v, pv), ((d, j), pdj) in itertools.product(MODEL.p_v.items(), MODEL.p_dj.items()):
-        for (a, pa), (e, pe), (b, pb), (c, pc) in itertools.product(*map(enumerate, (MODEL.p_trim_v, MODEL.p_trim_j, MODEL.p_trim_d, MODEL.p_trim_d))):
-            for (x, px), (y, py) in itertools.product(inserts(MODEL.p_insert_vd), inserts(MODEL.p_insert_dj)):
-                nt = MODEL.v[v][: len(MODEL.v[v]) - a] + x + MODEL.d[d][b : len(MODEL.d[d]) - c] + y + MODEL.j[j][e:]
-                if len(nt) % 3 == 0:
-                    aa = background.residues(nt)
-                    want[aa] = want.get(aa, 0.0) + pv * pdj * pa * pe * pb * pc * px * py
-    for aa in random.Random(1).sample(sorted(k for k in want if "*" not in k), 25):
+        for (a, pa), (b, pb), (c, pc), (x, px), (y, py) in itertools.product(MODEL.v[v], MODEL.d[d], MODEL.j[j], one, two):
+            nt = a + x + b + y + c
+            if len(nt) % 3 == 0:
+                aa = background.residues(nt)
+                want[aa] = want.get(aa, 0.0) + pv * pdj * pa * pb * pc * px * py
+    for aa in random.Random(1).sample(sorted(k for k in want if "*" not in k and k), 25):
         assert background.generation_probability(aa, MODEL) == pytest.approx(want[aa], rel=1e-9), aa
-    assert background.generation_probability("CAXF", MODEL) == 0.0
+        split = [background.generation_probability(aa, MODEL, v, j) for v in MODEL.p_v for j in MODEL.j]
+        assert sum(split) == pytest.approx(want[aa], rel=1e-9)
+    assert background.generation_probability("CAXF", MODEL) == 0.0 == background.generation_probability("", MODEL)
 
 
 def test_backgrounds(spark):
