@@ -39,6 +39,10 @@ def residue_cost(a: Column, b: Column) -> Column:
     return out.otherwise(FAR)
 
 
+#: The same by (first byte * 256 + second byte), small, as a block reads it once for every pair of letters.
+_FLAT = costs().ravel().astype(np.int16)
+
+
 @dataclass(frozen=True)
 class Tcr:
     """Trimmed substitution distance with one gap. Strings too short for their trims cost their gaps alone."""
@@ -78,7 +82,7 @@ class Tcr:
         return greatest(lit(0), 5 - wide), least(low, low - 5 + wide)
 
     def block(self, left: list[str], right: list[str]) -> np.ndarray:
-        table, out = costs(), np.empty((len(left), len(right)), np.int32)
+        table, out = _FLAT, np.empty((len(left), len(right)), np.int32)
         raw = lambda xs, rows: np.array([np.frombuffer(xs[i].encode("latin-1", "replace"), np.uint8) for i in rows])
         rows_by = lambda xs: {n: [i for i, x in enumerate(xs) if len(x) == n] for n in {len(x) for x in xs}}
         for n, rows in rows_by(left).items():
@@ -87,7 +91,7 @@ class Tcr:
                 b = raw(right, cols).reshape(len(cols), m)
                 low, gap = min(n, m), abs(n - m)
                 # Costs of letters paired from the start and from the end, trimmed, and their sums.
-                pair = lambda x, y: table[x[:, None, :], y[None, :, :]]
+                pair = lambda x, y: table.take((x.astype(np.int32) << 8)[:, None, :] + y[None, :, :])
                 front = pair(a[:, :low], b[:, :low])
                 front[:, :, : self.ntrim] = 0
                 if n == m:
@@ -95,7 +99,7 @@ class Tcr:
                 else:
                     back = pair(a[:, n - low :], b[:, m - low :])[:, :, ::-1].copy()
                     back[:, :, : self.ctrim] = 0
-                    f, k = (np.concatenate([np.zeros((*x.shape[:2], 1), np.int32), x.cumsum(2)], 2) for x in (front, back))
+                    f, k = (np.concatenate([np.zeros((*x.shape[:2], 1), np.int16), x.cumsum(2, dtype=np.int16)], 2) for x in (front, back))
                     first, last = self._gap_places(low, min, max, lambda x: x // 2, int)
                     d = np.min([f[:, :, g] + k[:, :, low - g] for g in range(first, last + 1)], axis=0)
                 out[np.ix_(rows, cols)] = d * self.dist_weight + gap * self.gap_penalty

@@ -86,15 +86,19 @@ def cut_tree(z: np.ndarray, n: int, t: float) -> np.ndarray:
 
 
 def parts_of(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """(ix, part): the smallest id that can be reached, by label propagation with pointer jumping."""
-    labels = nodes.select("ix", F.col("ix").alias("part"))
+    """(ix, part): the smallest id that can be reached, by label propagation with pointer jumping. Edges run both ways."""
+    edges = edges.select("left_ix", "right_ix").persist()
+    labels = nodes.select("ix", F.col("ix").alias("part")).persist()
     for _ in range(rounds):
-        labels = labels.persist()
         near = edges.join(labels, edges["left_ix"] == labels["ix"]).groupBy(F.col("right_ix").alias("ix")).agg(F.min("part").alias("_p"))
-        new = labels.join(near, "ix", "left").select("ix", F.least("part", F.coalesce("_p", "part")).alias("part"), F.col("part").alias("_old")).persist()
-        if new.filter("part <> _old").isEmpty():
-            return new.select("ix", "part")
+        step = labels.join(near, "ix", "left").select("ix", F.col("part").alias("_old"), F.least("part", F.coalesce("_p", "part")).alias("_new"))
+        jump = labels.select(F.col("ix").alias("_new"), F.col("part").alias("_far"))
+        new = step.join(jump, "_new").select("ix", F.least("_new", "_far").alias("part"), "_old").persist()
+        done = new.filter("part <> _old").isEmpty()
+        labels.unpersist()
         labels = new.select("ix", "part")
+        if done:
+            return labels
     raise ValueError("the edges' parts are deeper than the rounds allow")
 
 
