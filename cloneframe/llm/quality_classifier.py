@@ -21,6 +21,8 @@ null id are scored, never learned from; labels of ids without a text are unused,
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,7 +40,9 @@ for _i, _k in enumerate(_KINDS):
     _TABLE[[ord(c) for c in _k]] = _i
 _TABLE[0x80:0xC0] = len(_KINDS) + 1  # further bytes of a character
 _N_KINDS = len(_KINDS) + 2
-FEATURES = _N_KINDS - 1 + 10
+FEATURES = _N_KINDS - 1 + 11
+#: Characters and words that shares are counted over in addition, so that a text of a few words isn't judged by one capital.
+MORE_CHARS, MORE_WORDS = 30, 6
 
 
 def features_of(text: str) -> np.ndarray:
@@ -49,23 +53,25 @@ def features_of(text: str) -> np.ndarray:
         return out
     kinds = np.bincount(_TABLE[data], minlength=_N_KINDS)[: _N_KINDS - 1]
     n = kinds.sum()
-    out[: _N_KINDS - 1] = np.sqrt(kinds / n)
+    out[: _N_KINDS - 1] = np.sqrt(kinds / (n + MORE_CHARS))
     words = raw.split()
     lines = [x for x in raw.split(b"\n") if not x.isspace() and x]
     w, k = max(1, len(words)), max(1, len(lines))
     closed = sum(x.rstrip()[-1:] in b".!?\"')" for x in lines)
-    capital = kinds[1] / max(1, kinds[0] + kinds[1])
+    capital = kinds[1] / (kinds[0] + kinds[1] + MORE_CHARS)
+    again = sum(map(eq, words, words[1:]))
     out[_N_KINDS - 1 :] = [
         1.0,  # the text isn't empty
         np.log1p(len(words)) / 10,
         np.log1p(n / w) / 3,
-        1 - len(set(words)) / w,
+        (w - len(set(words))) / (w + MORE_WORDS),
         1 - len(set(lines)) / k,
         closed / k,
         np.log1p(w / k) / 6,
         capital,
-        min(1.0, kinds[9] / w),
-        min(1.0, kinds[8] / w),
+        min(1.0, kinds[9] / (w + MORE_WORDS)),
+        min(1.0, kinds[8] / (w + MORE_WORDS)),
+        np.sqrt(again / (w + MORE_WORDS)),
     ]
     return out
 
