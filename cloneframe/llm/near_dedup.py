@@ -10,8 +10,9 @@
    0.75-similar nodes share none with probability (1 - 0.75**5)**40 < 3e-5.
 4. Verification on full sets, natively by ``array_intersect``: link if 100 * intersection >= 75 * union.
 5. A band's bucket isn't expanded into all pairs: its members are first compared with the bucket's smallest id.
-   Members that are then in one component need no further comparison. What is left are buckets over several components; while their open
-   pairs are many, another member is the centre; then all open pairs are compared, so no link that joins components is lost.
+   Members that are then in one component need no further comparison. What is left are buckets over several components. Members go whose
+   shingles of their own leave no room for a link (``_linkable``, exact); while the open pairs are many, another
+   member is the centre; then all open pairs are compared, so no link that joins components is lost.
 6. Components: smallest-label propagation with pointer jumping over the links, until nothing changes.
 
 Skew: exact copies never meet in a bucket (2). Copies of one set meet only in
@@ -32,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import slices
@@ -43,8 +44,8 @@ COORDINATES = BANDS * ROWS
 NUM, DEN = 75, 100
 #: Candidate ids that may be broadcast to the scan for their texts; more are joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Open pairs a node, on average, that are compared at once instead of by another centre.
-OPEN_PAIRS = 20
+#: Open pairs a node, on average, that are compared at once instead of by another centre; so are those that a centre left more than half of.
+OPEN_PAIRS = 400
 CENTRES = 4
 
 _U = np.uint64
@@ -194,18 +195,17 @@ def full_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"node {kind}, items array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. ``a`` may be a frequent centre: only ids are dealt by it."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, both, linked): the intersection of the full sets of each pair. ``a`` may be a frequent centre: only ids are dealt by it."""
     a = sets.select(F.col("node").alias("a"), F.col("items").alias("_ia"))
     b = sets.select(F.col("node").alias("b"), F.col("items").alias("_ib"))
-    both = F.size(F.array_intersect("_ia", "_ib"))
-    return (
-        pairs.join(a, "a")
-        .join(b, "b")
-        .withColumn("_both", both)
-        .filter(DEN * F.col("_both") >= NUM * (F.size("_ia") + F.size("_ib") - F.col("_both")))
-        .select("a", "b")
-    )
+    both = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("_ia", "_ib")))
+    return both.select("a", "b", "both", (DEN * F.col("both") >= NUM * (F.size("_ia") + F.size("_ib") - F.col("both"))).alias("linked"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    return overlaps(pairs, sets).filter("linked").select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -222,9 +222,9 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select("node", "label")
 
 
-def _alike(n: str, m: str):
-    """Sizes that allow the similarity at all."""
-    return (DEN * F.least(n, m) >= NUM * F.greatest(n, m))
+def _alike(n: str, m: str, s: str, t: str) -> Column:
+    """Sizes, and shingles that others hold too (``s`` of ``n``, ``t`` of ``m``), that allow a link at all: the intersection is at most the lesser of s and t."""
+    return (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & ((NUM + DEN) * F.least(s, t) >= NUM * (F.col(n) + F.col(m)))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +244,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not ids.isEmpty():
         small = ids.count() <= BROADCAST_IDS
         sets = written(full_sets(df.join(F.broadcast(ids) if small else ids, id_col, "left_semi"), id_col, text_col).dropDuplicates(["node"]))
-        labels = components(_all_links(bucket, sets, ids.count()))
+        keys = sk.join(own, ["set_hash", id_col]).select(F.col(id_col).alias("node"), "bands").dropDuplicates(["node"])
+        labels = components(_all_links(bucket, sets, ids.count(), keys))
         named = classes.join(labels, "node", "left").select("set_hash", F.coalesce("label", "node").alias("component_id"))
     else:
         named = classes.select("set_hash", F.col("node").alias("component_id"))
@@ -254,40 +255,83 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(id_col, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
-def _all_links(bucket: DataFrame, sets: DataFrame, nodes: int) -> DataFrame:
-    """Links that join all that the buckets' pairs join."""
-    links = None
-    open_bucket = bucket.withColumn("label", F.col("node"))
+def _open(named: DataFrame) -> DataFrame:
+    """(band, low, pairs) of the buckets over several labels: their smallest set size and the pairs of different labels."""
+    per_label = named.groupBy("band", "label").agg(F.count("*").alias("_c"), F.min("n").alias("_low"))
+    per_band = per_label.groupBy("band").agg(
+        F.count("*").alias("_labels"), F.sum("_c").alias("_all"), F.sum(F.col("_c") * F.col("_c")).alias("_same"), F.min("_low").alias("low")
+    )
+    return per_band.filter("_labels > 1").select("band", "low", ((F.col("_all") * F.col("_all") - F.col("_same")) / 2).alias("pairs"))
+
+
+def _linkable(open_bucket: DataFrame, sets: DataFrame) -> DataFrame:
+    """The bucket rows (band, node, n, s, label, low) whose node can have an open link at all, s being how many of its shingles another open node has.
+
+    A shingle that no other open node has is in no intersection. With u such shingles, a set of n and a partner of m >= low and
+    m >= 0.75 n, the intersection is n - u at most, so a link needs (NUM + DEN)(n - u) >= NUM (n + m). This is
+    exact, and takes one aggregate; of many copies with edits of their own it leaves those that are near enough to another.
+    """
+    nodes = open_bucket.select("node").distinct()
+    items = sets.join(nodes, "node", "left_semi").select("node", F.explode("items").alias("item"))
+    single = items.groupBy("item").agg(F.count("*").alias("_c"), F.min("node").alias("node")).filter("_c = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("_u"))
+    shared = F.col("n") - F.coalesce("_u", F.lit(0))
+    partner = F.greatest(F.col("low"), F.ceil(F.col("n") * NUM / DEN))
+    return open_bucket.join(own, "node", "left").withColumn("s", shared.cast("int")).filter((NUM + DEN) * F.col("s") >= NUM * (F.col("n") + partner)).drop("_u")
+
+
+def _all_links(bucket: DataFrame, sets: DataFrame, nodes: int, keys: DataFrame) -> DataFrame:
+    """Links that join all that the buckets' pairs join; keys has each node's bands."""
+    links, centred = None, bucket.select("*", F.col("n").alias("s"), F.col("node").alias("label"))
+    bucket, before = centred.drop("label"), float("inf")
     for turn in range(CENTRES + 1):
-        turned = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
         if turn:
-            # Buckets over several components, with the pairs that they leave open.
-            of = F.coalesce("label", "node")
-            named = bucket.join(components(links), "node", "left").select("band", "node", "n", of.alias("label"))
-            split = named.groupBy("band").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_k")).filter("_x < _y")
-            split = written(split.select("band", "_k"))
-            pairs_open = split.agg(F.sum(F.col("_k") * (F.col("_k") - 1) / 2)).first()[0]
-            if not pairs_open:
+            named = bucket.join(components(links), "node", "left").select("band", "node", "n", "s", F.coalesce("label", "node").alias("label"))
+            centred = written(named.join(_open(named).select("band", "low"), "band"))
+            if turn == 1 and not centred.isEmpty():
+                centred = written(_linkable(centred, sets))
+            bucket = centred.select("band", "node", "n", "s")
+            left = _open(centred).agg(F.sum("pairs")).first()[0]
+            if not left:
                 break
-            open_bucket = written(named.join(split, "band"))
-            if pairs_open <= OPEN_PAIRS * nodes or turn == CENTRES:
-                x, y = (open_bucket.select("band", *(F.col(c).alias(f"{c}{s}") for c in ("node", "n", "label"))) for s in "ab")
-                pairs = x.join(y, "band").filter((F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & _alike("na", "nb"))
-                pairs = pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+            if left <= OPEN_PAIRS * nodes or left > before / 2 or turn == CENTRES:
+                pairs = _open_pairs(centred, centres, seen, keys)
                 return written(links.union(verified(pairs, sets)))
-        centre = open_bucket.groupBy("band").agg(F.min(F.struct(turned.alias("_o"), "node", "n", "label")).alias("_c"))
-        centre = written(centre.select("band", F.col("_c.node").alias("a"), F.col("_c.n").alias("_na"), F.col("_c.label").alias("_la")))
+            before = left
+        turned = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        centre = centred.groupBy("band").agg(F.min(F.struct(turned.alias("_o"), "node", "n", "s", "label")).alias("_c"))
+        centre = written(centre.select("band", F.col("_c.node").alias("a"), F.col("_c.n").alias("_na"), F.col("_c.s").alias("_sa"), F.col("_c.label").alias("_la")))
         pairs = (
-            open_bucket.join(centre, "band")
-            .filter((F.col("node") != F.col("a")) & (F.col("label") != F.col("_la")) & _alike("n", "_na"))
+            centred.join(centre, "band")
+            .filter((F.col("node") != F.col("a")) & (F.col("label") != F.col("_la")) & _alike("n", "_na", "s", "_sa"))
             .select("a", F.col("node").alias("b"))
             .distinct()
         )
-        found = verified(pairs, sets)
-        links = written(found if links is None else links.union(found))
+        if turn == 0:
+            centres, seen = centre.select("band", F.col("a").alias("_a")), written(overlaps(pairs, sets))
+            links = written(seen.filter("linked").select("a", "b"))
+        else:
+            links = written(links.union(verified(pairs, sets)))
     return links
 
 
+def _open_pairs(centred: DataFrame, centres: DataFrame, seen: DataFrame, keys: DataFrame) -> DataFrame:
+    """(a, b) of the open pairs of all buckets that may be links, each from the first band that it shares.
+
+    With c the bucket's first centre, whose intersection with every member is known, x and y have at most
+    min(|xc|, |yc|) shingles of c in common, and at most min(s - |xc|, t - |yc|) others. Pairs that this leaves short are no links.
+    """
+    c = centred.join(centres, "band").join(seen.select(F.col("a").alias("_a"), F.col("b").alias("node"), "both"), ["_a", "node"], "left").join(keys, "node")
+    c = c.withColumn("o", F.when(F.col("node") == F.col("_a"), F.col("n")).otherwise(F.col("both")))
+    c = c.withColumn("early", F.slice("bands", 1, F.array_position("bands", F.col("band")).cast("int") - 1))
+    x, y = (c.select("band", *(F.col(k).alias(f"{k}{i}") for k in ("node", "n", "s", "o", "label", "early"))) for i in "ab")
+    parted = F.least("oa", "ob") + F.least(F.col("sa") - F.col("oa"), F.col("sb") - F.col("ob"))
+    most = F.when(F.col("oa").isNull() | F.col("ob").isNull(), F.least("sa", "sb")).otherwise(parted)
+    may = (F.col("nodea") < F.col("nodeb")) & (F.col("labela") != F.col("labelb")) & _alike("na", "nb", "sa", "sb")
+    may = may & ((NUM + DEN) * most >= NUM * (F.col("na") + F.col("nb"))) & ~F.arrays_overlap("earlya", "earlyb")
+    return x.join(y, "band").filter(may).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without those of a group other than its smallest id. Rows without an id stay; of rows that share an id one stays.
 
