@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import PREFILTER, RULES
+from .license_rules import RULES, prefilter
 from .quality_rules import let
 
 #: Fixed base phrases and labels.
@@ -48,7 +48,7 @@ def detections(text: Column) -> Column:
     """All matches of all rules whose keyword the text holds, before suppression."""
     rules = F.array(
         *(
-            F.struct(*(F.lit(v).alias(n) for n, v in (("rule", r.number), ("label", r.label), ("priority", r.priority), ("keyword", r.keyword.replace(" ", "  ")), ("pattern", wide(r.pattern)))))
+            F.struct(*(F.lit(v).alias(n) for n, v in (("rule", r.number), ("label", r.label), ("priority", r.priority), ("keyword", r.keyword.replace(" ", "  ")), ("pattern", wide(r.pattern)), ("one", r.also[0].replace(" ", "  ")), ("other", r.also[-1].replace(" ", "  ")))))
             for r in RULES
         )
     )
@@ -73,7 +73,7 @@ def detections(text: Column) -> Column:
             walk, lambda d: F.struct(d["first"].alias("first"), d["end"].alias("end"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"))
         )
 
-    return F.flatten(F.transform(F.filter(rules, lambda r: F.contains(text, r["keyword"])), found))
+    return F.flatten(F.transform(F.filter(rules, lambda r: F.contains(text, r["keyword"]) & (F.contains(text, r["one"]) | F.contains(text, r["other"]))), found))
 
 
 def unsuppressed(found: Column) -> Column:
@@ -101,7 +101,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         last = ((spaces(norm) - spaces(F.substring_index(norm, wide(phrase), -1))) / 2 - len(phrase.split())).cast("long")
         places.append(F.when(F.contains(norm, p), F.struct(F.lit(label).alias("label"), n.alias("n"), first.alias("first"), last.alias("last"))))
     base = F.filter(F.array(*places), lambda p: p.isNotNull())
-    gate = norm.rlike("|".join(k.replace(" ", "  ") for k in PREFILTER))
+    gate = norm.rlike(prefilter())
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     base_labels = F.transform("_base", lambda p: p["label"])
     scored = F.array_max(F.transform("detections", lambda d: d["priority"])) / 100
