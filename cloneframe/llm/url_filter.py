@@ -4,10 +4,10 @@ Rules first: the longest rule whose host is the url's or a parent domain of it,
 decides. For the other urls the host decides:
 
 1. Host edges: links of a page to other hosts (absolute links in attributes), counted once per page and host
-   and added up before any shuffle by host; and an edge each way between a host and its parent domain where pages have
-   both.
+   and added up before any shuffle by host; and an edge each way between a host and its parent domain, up to the
+   registered domain. Linked hosts and parent domains are nodes whether or not they have pages.
 2. Seeds: hosts of which a page is allowed by a rule are trusted, hosts of which one is blocked, or whose name holds a
-   word of ``BAD_NAMES``, are blocked.
+   word of ``BAD_NAMES`` (with pages or without), are blocked.
 3. Personalised PageRank from the trusted seeds along the edges, and from the blocked seeds against them (who
    links to a bad host is suspect): ``ROUNDS`` rounds of one join and one aggregate for both at once.
 4. A host is blocked if its distrust exceeds ``THRESHOLD`` of the sum of both; hosts without either are allowed.
@@ -35,6 +35,9 @@ BAD_NAMES = "spam|pills|casino|viagra|porn|warez|malware"
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Names of at least two labels, not addresses; endings of which the registered domain has three labels, not two.
+NAME = r"^(?=.{1,253}$)(?![0-9.]+(?::[0-9]*)?$)(?!\[)(?:[^.]+\.)+[^.]+$"
+SUFFIX = r"\.(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}(?::[0-9]*)?$"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/?#"'<>\s]+)"""
 
 
@@ -57,17 +60,27 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(src, dst, weight) over hosts that have pages."""
-    linked = (
+def parent_steps(host: Column) -> Column:
+    """array<struct(child, parent)> from a host up to its registered domain; empty for addresses and for what is no name."""
+    labels = F.split(host, r"\.")
+    n = F.size(labels)
+    kept = F.when(host.rlike(SUFFIX), 3).otherwise(2)
+    tail = lambda i: F.array_join(F.slice(labels, i, n), ".")
+    steps = F.transform(F.sequence(F.lit(1), n - kept), lambda i: F.struct(tail(i).alias("child"), tail(i + 1).alias("parent")))
+    return F.when(host.rlike(NAME) & (n > kept), steps)
+
+
+def host_edges(pages: DataFrame) -> DataFrame:
+    """(src, dst, weight) over all hosts that urls or links name, and their parent domains."""
+    linked = written(
         pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), F.lower))).alias("dst"))
         .filter((F.col("dst") != F.col("src")) & (F.col("src") != ""))
         .groupBy("src", "dst")
         .agg(F.count("*").cast("double").alias("weight"))
-        .join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi")
     )
-    child = hosts.filter(F.contains("host", F.lit("."))).select(F.col("host").alias("src"), F.expr("substr(host, instr(host, '.') + 1)").alias("dst"))
-    up = child.join(hosts.select(F.col("host").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit(PARENT_WEIGHT).alias("weight"))
+    named = pages.select("host").distinct().union(linked.select("dst")).distinct()
+    steps = named.select(F.explode(parent_steps(F.col("host"))).alias("step")).distinct()
+    up = steps.select(F.col("step.child").alias("src"), F.col("step.parent").alias("dst"), F.lit(PARENT_WEIGHT).alias("weight"))
     both = linked.select("src", "dst", "weight").union(up).union(up.select(F.col("dst"), F.col("src"), "weight"))
     return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
@@ -87,15 +100,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
 
 
 def host_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """(host, blocked) of every host; pages has host, path, html."""
+    """(host, blocked) of every host with trust or distrust; pages has host, path, html."""
+    edges = written(host_edges(pages))
     hosts = written(
         pages.filter("host <> ''")
         .withColumn("verdict", longest_rule(F.col("host"), F.col("path"), rules)["verdict"])
         .groupBy("host")
         .agg(F.max(F.col("verdict") == "allow").alias("good"), F.max(F.col("verdict") == "block").alias("bad"))
+        .join(edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct(), "host", "full")
         .select("host", F.coalesce("good", F.lit(False)).alias("good"), (F.coalesce("bad", F.lit(False)) | F.col("host").rlike(BAD_NAMES)).alias("bad"))
     )
-    edges = written(host_edges(pages, hosts))
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     )

@@ -139,6 +139,23 @@ def test_propagation(spark):
     assert got == {"good.com": "allow", "fine.org": "allow", "next.org": "allow", "spamfarm.org": "block", "linker.org": "block", "alone.org": "allow"}
 
 
+def test_hosts_without_pages_carry_trust_and_distrust(spark):
+    rows = [
+        page(0, "http://linker.org/", "http://casino.biz/z"), page(1, "http://pills.shop.io/"), page(2, "http://b.shop.io/"), page(3, "http://spam.co.uk/"),
+        page(4, "http://alone.co.uk/"), page(5, "http://10.0.0.1/"), page(6, "http://good.com/", "//new.fine.org"), page(7, "http://x.y.fine.org/"), page(8, "http://spam.fine.org/"),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = df.select(*(c.alias(n) for n, c in zip(("host", "path"), url_filter.url_parts(df["url"]))), "html")
+    edges = {(r["src"], r["dst"]): r["weight"] for r in url_filter.host_edges(pages).collect()}
+    up = [("pills.shop.io", "shop.io"), ("b.shop.io", "shop.io"), ("new.fine.org", "fine.org"), ("x.y.fine.org", "y.fine.org"), ("y.fine.org", "fine.org"), ("spam.fine.org", "fine.org")]
+    assert edges == {e: 1.0 for a, b in up for e in ((a, b), (b, a))} | {("linker.org", "casino.biz"): 1.0, ("good.com", "new.fine.org"): 1.0}
+    got = {r["host"]: r["verdict"] for r in url_filter.url_filter(df).collect()}
+    blocked = {"linker.org", "pills.shop.io", "b.shop.io", "spam.co.uk", "spam.fine.org"}
+    assert {h for h, v in got.items() if v == "block"} - {"x.y.fine.org"} == blocked
+    scores = {r["host"] for r in url_filter.host_verdicts(pages, url_filter.RULES).collect()}
+    assert {"x.y.fine.org", "y.fine.org", "fine.org", "new.fine.org", "casino.biz", "shop.io"} <= scores and not {"alone.co.uk", "10.0.0.1"} & scores
+
+
 def test_pagerank_against_plain_python(spark):
     edges = [("trust", "a", "b", 1.0), ("trust", "a", "c", 3.0), ("trust", "b", "a", 1.0), ("trust", "c", "b", 2.0)]
     score = url_filter.propagate(
