@@ -6,8 +6,8 @@ decides. For the other urls the host decides:
 1. Host edges: links of a page to other hosts (absolute links in attributes), counted once per page and host
    and added up before any shuffle by host; and an edge each way between a host and its parent domain, up to the
    registered domain. Linked hosts and parent domains are nodes whether or not they have pages.
-2. Seeds: hosts of which a page is allowed by a rule are trusted, hosts of which one is blocked, or whose name holds a
-   word of ``BAD_NAMES`` (with pages or without), are blocked.
+2. Seeds come from evidence on whole hosts, with pages or without: hosts that a rule with the path "/" allows are trusted, hosts
+   that one blocks, or whose name holds a word of ``BAD_NAMES``, are blocked. Rules for folders decide on their own pages only.
 3. Personalised PageRank from the trusted seeds along the edges, and from the blocked seeds against them (who
    links to a bad host is suspect): ``ROUNDS`` rounds of one join and one aggregate for both at once.
 4. A host is blocked if its distrust exceeds ``THRESHOLD`` of the sum of both; hosts without either are allowed.
@@ -102,13 +102,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
 def host_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """(host, blocked) of every host with trust or distrust; pages has host, path, html."""
     edges = written(host_edges(pages))
+    nodes = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(pages.filter("host <> ''").select("host")).distinct()
+    whole = longest_rule(F.col("host"), F.lit("/"), rules)["verdict"]
     hosts = written(
-        pages.filter("host <> ''")
-        .withColumn("verdict", longest_rule(F.col("host"), F.col("path"), rules)["verdict"])
-        .groupBy("host")
-        .agg(F.max(F.col("verdict") == "allow").alias("good"), F.max(F.col("verdict") == "block").alias("bad"))
-        .join(edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct(), "host", "full")
-        .select("host", F.coalesce("good", F.lit(False)).alias("good"), (F.coalesce("bad", F.lit(False)) | F.col("host").rlike(BAD_NAMES)).alias("bad"))
+        nodes.select("host", F.coalesce(whole == "allow", F.lit(False)).alias("good"), (F.coalesce(whole == "block", F.lit(False)) | F.col("host").rlike(BAD_NAMES)).alias("bad"))
     )
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")

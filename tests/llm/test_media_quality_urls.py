@@ -156,6 +156,15 @@ def test_hosts_without_pages_carry_trust_and_distrust(spark):
     assert {"x.y.fine.org", "y.fine.org", "fine.org", "new.fine.org", "casino.biz", "shop.io"} <= scores and not {"alone.co.uk", "10.0.0.1"} & scores
 
 
+def test_a_blocked_folder_does_not_condemn_its_host(spark):
+    rows = [page(0, "http://x.net/es/1"), page(1, "http://x.net/en/2"), page(2, "http://x.net"), page(3, "http://spam.net/en/3"), page(4, "http://y.example.com/en/4"), page(5, "http://y.example.com")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(df).collect()}
+    assert got == {0: "block", 1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow"}
+    whole = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(df, [*url_filter.RULES, ("x.net", "/", "block")]).collect()}
+    assert whole == got | {1: "block", 2: "block"}
+
+
 def test_pagerank_against_plain_python(spark):
     edges = [("trust", "a", "b", 1.0), ("trust", "a", "c", 3.0), ("trust", "b", "a", 1.0), ("trust", "c", "b", 2.0)]
     score = url_filter.propagate(
