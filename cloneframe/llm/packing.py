@@ -60,7 +60,11 @@ class WordEncoder:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         if "<|" in text and any(s in text for s in self.bpe.special):
             return None
-        return _WORDS.findall(text.lower())
+        text = text.lower()
+        # Composing and lower-casing can make letters beyond the classes.
+        if not text.isascii() and PLAIN.search(text):
+            return None
+        return _WORDS.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

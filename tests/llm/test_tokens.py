@@ -2,6 +2,7 @@
 
 import collections
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -51,6 +52,13 @@ def test_word_ids(odd_texts):
         assert np.frombuffer(got, "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, t[:50]
 
 
+def test_word_ids_of_letters_made_by_normalising():
+    enc, own = packing.WordEncoder(WORD), Tokenizer.from_file(WORD)
+    texts = ["Vie\u0323\u0302t Nam", "\u023ab", "ab\u023e c", unicodedata.normalize("NFD", "Tiếng Việt đẹp lắm, người ơi! É ñ"), "x\u0323\u0307y"]
+    for t, got in zip(texts, enc.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, t
+
+
 def test_round_trip_on_spark(spark):
     rows = bpe_codec.round_trip(documents(spark), BYTE).collect()
     assert len(rows) == len(TEXTS) + 2 and all(r["lossless"] for r in rows)
