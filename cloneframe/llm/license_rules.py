@@ -119,7 +119,7 @@ TEXTS = [
     ("reserved", "rights reserved", "(?:all|some|no) rights reserved"),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9][0-9]"),
     ("copyright", "copyright", "(?:19|20)[0-9][0-9] copyright"),
-    ("see-license", "license", "see (?:the )?(?:accompanying )?(?:file )?licen[sc]e(?: file| txt| md)? for (?:details|the full|more|licensing)"),
+    ("see-license", "licen", "see (?:the )?(?:accompanying )?(?:file )?licen[sc]e(?: file| txt| md)? for (?:details|the full|more|licensing)"),
 ]
 
 _GIVEN = "(?:licen[sc]ed|released|available|distributed|published|provided|covered|shared|issued|offered|redistributable)"
@@ -139,6 +139,14 @@ class Rule(NamedTuple):
     also: tuple[str, ...]
 
 
+def _named(name: str) -> str:
+    """A name that says licence stands by itself, one that may say it does so in that form; others are followed by the word."""
+    told = name.replace("(?: license)?", " license").replace("(?: licen[sc]e)?", " licen[sc]e")
+    if told == name and "licen" in name:
+        return name
+    return f"(?:{name}) licen[sc]e" if told == name else f"(?:(?:{name}) licen[sc]e|{told})"
+
+
 def _rules() -> list[Rule]:
     rows = []
     for label, keyword, name, short, link in FAMILIES:
@@ -147,7 +155,7 @@ def _rules() -> list[Rule]:
             (label, "spdx", f"spdx licen[sc]e identifier {short}", 95, (short.split(" ")[0],)),
             (label, "under", f"{_GIVEN} under {_TERMS}{names}{_LICENCE}(?: {_V}[1234](?: [0-9])?)?", 85, (keyword, short.split(" ")[0])),
             (label, link.split(" ")[0], link, 75, (link,)),
-            (label, keyword, f"(?:{name}) licen[sc]e", 65, ("licen",)),
+            (label, keyword, _named(name), 65, ("licen",)),
             (label, "licen", f"licen[sc]e {short}", 55, (short.split(" ")[0],)),
         ]
     rows += [(label, keyword, pattern, 90, (keyword,)) for label, keyword, pattern in TEXTS]

@@ -6,7 +6,7 @@ import re
 import pytest
 
 from cloneframe.llm import license_scan, quality_rules, secrets
-from cloneframe.llm.license_rules import RULES
+from cloneframe.llm.license_rules import RULES, prefilter
 
 from .cases import TEXTS, documents
 
@@ -60,6 +60,50 @@ def test_suppression_and_priority(spark):
     assert [(d["label"], d["priority"]) for d in row["detections"]] == [("mit", 95)]
 
 
+def example(pattern, last):
+    """A text that the pattern matches, without its options; of choices the first or the last."""
+    def spell(parts):
+        out = ""
+        for op, arg in parts:
+            if str(op) == "LITERAL":
+                out += chr(arg)
+            elif str(op) == "IN":
+                kind, value = arg[-last]
+                out += chr(value if str(kind) == "LITERAL" else value[-last])
+            elif str(op) == "MAX_REPEAT":
+                out += spell(arg[2]) * arg[0]
+            elif str(op) == "BRANCH":
+                out += spell(arg[1][-last])
+            else:
+                out += spell(arg[-1])
+        return out
+
+    return spell(re._parser.parse(pattern))
+
+
+def test_every_rule_finds_its_example():
+    gate, lost = re.compile(prefilter()), []
+    for r in RULES:
+        both = example(r.pattern, 0), example(r.pattern, 1)
+        # A keyword that no form of the phrase holds is one of its surroundings.
+        around = "" if any(r.keyword in text for text in both) else " " + r.keyword
+        for text in both:
+            line = text + around
+            open_ = r.keyword in line and (r.also[0] in line or r.also[-1] in line) and gate.search(license_scan.wide(line))
+            lost += [] if open_ and re.fullmatch(r.pattern, text) else [(r.number, text)]
+    assert lost == []
+
+
+def test_names_that_say_licence(spark):
+    want = {
+        "License: Mozilla Public License 2.0": "mpl-2.0", "subject to the Eclipse Public License 2.0": "epl-2.0", "GNU Affero General Public Licence version 3": "agpl-3.0",
+        "the Boost Software License": "bsl-1.0", "SIL Open Font License, Version 1.1": "ofl-1.1", "Apache License, Version 2.0": "apache-2.0",
+        "Artistic License 2.0": "artistic-2.0", "Business Source License 1.1": "busl-1.1", "see the licence for details": "see-license",
+    }
+    got = {r["doc_id"]: r["labels"] for r in license_scan.license_scan(documents(spark, list(want), clash=False)).collect()}
+    assert all(label in got[i].split(",") for i, label in enumerate(want.values())), got
+
+
 def plain_rules(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
