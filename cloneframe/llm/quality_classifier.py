@@ -1,27 +1,32 @@
 """Quality classifier by positive-unlabelled learning (free style: NumPy features in Arrow tasks).
 
-Trusted positives are rows labelled 1; unlabelled text is every other row of the learning
-folds, whatever its label; the class prior is the share of 1 among the labelled rows of those folds. With
-the logistic loss l and prior p, the non-negative unbiased risk is
+Trusted positives are rows labelled 1; the unlabelled set is every row of the learning folds, positives among them,
+so it stands for the whole population; the class prior is the share of 1 among the labelled rows of those folds. With
+the logistic loss l(z) = log(1 + exp(-z)) and prior p, the non-negative unbiased risk is
 
     p E_pos[l(f)] + max(0, E_unl[l(-f)] - p E_pos[l(-f)])
 
-The first part and the bracket together are convex in a linear f, so Newton steps minimise it; where the bracket
-falls below zero, the step follows the bracket back up instead (and its size is halved), as in the published algorithm. Each
-step is one pass of Spark over all rows' features, summed per task and then per bucket; at most
+``RIDGE`` / 2 |weights|^2 is added. For a linear f this is the greater of two convex functions (the risk with and without
+the bracket), so it has one least point, and ``minimise`` finds it: Newton steps with a backtracking line search on the
+unbiased risk until the decrement is below ``TOLERANCE``; if the bracket is negative there, the share with which it must
+count for the least point is found by a bracketing secant, until the duality gap is below ``GAP``. Each
+evaluation is one pass of Spark over all rows' features, summed per task and then per bucket; at most
 ``BUCKETS`` rows of sums reach the driver. No row is sampled.
 
 Features come from a whole text's bytes alone: shares of character kinds, word and line
-shapes, repetition. The feature table is written once and read by each step and by scoring.
+shapes, repetition. The feature table is written once and read by each pass and by scoring.
 
-Defined results: null and empty texts have features of zero and get the score of those. Without labels of both
+Defined results: null and empty texts have features of zero and get the score of those; very long texts count by their shares, as a
+whole. No ties arise: equal texts get equal scores, and repeated rows repeat. Without labels of both
 kinds in the learning folds there is nothing to learn: every score is the prior (1 without labels). Rows with a
 null id are scored, never learned from; labels of ids without a text are unused, repeated labels count once (the lowest). Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from operator import eq
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,7 +37,10 @@ from pyspark.sql import functions as F
 from .bpe_codec import slices
 from .frames import written
 
-STEPS, RIDGE, BUCKETS = 6, 1e-4, 32
+#: The ridge is the least of 0.001, 0.003, 0.01, 0.03 and 0.1 at which the non-negative branch hardly binds (a share of the bracket over 0.95) on learning rows by the thousand.
+RIDGE, BUCKETS = 0.1, 32
+#: Newton's decrement at which a descent ends, and how far the risk found may be above the least one.
+TOLERANCE, GAP = 1e-9, 1e-6
 #: Character kinds, by their first byte in UTF-8.
 _KINDS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\f", "\n", ".", ",", "!?", "|", "#$%&*<>", "\"'()-:;/", "{}[]=+_\\^~`@"]
 _TABLE = np.full(256, len(_KINDS), np.int64)
@@ -123,12 +131,94 @@ def _sums(rows: DataFrame, work, size: int) -> np.ndarray:
     return np.sum([r["v"] for r in got], axis=0) if got else np.zeros(size)
 
 
+class Terms(NamedTuple):
+    """At some weights: the positives' part of the risk, the unbiased risk, and both ones' gradients and Hessians."""
+
+    part: float
+    whole: float
+    part_gradient: np.ndarray
+    whole_gradient: np.ndarray
+    part_hessian: np.ndarray
+    whole_hessian: np.ndarray
+
+    @property
+    def bracket(self) -> float:
+        return self.whole - self.part
+
+
+def sums_of(x: np.ndarray, pos: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What all rows of a block add to ``terms_of``; x has a last column of ones."""
+    f = x @ w
+    s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    p, h = x[pos], s * (1 - s)
+    hessian = lambda m, z: ((z * m[:, None]).T @ z).ravel()
+    return np.concatenate([
+        [np.logaddexp(0, f).sum(), np.logaddexp(0, -f[pos]).sum(), f[pos].sum()],
+        s @ x, (s[pos] - 1) @ p, p.sum(0), hessian(h, x), hessian(h[pos], p),
+    ])
+
+
+def terms_of(t: np.ndarray, n: float, n_pos: float, prior: float, d: int) -> Terms:
+    a, b = t[3 : 3 + 3 * d].reshape(3, d), t[3 + 3 * d :].reshape(2, d, d)
+    return Terms(
+        prior * t[1] / n_pos, t[0] / n - prior * t[2] / n_pos,
+        prior * a[1] / n_pos, a[0] / n - prior * a[2] / n_pos,
+        prior * b[1] / n_pos, b[0] / n,
+    )
+
+
+def minimise(terms: Callable[[np.ndarray], Terms], d: int, ridge: float = RIDGE) -> np.ndarray:
+    """The weights of the least non-negative risk with ridge; the last one, the intercept, is free (but for rounding)."""
+    penalty = np.r_[np.full(d - 1, ridge), 1e-9]
+
+    def descend(share: float, w: np.ndarray, t: Terms) -> tuple[np.ndarray, Terms]:
+        """Least part + share * bracket, from w on."""
+        value = lambda w, t: t.part + share * t.bracket + (penalty * w * w).sum() / 2
+        mixed = lambda a, b: (1 - share) * a + share * b
+        while True:
+            gradient = mixed(t.part_gradient, t.whole_gradient) + penalty * w
+            step = np.linalg.solve(mixed(t.part_hessian, t.whole_hessian) + np.diag(penalty), gradient)
+            decrement, size = gradient @ step, 1.0
+            if decrement < TOLERANCE:
+                return w, t
+            while True:
+                new = w - size * step
+                at = terms(new)
+                if value(new, at) <= value(w, t) - 1e-4 * size * decrement:
+                    break
+                size /= 2
+                if size < 1e-9:  # below the sums' rounding
+                    return w, t
+            w, t = new, at
+
+    # What the risk at the least point for a share can be above the least risk: max(0, bracket) - share * bracket.
+    share, w = 1.0, np.zeros(d)
+    w, t = descend(share, w, terms(w))
+    low, high, at_low, at_high, side = 0.0, 1.0, None, t.bracket, 0
+    while max(0.0, t.bracket) - share * t.bracket > GAP and high - low > 1e-12 * high:
+        # The bracket falls as its share grows: a secant between a share with a positive and one with a negative bracket.
+        share = high / 4 if at_low is None else (low * at_high - high * at_low) / (at_high - at_low)
+        w, t = descend(share, w, t)
+        if t.bracket < 0:
+            high, at_high = share, t.bracket
+            if side < 0 and at_low is not None:
+                at_low /= 2  # the end that stays counts half, so that both ends move
+            side = -1
+        else:
+            low, at_low = share, t.bracket
+            if side > 0:
+                at_high /= 2
+            side = 1
+    return w
+
+
 def fit(rows: DataFrame, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(mean, scale, weights with the intercept last) from rows (x, positive). None without positives or without unlabelled rows."""
+    """(mean, scale, weights with the intercept last) from rows (x, positive), unlabelled ones and positives. None without positives or with nothing else."""
+    marks = lambda batch: batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
 
     def moments(batch):
-        x, pos = matrix(batch), batch.column(1).to_numpy(zero_copy_only=False).astype(float)
-        return np.concatenate([[len(x), pos.sum()], x.sum(0), (x**2).sum(0)])
+        x = matrix(batch)
+        return np.concatenate([[len(x), marks(batch).sum()], x.sum(0), (x**2).sum(0)])
 
     total = _sums(rows, moments, 2 + 2 * FEATURES)
     n, n_pos = total[:2]
@@ -137,33 +227,13 @@ def fit(rows: DataFrame, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarr
     mean = total[2 : 2 + FEATURES] / n
     scale = np.sqrt(np.maximum(total[2 + FEATURES :] / n - mean**2, 0))
     scale[scale < 1e-6] = np.inf  # a feature without spread has no weight
-    d, weights, size = FEATURES + 1, np.zeros(FEATURES + 1), 1.0
-    for _ in range(STEPS):
-
-        def terms(batch, w=weights):
-            x = np.c_[(matrix(batch) - mean) / scale, np.ones(batch.num_rows)]
-            pos = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            f = x @ w
-            s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-            unl, softplus = ~pos, np.logaddexp(0, f)
-            # E_unl and E_pos parts of the gradient and of l(-f); the Hessian over unlabelled and over positive rows.
-            h = lambda m: ((x[m] * (s * (1 - s))[m, None]).T @ x[m]).ravel()
-            return np.concatenate([[softplus[unl].sum(), softplus[pos].sum()], s[unl] @ x[unl], s[pos] @ x[pos], x[pos].sum(0), h(unl), h(pos)])
-
-        t = _sums(rows, terms, 2 + 3 * d + 2 * d * d)
-        n_unl = n - n_pos
-        bracket = t[0] / n_unl - prior * t[1] / n_pos
-        g_unl, s_pos, x_pos = t[2 : 2 + d] / n_unl, t[2 + d : 2 + 2 * d] / n_pos, t[2 + 2 * d : 2 + 3 * d] / n_pos
-        h_unl, h_pos = t[2 + 3 * d : 2 + 3 * d + d * d].reshape(d, d) / n_unl, t[2 + 3 * d + d * d :].reshape(d, d) / n_pos
-        ridge = RIDGE * np.diag([*[1.0] * FEATURES, 0.0]) + 1e-9 * np.eye(d)
-        if bracket >= 0:
-            gradient = g_unl - prior * x_pos + RIDGE * np.r_[weights[:-1], 0]
-            step = np.linalg.solve(h_unl + ridge, gradient)
-            weights = weights - size * step
-        else:
-            size /= 2
-            weights = weights + size * np.linalg.solve(h_unl + h_pos + ridge, g_unl - prior * s_pos)
-    return mean, scale, weights
+    d = FEATURES + 1
+
+    def terms(w):
+        work = lambda batch: sums_of(np.c_[(matrix(batch) - mean) / scale, np.ones(batch.num_rows)], marks(batch), w)
+        return terms_of(_sums(rows, work, 3 + 3 * d + 2 * d * d), n, n_pos, prior, d)
+
+    return mean, scale, minimise(terms, d)
 
 
 class Model:
@@ -212,8 +282,13 @@ def quality_scores(
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose text scores 0.5 or more, as they are: learned as above, then scored row by row without a shuffle of texts."""
-    model = learn(written(features(df, id_col, text_col)), labels, id_col)
+    """The rows of ``df`` whose text scores 0.5 or more, as they are.
+
+    Only the learning folds' features are written. The verdicts then come row by row from the texts: joining a table of
+    scores would shuffle all texts, which costs more than their features, and is undefined for rows that share an id.
+    """
+    learning = df.filter(F.col(id_col).isNotNull() & ~held_out(id_col))
+    model = learn(written(features(learning, id_col, text_col)), labels, id_col)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
