@@ -170,6 +170,22 @@ def test_checksums():
     assert [k for *_, k in find("card number: 4111 1111 1111 1111")] == ["card"] and not find("card number: 4111 1111 1111 1112")
 
 
+def test_token_headers():
+    import base64
+    import time
+
+    find, enc = secrets.Scanner().spans, lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    token = lambda head: f"{enc(head)}.{enc('{"sub":"12345"}')}.abcdefghijkl"
+    assert find(token('{"alg":"HS256"}')) and find("eyj" + token('{"alg":"HS256"}')) and not find(token('{"typ":"alg"}')) and not find(token('{"x":1} "alg"'))
+    flat = '{"a":["[[[[","]"],"alg":1}'
+    assert secrets.nesting(flat) == 2 and find(token(flat))
+    # Too deep is no header, and no crash either.
+    assert not find(token('{"a":' + "[" * 60_000 + "]" * 60_000 + ',"alg":1}'))
+    started = time.process_time()
+    assert not find("eyJ" * 200_000) and not find("eyJ" * 100_000 + "." + "eyJ" * 100_000) and secrets.nesting('"\\"' * 200_000) == 0
+    assert time.process_time() - started < 20  # the square of this length would take minutes
+
+
 def test_redaction(spark):
     df = secrets.redact(documents(spark, [None, "a token = abcdefghijkl0123 b", "clean"], clash=False))
     assert [r["text"] for r in df.orderBy("doc_id").collect()] == [None, "a <assign removed> b", "clean"]
