@@ -1,21 +1,20 @@
 """Media columns: audio features of samples stored losslessly (free style: NumPy inside Arrow tasks).
 
 ``store`` writes a payload as an 8-bit mono WAV file image, ``load`` reads it back
-chunk by chunk. ``features`` resamples by a polyphase filter, makes overlapped log-mel
+chunk by chunk. ``media_features`` resamples what it reads back by a polyphase filter, makes overlapped log-mel
 frames, and segments by energy with hysteresis: a segment opens above the high mark and
-closes below the low one. ``media_features`` gives, per block of a fixed number of frames,
-a fixed-shape tensor (``FRAMES`` x ``MELS``, row-major) with its time span, and per row the
-segments' time spans; ``as_tensors`` turns such a column into an Arrow fixed-shape tensor
-array. ``media_digest`` gives one row per document.
+closes below the low one. It gives one row per block of frames: a fixed-shape tensor (``FRAMES`` x ``MELS``, row-major; an Arrow
+fixed-shape tensor array inside the task, ``as_tensors`` makes one of such a column again) with its time span, and with a document's first
+block the stored image and the segments' time spans. ``media_digest`` gives one row per document, from those rows alone.
 
-A narrow map without shuffle. A payload is worked through in pieces of ``PIECE`` samples, so that beside
+Both are narrow maps in one stage, without shuffle. A payload is worked through in pieces of ``PIECE`` samples, so that beside
 the payload itself a task holds a bounded block of frames; samples before and after a
 piece that its first and last frames need are read with it, so results do not depend on
-the piece's size.
+the piece's size. Rows leave in batches of about ``ROWS`` blocks. The digest adds up blocks as they come, in the order in which the features were made.
 
 Defined results: null and empty texts give one pad block of 192 spaces. A constant
-payload is silence: no segments. Equal payloads give equal features. Null ids are
-carried through, repeated rows repeat, and only the id and text columns are read.
+payload is silence: no segments. Very long texts are more blocks. Equal payloads give equal features, so no ties arise. Null ids are
+carried through, repeated rows repeat, and only the id and text columns are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_codec import _map
-
 #: Samples a second as stored, and the ratio to the analysed rate (16 kHz -> 8 kHz).
 RATE, UP, DOWN = 16_000, 1, 2
 #: Analysis at the resampled rate: frame, step (frames overlap), mel bands, frames of a tensor.
 FRAME, HOP, MELS, FRAMES = 256, 128, 24, 64
 #: Frames worked on at once.
 PIECE = 4096
+#: Blocks of a batch, about.
+ROWS = 512
 #: Energy marks over the document's floor, in dB, and the least frames of a segment.
 HIGH_DB, LOW_DB, LEAST = 6.0, 3.0, 2
 PAD, BLOCK = 32, 192
@@ -160,46 +159,63 @@ def span_ms(a: int, b: int, rate: int) -> tuple[int, int]:
     return round(a * HOP * scale), round(((b - 1) * HOP + FRAME) * scale)
 
 
-def feature_text(mels: np.ndarray, energy: np.ndarray, rate: int) -> str:
-    """frames|segments|total ms in segments|mean log-mel of each band, two decimals."""
-    found = [span_ms(a, b, rate) for a, b in segments(energy)]
-    mean = ",".join(f"{v + 0.0:.2f}" for v in np.round(mels.mean(0, dtype=np.float64), 2) + 0.0)
-    return f"{len(mels)}|{len(found)}|{sum(b - a for a, b in found)}|{mean}"
+def blocks_of(text: str | None) -> dict[str, list]:
+    """The columns of one document's rows; ``logmel`` is one array of blocks x FRAMES x MELS."""
+    media = store(payload_of(text))
+    payload, rate = load(media)
+    mels, energy = frames_of(payload, rate)
+    n = -(-len(mels) // FRAMES)
+    tensors = np.zeros((n, FRAMES, MELS), np.float32)
+    tensors.reshape(-1, MELS)[: len(mels)] = mels
+    firsts = range(0, len(mels), FRAMES)
+    spans = [span_ms(a, min(len(mels), a + FRAMES), rate) for a in firsts]
+    segs = [dict(zip(("start_ms", "end_ms"), span_ms(a, b, rate))) for a, b in segments(energy)]
+    only_first = lambda v: [v] + [None] * (n - 1)
+    return {
+        "block": list(range(n)), "start_ms": [a for a, _ in spans], "end_ms": [b for _, b in spans], "n_frames": [min(FRAMES, len(mels) - a) for a in firsts],
+        "logmel": tensors, "segments": only_first(segs), "media": only_first(media), "n_bytes": only_first(len((text or "").encode())),
+    }
+
+
+_SEGMENTS = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
+_TENSOR = pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS])
+_TYPES = {"block": pa.int32(), "start_ms": pa.int64(), "end_ms": pa.int64(), "n_frames": pa.int32(), "segments": _SEGMENTS, "media": pa.binary(), "n_bytes": pa.int64()}
+_SCHEMA = (
+    "block int, start_ms long, end_ms long, n_frames int, logmel array<float>, segments array<struct<start_ms:long,end_ms:long>>, media binary, n_bytes long"
+)
 
 
 def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, block, start_ms, end_ms, logmel array<float> of FRAMES x MELS, n_frames, segments, media) per block of frames.
+    """(id, block, start_ms, end_ms, n_frames, logmel array<float> of FRAMES x MELS, segments, media, n_bytes) per block of frames.
 
-    The last block is filled up with zero frames; ``n_frames`` says how many are real. ``segments`` and the
-    stored image ``media`` stand on block 0 and are null on the others.
+    The last block is filled up with zero frames; ``n_frames`` says how many are real. ``segments``, the
+    stored image ``media`` and the text's bytes stand on block 0 and are null on the others.
     """
-    span = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
     kind = df.schema[id_col].dataType.simpleString()
-    schema = (
-        f"`{id_col}` {kind}, block int, start_ms long, end_ms long, n_frames int, logmel array<float>, "
-        "segments array<struct<start_ms:long,end_ms:long>>, media binary"
-    )
 
     def run(batches):
         for batch in batches:
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                media = store(payload_of(text))
-                payload, rate = load(media)
-                mels, energy = frames_of(payload, rate)
-                found = [dict(zip(("start_ms", "end_ms"), span_ms(a, b, rate))) for a, b in segments(energy)]
-                for first in range(0, len(mels), FRAMES):
-                    part = mels[first : first + FRAMES]
-                    a, b = span_ms(first, first + len(part), rate)
-                    full = np.zeros((FRAMES, MELS), np.float32)
-                    full[: len(part)] = part
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(row, 1), pa.array([first // FRAMES], pa.int32()), pa.array([a]), pa.array([b]),
-                         pa.array([len(part)], pa.int32()), pa.array([full.ravel()], pa.list_(pa.float32())),
-                         pa.array([found if first == 0 else None], span), pa.array([media if first == 0 else None], pa.binary())],
-                        names=[id_col, "block", "start_ms", "end_ms", "n_frames", "logmel", "segments", "media"],
-                    )
-
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+            rows, held, count = [], [], 0
+            texts = batch.column(1).to_pylist()
+            for row, text in enumerate(texts):
+                held.append(blocks_of(text))
+                rows += [row] * len(held[-1]["block"])
+                if len(rows) < ROWS and row + 1 < len(texts):
+                    continue
+                flat = np.concatenate([h["logmel"] for h in held])
+                tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(flat)
+                for at in range(0, len(rows), ROWS):  # a very long text alone is many batches
+                    take = slice(at, at + ROWS)
+                    cols = {n: pa.array([v for h in held for v in h[n]][take], t) for n, t in _TYPES.items()}
+                    # Spark knows tensors as lists of equal length.
+                    cols["logmel"] = tensors[take].storage.cast(pa.list_(pa.float32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[take])), *(cols[n] for n in _NAMES)], names=[id_col, *_NAMES])
+                rows, held = [], []
+
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, {_SCHEMA}")
+
+
+_NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
 def as_tensors(column: pa.Array) -> pa.FixedShapeTensorArray:
@@ -207,23 +223,64 @@ def as_tensors(column: pa.Array) -> pa.FixedShapeTensorArray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = pa.FixedSizeListArray.from_arrays(column.flatten().cast(pa.float32()), FRAMES * MELS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS]), flat)
+    return pa.ExtensionArray.from_storage(_TENSOR, flat)
+
+
+class Digest:
+    """One document's figures, added up over its blocks in order."""
+
+    def __init__(self, media: bytes, segs: list[dict], n_bytes: int):
+        payload, _ = load(media)
+        self.figures = (n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
+        self.segments, self.in_ms = len(segs), sum(s["end_ms"] - s["start_ms"] for s in segs)
+        self.frames, self.end_ms, self.total = 0, 0, np.zeros(MELS)
+
+    def add(self, tensor: np.ndarray, n_frames: int, end_ms: int) -> None:
+        self.frames += n_frames
+        self.end_ms = end_ms
+        self.total += tensor[:n_frames].sum(0, dtype=np.float64)
+
+    def feature(self) -> str:
+        """frames|ms|segments|total ms in segments|mean log-mel of each band, two decimals."""
+        mean = ",".join(f"{v:.2f}" for v in np.round(self.total / self.frames, 2) + 0.0)
+        return f"{self.frames}|{self.end_ms}|{self.segments}|{self.in_ms}|{mean}"
+
+
+_DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def digests(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row per document of ``media_features``, whose blocks must stand together and in order, as that operator leaves them."""
+    kind = blocks.schema[id_col].dataType.simpleString()
+    names = [x.split()[0] for x in _DIGEST.split(", ")]
+
+    def run(batches):
+        type_of, last = None, None  # last: (id, Digest) of the document that may go on in the next batch
+
+        def rows(done):
+            cols = list(zip(*((*d.figures, d.feature()) for _, d in done)))
+            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in done], type_of), *map(pa.array, cols)], names=[id_col, *names])
+
+        for batch in batches:
+            type_of, done = batch.column(0).type, []
+            get = {n: batch.column(batch.schema.get_field_index(n)) for n in _NAMES}
+            tensors = as_tensors(get["logmel"]).to_numpy_ndarray()
+            ids, first = batch.column(0).to_pylist(), get["block"].to_pylist()
+            frames, ends = get["n_frames"].to_pylist(), get["end_ms"].to_pylist()
+            for k, tensor in enumerate(tensors):
+                if first[k] == 0:
+                    if last:
+                        done.append(last)
+                    last = ids[k], Digest(get["media"][k].as_py(), get["segments"][k].as_py(), get["n_bytes"][k].as_py())
+                last[1].add(tensor, frames[k], ends[k])
+            if done:
+                yield rows(done)
+        if last:
+            yield rows([last])
+
+    return blocks.mapInArrow(run, f"`{id_col}` {kind}, {_DIGEST}")
 
 
 def media_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: sizes, digests of the payload read back and of the stored form, features as a string."""
-    names = "n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature".split()
-
-    def work(texts):
-        rows = []
-        for text in texts:
-            media = store(payload_of(text))
-            payload, rate = load(media)
-            rows.append((
-                len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]),
-                len(media), hashlib.sha256(media).hexdigest(), feature_text(*frames_of(payload, rate), rate),
-            ))
-        return dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
-
-    schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _map(df, schema, id_col, text_col, work)
+    """One row per document: sizes, digests of the payload read back and of the stored form, features of its tensors and time spans as a string."""
+    return digests(media_features(df, id_col, text_col), id_col)

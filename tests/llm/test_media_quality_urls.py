@@ -58,12 +58,71 @@ def test_hysteresis():
     assert media.segments(np.zeros(9)) == []
 
 
+def plain_feature(payload):
+    """The whole payload at once by the definitions: zero-free resampling by convolution, frames one by one, levels frame by frame."""
+    taps = media.filter_bank(1, 2)[0].astype(float)
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    lead = len(taps) - len(taps) // 2 - 1
+    y = np.convolve(x, taps)[lead : lead + len(x) : 2]
+    count = max(1, -(-(len(y) - media.FRAME) // media.HOP) + 1)
+    y = np.pad(y, (0, max(0, (count - 1) * media.HOP + media.FRAME - len(y))))
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / media.FRAME)
+    mels, level = [], []
+    for k in range(count):
+        frame = y[k * media.HOP : k * media.HOP + media.FRAME]
+        power = np.abs(np.fft.rfft((frame - frame.mean()) * hann)) ** 2
+        mels.append(np.log(power @ media.mel_bank(8000) + 1e-6))
+        level.append(10 * np.log10(power.sum() + 1e-6))
+    floor, inside, runs = np.percentile(level, 10), False, []
+    for k, v in enumerate(level):
+        was, inside = inside, v > floor + media.HIGH_DB or inside and v >= floor + media.LOW_DB
+        if inside and not was:
+            runs.append([k, k])
+        if inside:
+            runs[-1][1] = k + 1
+    ms = lambda a, b: (round(a * 128 / 8), round(((b - 1) * 128 + 256) / 8))
+    spans = [ms(a, b) for a, b in runs if b - a >= media.LEAST]
+    return [count, ms(0, count)[1], len(spans), sum(b - a for a, b in spans)], np.mean(mels, 0)
+
+
+def test_feature_against_plain_numpy(spark):
+    rng = np.random.default_rng(5)
+    noisy = "".join("~}!z"[k] if i // 900 % 3 == 1 else "mn"[k % 2] for i, k in enumerate(rng.integers(0, 4, 30_000)))
+    texts = TEXTS + [noisy, "a" * 5000, "a"]
+    got = {r["doc_id"]: r["feature"] for r in media.media_digest(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        *counts, bands = got[i].split("|")
+        want, mean = plain_feature(media.payload_of(t))
+        assert list(map(int, counts)) == want, i
+        assert np.allclose(list(map(float, bands.split(","))), mean, atol=0.02), i
+    assert int(got[len(TEXTS)].split("|")[2]) > 1
+
+
 def test_tensors(spark):
-    out = media.media_features(documents(spark, [PROSE * 200, ""], clash=False)).toArrow().sort_by([("doc_id", "ascending"), ("block", "ascending")])
+    df = documents(spark, [PROSE * 200, "", PROSE * 2000], clash=False)
+    out = media.media_features(df).toArrow()
     tensors = media.as_tensors(out.column("logmel"))
-    assert tensors.type.shape == [media.FRAMES, media.MELS] and len(tensors) == out.num_rows
-    first = out.slice(0, 1).to_pylist()[0]
-    assert first["media"][:4] == b"RIFF" and first["start_ms"] == 0 < first["end_ms"] and isinstance(tensors, pa.FixedShapeTensorArray)
+    assert tensors.type.shape == [media.FRAMES, media.MELS] and len(tensors) == out.num_rows and isinstance(tensors, pa.FixedShapeTensorArray)
+    rows = out.drop_columns(["logmel"]).to_pylist()
+    assert [r["block"] for r in rows if r["doc_id"] == 2] == list(range(len(rows) - 1 - sum(r["doc_id"] == 0 for r in rows)))
+    for a, b in zip(rows, rows[1:]):  # blocks of a document follow one another in time, overlapping by what frames do
+        assert a["start_ms"] < a["end_ms"] and (b["block"] == 0) == (b["media"] is not None)
+        if b["block"]:
+            assert a["n_frames"] == media.FRAMES and b["start_ms"] - a["start_ms"] == media.FRAMES * media.HOP // 8 and b["start_ms"] < a["end_ms"]
+    assert rows[0]["media"][:4] == b"RIFF" and rows[0]["start_ms"] == 0
+
+
+def test_media_batches_do_not_show(spark):
+    df = documents(spark, clash=False)
+    key = lambda rows: sorted(map(str, rows))
+    want = key(media.media_digest(df.coalesce(1)).collect())
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert key(media.media_digest(df.coalesce(1)).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert media.media_digest(df.limit(0)).count() == 0 == media.media_features(df.limit(0)).count()
 
 
 @pytest.fixture(scope="module")
