@@ -6,18 +6,18 @@
    configurations cover every length's count) by multiplicative weights. Each round
    prices lengths by their weights, solves the knapsack by dynamic programming, and reads
    from its table the best configuration around every length; weights of lengths that
-   these cover too often fall. The rounds' average is rounded to whole sequences,
-   and what is left is placed best-fit decreasing on the histogram's counts.
+   these cover too often fall. The rounds' average is rounded to whole sequences, again and again for what is left,
+   and the last pieces are placed best-fit decreasing on the histogram's counts.
 4. Every piece gets a rank among those of its length and takes the place of that rank
-   in the plan. Ranks are made per (length, salt), and salts are offset by their counts,
-   so that one common length, even of a third of all rows, is spread over many tasks.
+   in the plan. Ranks are made per (length, salt) by the row numbers that the piece table was written with, and salts are offset by
+   their counts, so that one common length, even of a third of all rows and all of them equal, is spread over many tasks.
 
 The plan is bounded by the number of lengths and rounds, not by the rows; it is broadcast.
 The piece table (no ids unless asked for) is written to the shared folder, because the histogram and the
 placement both read it.
 
 Defined results: null and empty texts are one piece with the end id alone. Repeated rows
-are packed as often as they stand. Null ids are carried through. An empty table
+are packed as often as they stand; which of equal pieces takes which place is open. Null ids are carried through. Very long texts are many pieces. An empty table
 gives an empty result. Only the id and text columns are read.
 """
 
@@ -151,26 +151,24 @@ def around(take: np.ndarray, lengths: np.ndarray, capacity: int) -> list[tuple[i
         room[live] = filled[room[live] - got]
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """[(configuration, how many sequences)] that hold every length as often as the histogram says, exactly."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        left[length] = n
-    plan: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        plan.append(((capacity,), int(left[capacity])))
-        left[capacity] = 0
-    lengths = np.flatnonzero(left)[::-1]
-    if not len(lengths):
-        return plan
-    demand = left.astype(float)
+Plan = list[tuple[tuple[int, ...], int]]
+
+
+def program(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], float], float]:
+    """(configuration -> how many sequences, on average over the rounds; a bound below which no plan's sequences can be).
+
+    ``demand[l]`` is how many pieces of length l there are. Prices divided by the knapsack's best worth are a solution of the
+    dual program, so the pieces' prices together are a bound; the greatest of the rounds' is returned.
+    """
+    lengths = np.flatnonzero(demand)[::-1]
     # A length is worth the room it takes, until configurations that use it too often lower its weight.
-    weight = np.where(demand > 0, 1.0, 0.0)
-    size = np.arange(capacity + 1)
+    weight, size = np.where(demand > 0, 1.0, 0.0), np.arange(capacity + 1)
     chosen: dict[tuple[int, ...], float] = {}
+    bound = 0.0
     for _ in range(rounds):
         price = np.where(demand > 0, weight * size, -np.inf)
-        _, take = knapsack(price, capacity)
+        best, take = knapsack(price, capacity)
+        bound = max(bound, float((demand[lengths] * price[lengths]).sum() / best[capacity]))
         covered = np.zeros(capacity + 1)
         for length, config in zip(lengths.tolist(), around(take, lengths, capacity)):
             if (need := demand[length] - covered[length]) <= 0:
@@ -182,21 +180,62 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> lis
         over = np.clip(covered[lengths] / demand[lengths] - 1, 0, 4)
         weight[lengths] *= np.exp(-RATE * over)
         weight /= weight.max()
-    # Rounding: fullest configurations first, never more of one than the program wants (rounded up) or the counts allow.
-    for config, x in sorted(chosen.items(), key=lambda c: (sum(c[0]) - capacity, c[1]), reverse=True):
-        n, counts = int(np.ceil(x)), {}
-        for length in config:
-            counts[length] = counts.get(length, 0) + 1
+    return chosen, bound
+
+
+def _put(plan: Plan, left: np.ndarray, config: tuple[int, ...], n: int) -> None:
+    """Adds ``config`` n times, or as often as the counts that are left allow."""
+    counts: dict[int, int] = {}
+    for length in config:
+        counts[length] = counts.get(length, 0) + 1
+    n = min(n, *(int(left[length]) // k for length, k in counts.items()))
+    if n > 0:
         for length, k in counts.items():
-            n = min(n, int(left[length]) // k)
-        if n > 0 and sum(config) >= capacity - 2:
-            for length, k in counts.items():
-                left[length] -= n * k
-            plan.append((config, n))
-    return plan + best_fit(left, capacity)
+            left[length] -= n * k
+        plan.append((config, n))
 
 
-def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[Plan, float]:
+    """([(configuration, how many sequences)] that hold every length as often as the histogram says, exactly; the dual bound).
+
+    The program's averages are rounded down, all configurations, fullest first, and the program is solved anew for what is left, as long as that places
+    a quarter of the pieces; then they are rounded up, and best-fit places the rest. The plan has no more sequences than best-fit alone, or
+    than rounding up at once: the least of the three is taken.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        left[length] = n
+    full: Plan = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    whole = float(left[capacity])
+    left[capacity] = 0
+    if not left.any():
+        return full, whole
+
+    def fullest(chosen):
+        return sorted(chosen.items(), key=lambda c: (sum(c[0]), c[1], c[0]), reverse=True)
+
+    def rounded_up(chosen, left):
+        plan, left = [], left.copy()
+        for config, x in fullest(chosen):
+            if sum(config) >= capacity - 2:
+                _put(plan, left, config, int(np.ceil(x)))
+        return plan + best_fit(left, capacity)
+
+    chosen, bound = program(left, capacity, rounds)
+    plans = [best_fit(left, capacity), rounded_up(chosen, left)]
+    down: Plan = []
+    while left.any():
+        before = int(left.sum())
+        for config, x in fullest(chosen):
+            _put(down, left, config, int(x))
+        if 4 * int(left.sum()) > 3 * before:
+            break
+        chosen, _ = program(left, capacity, rounds) if left.any() else ({}, 0.0)
+    plans.append(down + rounded_up(chosen, left))
+    return full + min(plans, key=lambda p: sum(n for _, n in p)), whole + bound
+
+
+def best_fit(left: np.ndarray, capacity: int) -> Plan:
     """Best-fit decreasing on counts: each step repeats one sequence as often as the counts allow, so it ends some length."""
     plan, left = [], left.copy()
     while len(lengths := np.flatnonzero(left)):
@@ -217,7 +256,7 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
     return plan
 
 
-def slots(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
+def slots(plan: Plan) -> np.ndarray:
     """Rows (length, first rank, copies in a sequence, first sequence, offset of the first copy), by length and rank."""
     rows, used, sequence = [], {}, 0
     for config, times in plan:
@@ -231,18 +270,19 @@ def slots(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def place(cut: DataFrame, capacity: int = 4096, id_col: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset to a table of pieces with column ``length``; reads it twice."""
+def place(cut: DataFrame, capacity: int = 4096) -> DataFrame:
+    """Adds sequence_id and offset to a written table of pieces with the columns ``length`` and ``_row``, a number of each row; reads it twice. ``_row`` goes."""
     spark = cut.sparkSession
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = slots(solve(histogram, capacity))
+    table = slots(solve(histogram, capacity)[0])
     shared = spark.sparkContext.broadcast(table)
     salts = max(64, -(-sum(histogram.values()) // GROUP_ROWS))
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(salts)))
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    own = Window.partitionBy("length", "_salt").orderBy(id_col, "piece", "ids_crc32")
+    own = Window.partitionBy("length", "_salt").orderBy("_row")
+    cut = cut.drop("_row")
     ranked = (
         salted.withColumn("_own", F.row_number().over(own))
         .join(firsts, ["length", "_salt"])
@@ -270,4 +310,5 @@ def pack(
     df: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per piece of every text with its sequence and place: the pieces of a sequence fill it from 0 without gaps."""
-    return place(written(pieces(df, path, capacity, end_id, keep_ids, id_col, text_col)), capacity, id_col)
+    cut = pieces(df, path, capacity, end_id, keep_ids, id_col, text_col)
+    return place(written(cut.withColumn("_row", F.monotonically_increasing_id())), capacity)

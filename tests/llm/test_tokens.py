@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cloneframe.llm import bpe_codec, packing, token_counts
@@ -107,14 +108,60 @@ def test_plans_hold_the_histogram(seed):
     rng = np.random.default_rng(seed)
     lengths = np.minimum(512, rng.lognormal(4, 1.2, 3000).astype(int) + 1)
     histogram = dict(collections.Counter(lengths.tolist()))
-    plan = packing.solve(histogram, 512)
+    plan, bound = packing.solve(histogram, 512)
     held = collections.Counter()
     for config, n in plan:
         assert sum(config) <= 512 and n > 0
         for length in config:
             held[length] += n
     assert held == histogram
-    assert sum(n for _, n in plan) <= 1.01 * lengths.sum() / 512 + 1
+    used = sum(n for _, n in plan)
+    assert bound <= used <= 1.01 * lengths.sum() / 512 + 1
+    left = np.bincount(lengths, minlength=513)
+    assert used <= sum(n for _, n in packing.best_fit(left, 512))
+
+
+def fewest(items, capacity):
+    """The fewest sequences, by trying everything."""
+    best = len(items)
+
+    def go(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(items):
+            best = len(rooms)
+            return
+        for i in {r: i for i, r in enumerate(rooms) if r >= items[k]}.values():
+            go(k + 1, rooms[:i] + [rooms[i] - items[k]] + rooms[i + 1 :])
+        go(k + 1, [*rooms, capacity - items[k]])
+
+    go(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_dual_bound_is_a_bound(seed):
+    rng = np.random.default_rng(seed)
+    lengths = sorted(rng.integers(3, 31, 9).tolist(), reverse=True)
+    plan, bound = packing.solve(dict(collections.Counter(lengths)), 30)
+    least = fewest(lengths, 30)
+    assert bound <= least + 1e-9 and least <= sum(n for _, n in plan) <= least + 1
+
+
+def test_packing_of_equal_rows(spark):
+    """Rows that nothing tells apart are spread over the salts, and each is placed once."""
+    df = spark.createDataFrame([(None, "one two three")] * 3000 + [(None, None)] * 500, "doc_id long, text string").repartition(3)
+    rows = packing.pack(df, WORD, capacity=64).collect()
+    assert len(rows) == 3500 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 3500
+    assert check_packing(rows, 64) <= -(-sum(r["length"] for r in rows) // 64) + 1
+    same = packing.pieces(df, WORD).withColumn("_row", F.monotonically_increasing_id()).withColumn("s", F.pmod(F.xxhash64("_row"), F.lit(64)))
+    assert max(r["count"] for r in same.groupBy("length", "s").count().collect()) < 200
+
+
+def test_empty_tables_of_tokens(spark):
+    df = documents(spark).limit(0)
+    assert bpe_codec.round_trip(df, BYTE).count() == token_counts.count_tokens(df, PIECE).count() == bpe_codec.encode(df, BYTE).count() == 0
 
 
 def test_knapsack_is_exact():
