@@ -39,8 +39,28 @@ def residue_cost(a: Column, b: Column) -> Column:
     return out.otherwise(FAR)
 
 
-#: The same by (first byte * 256 + second byte), small, as a block reads it once for every pair of letters.
-_FLAT = costs().ravel().astype(np.int16)
+_COSTS = costs()
+
+
+def _by_length(texts: list[str], number: np.ndarray) -> list[tuple[list[int], np.ndarray]]:
+    """(places, letters' numbers as a matrix) of the strings of each length."""
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(texts):
+        places.setdefault(len(x), []).append(i)
+    raw = lambda rows: np.frombuffer("".join(texts[i] for i in rows).encode("latin-1", "replace"), np.uint8)
+    return [(rows, number[raw(rows)].reshape(len(rows), n)) for n, rows in places.items()]
+
+
+def _per_lengths(left: list[str], right: list[str], of) -> np.ndarray:
+    """``of(a, b)`` over all pairs of two lengths at once, a as (rows, 1, n) and b as (1, cols, m) code points."""
+    out = np.empty((len(left), len(right)), np.int32)
+    code = lambda texts, rows: np.array([[ord(c) for c in texts[i]] for i in rows], np.int64).reshape(len(rows), -1)
+    lengths = lambda texts: {n: [i for i, x in enumerate(texts) if len(x) == n] for n in {len(x) for x in texts}}
+    for rows in lengths(left).values():
+        a = code(left, rows)[:, None, :]
+        for cols in lengths(right).values():
+            out[np.ix_(rows, cols)] = of(a, code(right, cols)[None, :, :])
+    return out
 
 
 @dataclass(frozen=True)
@@ -82,27 +102,31 @@ class Tcr:
         return greatest(lit(0), 5 - wide), least(low, low - 5 + wide)
 
     def block(self, left: list[str], right: list[str]) -> np.ndarray:
-        table, out = _FLAT, np.empty((len(left), len(right)), np.int32)
-        raw = lambda xs, rows: np.array([np.frombuffer(xs[i].encode("latin-1", "replace"), np.uint8) for i in rows])
-        rows_by = lambda xs: {n: [i for i, x in enumerate(xs) if len(x) == n] for n in {len(x) for x in xs}}
-        for n, rows in rows_by(left).items():
-            a = raw(left, rows).reshape(len(rows), n)
-            for m, cols in rows_by(right).items():
-                b = raw(right, cols).reshape(len(cols), m)
+        """All pairs by matrix products: a string's letters as ones and zeros by place, times what each letter costs against the other's at that place."""
+        out = np.empty((len(left), len(right)), np.int32)
+        used = np.frombuffer("".join([*left, *right]).encode("latin-1", "replace"), np.uint8)
+        letters = np.unique(used)
+        number, table = np.zeros(256, np.intp), _COSTS[np.ix_(letters, letters)].astype(np.float32)
+        number[letters] = np.arange(len(letters))
+        ones = np.eye(len(letters), dtype=np.float32)
+        for rows, a in _by_length(left, number):
+            n = a.shape[1]
+            for cols, b in _by_length(right, number):
+                m = b.shape[1]
                 low, gap = min(n, m), abs(n - m)
-                # Costs of letters paired from the start and from the end, trimmed, and their sums.
-                pair = lambda x, y: table.take((x.astype(np.int32) << 8)[:, None, :] + y[None, :, :])
-                front = pair(a[:, :low], b[:, :low])
-                front[:, :, : self.ntrim] = 0
+                costs_of = lambda x, y, i, j: (  # the summed costs of places i to j - 1
+                    ones[x[:, i:j]].reshape(len(x), -1) @ table[:, y[:, i:j]].transpose(2, 0, 1).reshape(-1, len(y)) if j > i else np.zeros((len(x), len(y)), np.float32)
+                )
                 if n == m:
-                    d = front[:, :, : max(0, n - self.ctrim)].sum(2)
+                    d = costs_of(a, b, self.ntrim, n - self.ctrim)
                 else:
-                    back = pair(a[:, n - low :], b[:, m - low :])[:, :, ::-1].copy()
-                    back[:, :, : self.ctrim] = 0
-                    f, k = (np.concatenate([np.zeros((*x.shape[:2], 1), np.int16), x.cumsum(2, dtype=np.int16)], 2) for x in (front, back))
+                    ends = a[:, n - low :][:, ::-1], b[:, m - low :][:, ::-1]
                     first, last = self._gap_places(low, min, max, lambda x: x // 2, int)
-                    d = np.min([f[:, :, g] + k[:, :, low - g] for g in range(first, last + 1)], axis=0)
-                out[np.ix_(rows, cols)] = d * self.dist_weight + gap * self.gap_penalty
+                    here = d = costs_of(a, b, self.ntrim, first) + costs_of(*ends, self.ctrim, low - first)
+                    for g in range(first, last):  # the gap moves on by one: a letter more from the start, one less from the end
+                        here = here + costs_of(a, b, max(g, self.ntrim), g + 1) - costs_of(*ends, max(self.ctrim, low - g - 1), low - g)
+                        d = np.minimum(d, here)
+                out[np.ix_(rows, cols)] = np.rint(d).astype(np.int32) * self.dist_weight + gap * self.gap_penalty
         return out
 
     def length_cost(self) -> int:
@@ -118,7 +142,7 @@ class Edit:
         return F.levenshtein(s, t)
 
     def block(self, left, right):
-        return np.array([[edit_distance(a, b) for b in right] for a in left], np.int32).reshape(len(left), len(right))
+        return _per_lengths(left, right, edit_distances)
 
     def length_cost(self) -> int:
         return 1
@@ -145,8 +169,10 @@ class Aligned:
     mismatches: bool = True
 
     def block(self, left, right):
-        of = nw_hamming if self.mismatches else nw_dissimilarity
-        return np.array([[of(a, b) for b in right] for a in left], np.int32).reshape(len(left), len(right))
+        if self.mismatches:
+            return _per_lengths(left, right, lambda a, b: alignments(a, b)[1])
+        own = lambda xs: np.array([align(x, x)[0] for x in xs], np.int64)
+        return ((own(left)[:, None] + own(right)[None, :]) // 2 - _per_lengths(left, right, lambda a, b: alignments(a, b)[0])).astype(np.int32)
 
     def length_cost(self) -> int:
         return 1 if self.mismatches else 0
@@ -166,11 +192,18 @@ class Custom:
 
 
 def edit_distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return int(Edit().block([a], [b])[0, 0])
+
+
+def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of all pairs, one cell of the table at a time for all of them."""
+    shape = np.broadcast_shapes(a.shape[:2], b.shape[:2])
+    row = [np.full(shape, j, np.int32) for j in range(b.shape[2] + 1)]
+    for i in range(a.shape[2]):
+        before, row[0] = row[0], np.full(shape, i + 1, np.int32)
+        for j in range(b.shape[2]):
+            best = np.minimum(np.minimum(row[j], row[j + 1]) + 1, before + (a[:, :, i] != b[:, :, j]))
+            before, row[j + 1] = row[j + 1], best
     return row[-1]
 
 
@@ -179,9 +212,6 @@ def _score(x: str, y: str) -> int:
     return FAR - int(_COSTS[ord(x) & 255, ord(y) & 255]) if x != y else 5
 
 
-_COSTS = costs()
-
-
 def align(a: str, b: str, gap: int = -4) -> tuple[int, list[tuple[str, str]]]:
     """Best global score and one best alignment, pairs of letters with '-' for gaps; substitutions go before gaps on ties."""
     n, m = len(a), len(b)
@@ -204,6 +234,25 @@ def align(a: str, b: str, gap: int = -4) -> tuple[int, list[tuple[str, str]]]:
     return int(best[n, m]), out[::-1]
 
 
+_SCORES = np.where(np.eye(256, dtype=bool), 5, FAR - _COSTS)
+
+
+def alignments(a: np.ndarray, b: np.ndarray, gap: int = -4) -> tuple[np.ndarray, np.ndarray]:
+    """(best global score, differing places of the alignment that ``align`` picks) of all pairs, by the same table for all of them."""
+    shape = np.broadcast_shapes(a.shape[:2], b.shape[:2])
+    full = lambda v: np.full(shape, v, np.int32)
+    row = [(full(j * gap), full(j)) for j in range(b.shape[2] + 1)]
+    for i in range(a.shape[2]):
+        before, row[0] = row[0], (full((i + 1) * gap), full(i + 1))
+        for j in range(b.shape[2]):
+            x, y = a[:, :, i], b[:, :, j]
+            diagonal, up, back = before[0] + _SCORES[x & 255, y & 255], row[j + 1][0] + gap, row[j][0] + gap
+            best = np.maximum(np.maximum(diagonal, up), back)
+            places = np.where(best == diagonal, before[1] + (x != y), np.where(best == up, row[j + 1][1], row[j][1]) + 1)
+            before, row[j + 1] = row[j + 1], (best.astype(np.int32), places.astype(np.int32))
+    return row[-1]
+
+
 def nw_hamming(a: str, b: str) -> int:
     return sum(x != y for x, y in align(a, b)[1])
 

@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequences import _CODE as _CODONS
+from ..sources.store import written
 from .clones import gene_usage, stratified_usage, usage_weights, with_gene_frequencies
-
-_CODONS = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+from .ranks import ranked
 
 
 def stratified_sample(df: DataFrame, group: list[str], n: int, seed: int = 1, keys: list[str] | None = None) -> DataFrame:
@@ -22,12 +23,16 @@ def stratified_sample(df: DataFrame, group: list[str], n: int, seed: int = 1, ke
 
 
 def sample(df: DataFrame, n: int, seed: int = 1, replace: bool = False) -> DataFrame:
-    """n rows; with replacement each row is repeated as often as a Poisson draw of the mean says, then cut to n."""
-    order = F.xxhash64(*df.columns, F.lit(seed))
+    """n rows by a seeded hash, so a rerun gives the same ones; with replacement n draws, each of any row with equal chance. Sampling is the operator.
+
+    With replacement, rows are numbered and each draw is joined to the number that its hash picks.
+    """
     if not replace:
-        return df.orderBy(order).limit(n)
-    mean = 1.2 * n / max(1, df.count())
-    return df.withColumn("_k", F.floor(-F.log(1 - F.rand(seed)) * mean + 1).cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(1), "_k"))).drop("_k", "_i").limit(n)
+        return df.orderBy(F.xxhash64(*df.columns, F.lit(seed)), *df.columns).limit(n)
+    numbered = written(ranked(df, [F.xxhash64(*df.columns, F.lit(seed)), *df.columns], "_at"))
+    size = numbered.agg(F.count("*").alias("_size")).filter("_size > 0")
+    draws = df.sparkSession.range(n).crossJoin(F.broadcast(size)).select((F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_size")) + 1).cast("long").alias("_at"))
+    return draws.join(numbered, "_at").select(*df.columns)
 
 
 def flat_background(reference: DataFrame, size: int, v: str = "v_reps", j: str = "j_reps", seed: int = 1, subject: str = "subject") -> DataFrame:

@@ -48,6 +48,14 @@ def incomplete(cells: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return cells.filter(functools.reduce(operator.or_, (F.col(c).isNull() for c in keys or index_columns(cells))))
 
 
+def first_values(df: DataFrame, group: list[str], order: list[Column | str], columns: list[str] | None = None) -> DataFrame:
+    """Per group the first value that isn't null of each column, by the order given; groups with a null key vanish. One aggregate, no window."""
+    others = columns or [c for c in df.columns if c not in group]
+    key = F.struct(*((F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)))
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(key.alias("k"), F.col(c).alias("v"))))["v"].alias(c)
+    return df.dropna(subset=group).groupBy(*group).agg(*(first(c) for c in others))
+
+
 def filter_is(df: DataFrame, column: str, value) -> DataFrame:
     return df.filter(F.col(column) == value)
 

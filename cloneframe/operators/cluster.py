@@ -1,18 +1,20 @@
-"""Hierarchical clustering of the connected parts of an edge table.
+"""Hierarchical clustering of edge tables.
 
-Linkage needs a set's distances together. Clones beyond ``cut`` of each other never share a
-cluster in complete linkage cut there, so each connected part of the edges within the cut is one group of its own; parts
-above ``MOST`` clones are refused rather than gathered. For Ward linkage the parts are taken at ``reach``.
+``agglomerate`` builds a linkage up to a height in Spark: in each round all pairs of clusters that are each other's nearest merge, and
+distances between clusters are combined by aggregates over edges. For complete, average and Ward linkage this gives what merging one nearest pair
+after the other gives (a merge never brings clusters nearer). Two clusters of which some pair has no edge are farther apart than the edges reach,
+so they can't merge and their edges go: no part of the edges is gathered, and none is too large. Equal heights are taken in the order of a hash, so
+that many pairs merge in a round. ``linkage`` is the same for one matrix in memory.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST = 5_000
+from ..sources.store import written
+from .ranks import ranked
 
 
 def linkage(d: np.ndarray, method: str = "complete") -> np.ndarray:
@@ -85,60 +87,79 @@ def cut_tree(z: np.ndarray, n: int, t: float) -> np.ndarray:
     return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
-def parts_of(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """(ix, part): the smallest id that can be reached, by label propagation with pointer jumping. Edges run both ways."""
-    edges = edges.select("left_ix", "right_ix").persist()
-    labels = nodes.select("ix", F.col("ix").alias("part")).persist()
-    for _ in range(rounds):
+def parts_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ix, part): the smallest id that can be reached, by label propagation with pointer jumping until nothing changes. Edges run both ways."""
+    edges = written(edges.select("left_ix", "right_ix"))
+    labels = nodes.select("ix", F.col("ix").alias("part"))
+    while True:
         near = edges.join(labels, edges["left_ix"] == labels["ix"]).groupBy(F.col("right_ix").alias("ix")).agg(F.min("part").alias("_p"))
         step = labels.join(near, "ix", "left").select("ix", F.col("part").alias("_old"), F.least("part", F.coalesce("_p", "part")).alias("_new"))
         jump = labels.select(F.col("ix").alias("_new"), F.col("part").alias("_far"))
-        new = step.join(jump, "_new").select("ix", F.least("_new", "_far").alias("part"), "_old").persist()
-        done = new.filter("part <> _old").isEmpty()
-        labels.unpersist()
+        new = written(step.join(jump, "_new").select("ix", F.least("_new", "_far").alias("part"), "_old"))
         labels = new.select("ix", "part")
-        if done:
+        if new.filter("part <> _old").isEmpty():
             return labels
-    raise ValueError("the edges' parts are deeper than the rounds allow")
-
-
-def hierarchical(edges: DataFrame, nodes: DataFrame, t: float, method: str = "complete", far: float = 1e6, node_id: str = "clone_ix") -> DataFrame:
-    """(ix, cluster_id): clusters of a linkage cut at t, numbered by their smallest member's id. Absent pairs are ``far`` apart."""
-    ids = nodes.select(F.col(node_id).alias("ix")).distinct()
-    parts = parts_of(edges, ids)
-    if parts.groupBy("part").count().filter(F.col("count") > MOST).limit(1).count():
-        raise ValueError(f"a connected part has more than {MOST} clones: use a smaller radius")
-    p = parts.select(F.col("ix").alias("left_ix"), "part")
-    grouped = p.join(edges, "left_ix", "left").select("part", "left_ix", "right_ix", "dist")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.unique(pdf["left_ix"].to_numpy())
-        d = np.full((len(own), len(own)), far)
-        np.fill_diagonal(d, 0)
-        e = pdf.dropna()
-        i, j = np.searchsorted(own, e["left_ix"].to_numpy()), np.searchsorted(own, e["right_ix"].to_numpy().astype(own.dtype))
-        d[i, j] = e["dist"].to_numpy()
-        d = np.minimum(d, d.T)
-        labels = cut_tree(linkage(d, method), len(own), t) if len(own) > 1 else np.zeros(1, int)
-        first = pd.Series(own).groupby(labels).transform("min")
-        return pd.DataFrame({"ix": own, "cluster_id": first.to_numpy()})
-
-    kind = nodes.schema[node_id].dataType.simpleString()
-    return grouped.groupBy("part").applyInPandas(one, f"ix {kind}, cluster_id {kind}")
 
 
-def clusters_of(assigned: DataFrame) -> DataFrame:
-    """(cluster_id, members, size, rank): largest first, ties by id."""
-    from pyspark.sql import Window
-
-    out = assigned.groupBy("cluster_id").agg(F.sort_array(F.collect_list("ix")).alias("members"), F.count("*").alias("size"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "cluster_id")))
+def _combined(edges: DataFrame, merged: DataFrame, method: str) -> DataFrame:
+    """Directed edges (u, v, d, nu, nv) after the merges (old, new, h, no, other) of their first ends; an edge that only one half of a merge has goes."""
+    both = edges.join(merged.select(F.col("old").alias("u"), "new", "h", "other"), "u", "left").filter("new is null or v <> other")
+    new, kept = F.coalesce("new", "u"), F.col("new").isNull()
+    total = F.sum("nu")
+    mean = F.sum(F.col("d") * F.col("nu")) / total
+    # Ward: of squared heights, weighted by sizes, less the merge's own.
+    ward = F.sqrt((F.sum((F.col("nu") + F.col("nv")) * F.col("d") * F.col("d")) - F.max("nv") * F.max("h") * F.max("h")) / (total + F.max("nv")))
+    d = {"complete": F.max("d"), "average": mean, "ward": F.coalesce(ward, F.max("d"))}[method]
+    out = both.groupBy(new.alias("u"), "v").agg(d.alias("d"), total.cast("long").alias("nu"), F.max("nv").alias("nv"), F.count("*").alias("_k"), F.max(kept).alias("_kept"))
+    return out.filter("_kept or _k = 2").select("u", "v", "d", "nu", "nv")
+
+
+def agglomerate(edges: DataFrame, nodes: DataFrame, t: float, method: str = "complete", node_id: str = "clone_ix") -> tuple[DataFrame, DataFrame]:
+    """((ix, cluster_id), (node, ix, height)): clusters cut at t, named by their smallest member, and all members of each merge on the way.
+
+    ``edges`` (left_ix, right_ix, dist) run both ways and hold all pairs within what t needs: for complete linkage those within t. A node is
+    "round:cluster". Methods: complete, average, ward; single linkage at t is ``parts_of``.
+    """
+    if method not in ("complete", "average", "ward"):
+        raise ValueError(f"no linkage {method!r}")
+    labels = nodes.select(F.col(node_id).alias("ix"), F.col(node_id).alias("cluster_id")).distinct()
+    one = F.lit(1).cast("long")
+    pairs = edges.filter("left_ix <> right_ix").select(F.col("left_ix").alias("u"), F.col("right_ix").alias("v"), F.col("dist").cast("double").alias("d"), one.alias("nu"), one.alias("nv"))
+    # A complete linkage never brings a pair nearer, so what is beyond t is of no use.
+    live = written((pairs.filter(F.col("d") <= t) if method == "complete" else pairs).distinct())
+    members, turn = None, 0
+    while True:
+        key = F.struct("d", F.xxhash64(F.least("u", "v"), F.greatest("u", "v")).alias("o"), "v", "nv")
+        nearest = live.filter(F.col("d") <= t).groupBy("u").agg(F.min(key).alias("k"), F.first("nu").alias("n"))
+        first = nearest.select(F.col("u").alias("a"), F.col("k.v").alias("b"), F.col("k.d").alias("h"), F.col("n").alias("na"))
+        second = nearest.select(F.col("u").alias("b"), F.col("k.v").alias("a"), F.col("n").alias("nb"))
+        merges = written(first.join(second, ["a", "b"]).filter("a < b"))
+        if merges.isEmpty():
+            break
+        turn += 1
+        halves = merges.select(F.col("a").alias("old"), F.col("a").alias("new"), "h", F.col("b").alias("other")).union(merges.select(F.col("b").alias("old"), F.col("a").alias("new"), "h", F.col("a").alias("other")))
+        halves = written(halves)
+        once = _combined(live, halves, method).select(F.col("v").alias("u"), F.col("u").alias("v"), "d", F.col("nv").alias("nu"), F.col("nu").alias("nv"))
+        live = written(_combined(once, halves, method))
+        moved = labels.join(halves.select(F.col("old").alias("cluster_id"), "new", "h"), "cluster_id", "left")
+        moved = written(moved.select("ix", F.coalesce("new", "cluster_id").alias("cluster_id"), "h"))
+        labels = moved.select("ix", "cluster_id")
+        held = moved.filter("h is not null").select(F.concat_ws(":", F.lit(turn), "cluster_id").alias("node"), "ix", F.col("h").alias("height"))
+        members = held if members is None else members.union(held)
+    if members is None:
+        members = labels.filter("false").select(F.lit("").alias("node"), "ix", F.lit(0.0).alias("height"))
+    return labels, members
+
+
+def hierarchical(edges: DataFrame, nodes: DataFrame, t: float, method: str = "complete", node_id: str = "clone_ix") -> DataFrame:
+    """(ix, cluster_id): clusters of a linkage cut at t, named by their smallest member's id. Pairs without an edge are beyond all heights."""
+    if method == "single":
+        ids = nodes.select(F.col(node_id).alias("ix")).distinct()
+        return parts_of(edges.filter(F.col("dist") <= t), ids).select("ix", F.col("part").alias("cluster_id"))
+    return agglomerate(edges, nodes, t, method, node_id)[0]
 
 
-def node_members(z: pd.DataFrame, leaves: list[int]) -> pd.DataFrame:
-    """(node, ix) of every merge of one linkage: the membership table for tests on a tree."""
-    held, rows = {i: [x] for i, x in enumerate(leaves)}, []
-    for k, (a, b, *_) in enumerate(z.itertuples(index=False)):
-        held[len(leaves) + k] = held[int(a)] + held[int(b)]
-        rows += [(len(leaves) + k, x) for x in held[len(leaves) + k]]
-    return pd.DataFrame(rows, columns=["node", "ix"])
+def clusters_of(assigned: DataFrame) -> DataFrame:
+    """(cluster_id, members, size, rank): largest first, ties by id. A cluster's members are one row; ``assigned`` is the same without gathering."""
+    out = assigned.groupBy("cluster_id").agg(F.sort_array(F.collect_list("ix")).alias("members"), F.count("*").alias("size"))
+    return ranked(out, [F.desc("size"), "cluster_id"])

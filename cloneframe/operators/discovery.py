@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import cluster as K
 from . import edges as E
 from . import neighbors as N
 from . import radii as R
+from .ranks import adjusted, ranked
 
 
 def gene_associations(df: DataFrame, columns: list[str], count: str, test: bool = True) -> DataFrame:
@@ -25,7 +26,7 @@ def gene_associations(df: DataFrame, columns: list[str], count: str, test: bool
     out = out.withColumns({
         "p_a": (n11 + n10) / n, "p_b": (n11 + n01) / n, "p_ab": n11 / n, "p_b_given_a": F.try_divide(n11, n11 + n10), "p_a_given_b": F.try_divide(n11, n11 + n01), "OR": N.odds_ratio(cells),
     })
-    return N.adjusted(out.withColumn("pvalue", N.fisher_p(*cells))) if test else out
+    return adjusted(out.withColumn("pvalue", N.fisher_p(*cells))) if test else out
 
 
 def group_tally(membership: DataFrame, clones: DataFrame, trait: Column, count: str = "count", clone_id: str = "clone_ix", group: str = "node") -> DataFrame:
@@ -34,6 +35,37 @@ def group_tally(membership: DataFrame, clones: DataFrame, trait: Column, count:
     return N.tally(as_edges, clones, trait, count, clone_id).withColumnRenamed("left_ix", group)
 
 
+def node_differences(membership: DataFrame, clones: DataFrame, trait: str, count: str = "count", least: int = 3, clone_id: str = "clone_ix", group: str = "node") -> DataFrame:
+    """The test of a trait at every node of at least ``least`` members: (group, size, test, statistic, pvalue, FWERp, FDRq).
+
+    Two levels: Fisher's exact test with the odds ratio. More: the Pearson statistic of levels in and out of the node, with levels - 1 degrees of freedom,
+    without p. One: nothing to test. The levels are those of the whole table.
+    """
+    levels = [r[0] for r in clones.select(trait).dropna().distinct().orderBy(trait).limit(3).collect()]
+    sizes = membership.groupBy(group).agg(F.count("*").alias("size")).filter(F.col("size") >= least)
+    if len(levels) < 2:
+        return sizes.select(group, "size", F.lit("none").alias("test"), *(F.lit(None).cast("double").alias(c) for c in ("statistic", "pvalue", "FWERp", "FDRq")))
+    if len(levels) == 2:
+        t = group_tally(membership, clones, F.col(trait) == levels[1], count, clone_id, group).join(sizes, group)
+        out = adjusted(t.withColumn("pvalue", N.fisher_p(*N.CELLS)))
+        return out.select(group, "size", F.lit("fishers").alias("test"), N.odds_ratio().alias("statistic"), "pvalue", "FWERp", "FDRq")
+    own = clones.filter(F.col(trait).isNotNull()).select(F.col(clone_id).alias("ix"), F.col(trait).alias("_t"), F.col(count).cast("double").alias("_c"))
+    inside = membership.join(sizes, group).join(own, "ix").groupBy(group, "size", "_t").agg(F.sum("_c").alias("_in"))
+    totals = own.groupBy("_t").agg(F.sum("_c").alias("_all"))
+    whole = own.agg(F.sum("_c").alias("_n"))
+    # Levels that a node lacks add their expectation inside; so the sum over those that it has is completed from the totals.
+    per = inside.join(totals, "_t").crossJoin(F.broadcast(whole))
+    size = per.groupBy(group).agg(F.sum("_in").alias("_k"), F.sum("_all").alias("_seen"))
+    per = per.join(size, group)
+    e = F.col("_all") * F.col("_k") / F.col("_n")
+    out = F.col("_all") - e
+    term = (F.col("_in") - e) * (F.col("_in") - e) * (F.try_divide(F.lit(1.0), e) + F.coalesce(F.try_divide(F.lit(1.0), out), F.lit(0.0)))
+    chi = per.groupBy(group, "size", "_k", "_seen", "_n").agg(F.sum(term).alias("_x"))
+    # An absent level with expectation e inside and all - e outside adds e^2 / e + e^2 / (all - e) = e n / (n - k).
+    missing = (F.col("_n") - F.col("_seen")) * F.col("_k") / F.col("_n") * F.try_divide(F.col("_n"), F.col("_n") - F.col("_k"))
+    return chi.select(group, "size", F.lit("chi2").alias("test"), (F.col("_x") + F.coalesce(missing, F.lit(0.0))).alias("statistic"), *(F.lit(None).cast("double").alias(c) for c in ("pvalue", "FWERp", "FDRq")))
+
+
 def group_statistics(membership: DataFrame, edges: DataFrame, clones: DataFrame, count: str = "count", cuts: tuple[float, ...] = (25, 50, 75), least: int = 3, clone_id: str = "clone_ix", group: str = "node") -> DataFrame:
     """Per group of at least ``least`` members: size, mean distance of its pairs, shares of pairs under each cut, and fuzzy diversity at each.
 
@@ -61,7 +93,7 @@ def cluster_centroids(edges: DataFrame, clones: DataFrame, assigned: DataFrame,
     centre = E.medoids(edges, groups, "cluster_id", clone_id)
     who = N.publicity(groups.join(clones.select(clone_id, subject), clone_id), ["cluster_id"], subject, public_over)
     out = centre.join(groups.groupBy("cluster_id").agg(F.count("*").alias("size")), "cluster_id").join(who, "cluster_id")
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "cluster_id")))
+    return ranked(out, [F.desc("size"), "cluster_id"])
 
 
 def clustered(edges: DataFrame, clones: DataFrame, t: float, subject: str, method: str = "ward", clone_id: str = "clone_ix") -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets of clones for running sums.
+BUCKETS = 256
+
 
 def simpson(df: DataFrame, group: list[str], count: str) -> DataFrame:
     """1 - sum of squared shares."""
@@ -15,21 +18,20 @@ def simpson(df: DataFrame, group: list[str], count: str) -> DataFrame:
 
 
 def generalised_simpson(df: DataFrame, group: list[str], count: str, orders: list[int], alpha: float = 0.05, last: str | None = None) -> DataFrame:
-    """(group, order, Z, sd, lower, upper, effective): unbiased entropies sum p prod_{k<r} (1 - (c - 1)/(n - k)) of the orders r >= 2.
+    """(group, order, Z, sd, lower, upper, effective, n): unbiased entropies sum p prod_{k<r} (1 - (c - 1)/(n - k)) of the orders r >= 2.
 
-    The deviation is by the delta method over all categories but the last, that with the largest ``last`` (default: the smallest
-    count has no say, all are used), reduced to two sums: sum p h^2 - (sum p h)^2.
+    The deviation is by the delta method over all categories but the last: with g(p) = (1 - p)^r + r p (1 - p)^(r - 1) and h = g(p) - g(p of the
+    last), its square is h' Sigma h / n for the multinomial Sigma, that is (sum p h^2 - (sum p h)^2) / n; the last category's own h is zero. The last is the
+    one with the greatest ``last``; without it, the rarest.
     """
-    totals = df.groupBy(*group).agg(F.sum(count).cast("double").alias("_n"), *([F.max(last).alias("_last")] if last else []))
+    final = F.max_by(count, last) if last else F.min(count)
+    totals = df.groupBy(*group).agg(F.sum(count).cast("double").alias("_n"), final.cast("double").alias("_l"))
     x = df.join(totals, group).select("*", F.explode(F.array(*map(F.lit, orders))).alias("order"))
     c, n, p = F.col(count).cast("double"), F.col("_n"), F.col(count).cast("double") / F.col("_n")
     product = F.aggregate(F.sequence(F.lit(1), F.col("order") - 1), F.lit(1.0), lambda a, k: a * F.greatest(F.lit(0.0), 1 - (c - 1) / (n - k)))
-    slope = F.pow(1 - p, F.col("order") - 1) - (F.col("order") - 1) * p * F.pow(1 - p, F.col("order") - 2)
-    inner = F.col(last) < F.col("_last") if last else F.lit(True)
-    tail = slope if not last else slope
-    sums = x.groupBy(*group, "order").agg(
-        F.sum(p * product).alias("Z"), F.first("_n").alias("_n"), F.sum(F.when(inner, p * tail * tail)).alias("_a"), F.sum(F.when(inner, p * tail)).alias("_b")
-    )
+    g = lambda p: F.pow(1 - p, F.col("order")) + F.col("order") * p * F.pow(1 - p, F.col("order") - 1)
+    h = F.when(p > 0, g(p) - g(F.col("_l") / n)).otherwise(0.0)
+    sums = x.groupBy(*group, "order").agg(F.sum(p * product).alias("Z"), F.first("_n").alias("_n"), F.sum(p * h * h).alias("_a"), F.sum(p * h).alias("_b"))
     z = NormalDist().inv_cdf(1 - alpha / 2)
     out = sums.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), F.col("_a") - F.col("_b") * F.col("_b")) / F.col("_n")))
     return out.select(
@@ -58,16 +60,23 @@ def fuzzy_diversity(edges: DataFrame, clones: DataFrame, count: str, threshold:
 def fuzzy_sampled(edges: DataFrame, clones: DataFrame, count: str, threshold: float, order: int, samples: int, seed: int = 1, clone_id: str = "clone_ix") -> DataFrame:
     """Monte Carlo for higher orders: the share of draws of ``order`` clones, by count, of which not all pairs are near. Sampling is the operator.
 
-    Draws pick places in the running sum of counts; clones cover ranges of places.
+    Draws pick places in the running sum of counts; clones cover ranges of places. Sums run within buckets of clones, and over the table of
+    buckets; a place is first found among the buckets, whose ranges are few, then among its bucket's clones.
     """
-    from pyspark.sql import Window
-
-    run = Window.orderBy(clone_id).rowsBetween(Window.unboundedPreceding, 0)
-    spans = clones.select(F.col(clone_id).alias("ix"), F.sum(count).over(run).cast("double").alias("_hi"), F.col(count).cast("double").alias("_c"))
-    total = clones.agg(F.sum(count).cast("double").alias("_t"))
     spark = clones.sparkSession
-    draws = spark.range(samples).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(order))).alias("k")).crossJoin(F.broadcast(total))
-    draws = draws.withColumn("_at", F.rand(seed) * F.col("_t")).join(spans, (F.col("_at") >= F.col("_hi") - F.col("_c")) & (F.col("_at") < F.col("_hi")))
+    own = clones.select(F.col(clone_id).alias("ix"), F.col(count).cast("double").alias("_c")).filter("_c > 0").withColumn("_b", F.pmod(F.xxhash64("ix"), F.lit(BUCKETS)))
+    within = Window.partitionBy("_b").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    buckets = own.groupBy("_b").agg(F.sum("_c").alias("_w")).withColumn("_end", F.sum("_w").over(before))
+    spans = own.withColumn("_hi", F.sum("_c").over(within))
+    total = clones.agg(F.sum(count).cast("double").alias("_t"))
+    ends = buckets.agg(F.array_sort(F.collect_list(F.struct("_end", "_b", "_w"))).alias("_ends"))
+    draws = spark.range(samples).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(order))).alias("k")).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(ends))
+    # xxhash64 to [0, 1): repeatable, unlike rand() under another partitioning.
+    unit = F.shiftrightunsigned(F.xxhash64("draw", "k", F.lit(seed)), 11) / float(1 << 53)
+    draws = draws.withColumn("_u", unit * F.col("_t")).withColumn("_e", F.filter("_ends", lambda e: e["_end"] > F.col("_u"))[0])
+    draws = draws.select("draw", "k", F.col("_e._b").alias("_b"), (F.col("_u") - F.col("_e._end") + F.col("_e._w")).alias("_at"))
+    draws = draws.join(spans, "_b").filter((F.col("_at") >= F.col("_hi") - F.col("_c")) & (F.col("_at") < F.col("_hi")))
     a, b = draws.select("draw", F.col("k").alias("k1"), F.col("ix").alias("left_ix")), draws.select("draw", F.col("k").alias("k2"), F.col("ix").alias("right_ix"))
     near = edges.filter(F.col("dist") <= threshold).select("left_ix", "right_ix", F.lit(True).alias("_near"))
     pairs = a.join(b, "draw").filter("k1 < k2").join(near, ["left_ix", "right_ix"], "left")

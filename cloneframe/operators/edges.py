@@ -2,8 +2,9 @@
 
 ``radius_join`` compares distinct strings only. They are dealt into blocks by the length of the
 first column; two blocks meet only if their lengths allow the radius, and one task compares one pair of blocks with
-NumPy, of bounded size whatever the input. Edges are joined back to rows by the strings. ``native_join`` is the same as one expression behind
-equal blocking keys, for small tables, plans that must explain themselves, and as a check on the other.
+NumPy, of bounded size whatever the input. Edges are joined back to rows by the strings. ``edit_join`` finds strings of equal keys within a few
+edits by an equi-join on parts of the strings. ``native_join`` compares all pairs of equal keys by one expression: for results that hold all
+those pairs, and as a check on the others.
 """
 
 from __future__ import annotations
@@ -31,13 +32,12 @@ def _blocks(df: DataFrame, spec: MetricSpec, side: str) -> DataFrame:
     return dealt.groupBy("_size", "_block").agg(F.collect_list(F.struct(*spec.columns)).alias(f"_{side}")).withColumnsRenamed({"_size": f"_size_{side}", "_block": f"_block_{side}"})
 
 
-def distances_of(left: list[dict], right: list[dict], spec: MetricSpec, radius: float | None) -> tuple[np.ndarray, list[np.ndarray]]:
+def distances_of(left: pa.StructArray, right: pa.StructArray, spec: MetricSpec) -> tuple[np.ndarray, list[np.ndarray]]:
     """The weighted total of a pair of blocks and each part; each part is computed on distinct strings."""
     total, parts = np.zeros((len(left), len(right))), []
     for name, metric, weight in spec.parts:
-        a, ia = np.unique([r[name] for r in left], return_inverse=True)
-        b, ib = np.unique([r[name] for r in right], return_inverse=True)
-        part = metric.block(a.tolist(), b.tolist())[np.ix_(ia, ib)]
+        a, b = (x.field(name).dictionary_encode() for x in (left, right))
+        part = metric.block(a.dictionary.to_pylist(), b.dictionary.to_pylist())[np.ix_(a.indices.to_numpy(), b.indices.to_numpy())]
         parts.append(part)
         total = total + weight * part
     return total, parts
@@ -57,13 +57,14 @@ def radius_join(
 
     def compare(batches):
         for batch in batches:
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total, each = distances_of(x, y, spec, radius)
+            for k in range(batch.num_rows):
+                x, y = (batch.column(c).slice(k, 1).flatten() for c in (0, 1))
+                total, each = distances_of(x, y, spec)
                 i, j = np.nonzero(total <= radius) if radius is not None else np.indices(total.shape).reshape(2, -1)
-                cols = [pa.array([x[k][c] for k in i]) for c in spec.columns] + [pa.array([y[k][c] for k in j]) for c in spec.columns]
+                cols = [t.field(c).take(pa.array(at)) for t, at in ((x, i), (y, j)) for c in spec.columns]
                 cols.append(pa.array(total[i, j].astype(float)))
                 cols += [pa.array(e[i, j].astype(float)) for e in each] if parts else []
-                yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if pa.types.is_null(c.type) else c for c in cols], names=[f.split(" ")[0] for f in fields])
+                yield pa.RecordBatch.from_arrays(cols, names=[f.split(" ")[0] for f in fields])
 
     near = meet.select("_left", "_right").mapInArrow(compare, ", ".join(fields))
     lefts = left.select(F.col(left_id).alias("left_ix"), *(F.col(c).alias(f"l_{i}") for i, c in enumerate(spec.columns)))
@@ -74,6 +75,36 @@ def radius_join(
     return joined.select("left_ix", "right_ix", "dist", *named)
 
 
+def edit_join(
+    left: DataFrame, right: DataFrame, column: str, radius: int, keys: list[str], left_id: str = "clone_ix", right_id: str = "clone_ix"
+) -> DataFrame:
+    """(left_ix, right_ix, dist) of rows of equal ``keys`` whose strings are at most ``radius`` edits apart; none for nulls.
+
+    A string cut into radius + 1 parts has one that stands unchanged in any string within the radius, moved by no more than the edits before and
+    after it allow. So distinct left strings are joined by (keys, length, part's number, part) with the right ones' parts of those
+    lengths and places; no pair of a key's strings is made that shares no such part. A hot key spreads over its parts.
+    """
+    side = lambda df, i, s: df.select(F.col(i).alias(f"{s}_ix"), *(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.col(column).alias(s)).dropna()
+    a, b = side(left, left_id, "left"), side(right, right_id, "right")
+    names = [f"_k{n}" for n in range(len(keys))]
+    parts = radius + 1
+    # Of a length n, part i starts at begin and has size letters; the longer parts come last.
+    begin = lambda n, i: i * F.floor(n / parts) + F.greatest(F.lit(0), i - (parts - n % parts))
+    size = lambda n, i: F.floor(n / parts) + (i >= parts - n % parts).cast("int")
+    n, i, m, d = F.col("_n"), F.col("_i"), F.length("right"), F.length("right") - F.col("_n")
+    cut = a.select(*names, "left").distinct().withColumn("_n", F.length("left")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(radius))))
+    cut = cut.withColumn("_part", F.substr("left", (begin(n, i) + 1).cast("int"), size(n, i).cast("int")))
+    near = b.select(*names, "right").distinct().withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(0), m - radius), m + radius)))
+    near = near.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(radius))))
+    low = F.greatest(F.lit(0), begin(n, i) - i, begin(n, i) + d - (radius - i))
+    high = F.least(m - size(n, i), begin(n, i) + i, begin(n, i) + d + (radius - i))
+    near = near.withColumns({"_low": low.cast("int"), "_high": high.cast("int"), "_size": size(n, i).cast("int")}).filter("_low <= _high")
+    near = near.withColumn("_at", F.explode(F.sequence("_low", "_high"))).withColumn("_part", F.substr("right", F.col("_at") + 1, F.col("_size")))
+    pairs = cut.join(near.select(*names, "right", "_n", "_i", "_part").distinct(), [*names, "_n", "_i", "_part"]).select(*names, "left", "right").distinct()
+    close = pairs.withColumn("dist", F.levenshtein("left", "right", radius)).filter("dist >= 0")
+    return close.join(a, [*names, "left"]).join(b, [*names, "right"]).select("left_ix", "right_ix", F.col("dist").cast("double").alias("dist"))
+
+
 def native_join(
     left: DataFrame, right: DataFrame, spec: MetricSpec, radius: float, keys: list[str], left_id: str = "clone_ix", right_id: str = "clone_ix"
 ) -> DataFrame:

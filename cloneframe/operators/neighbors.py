@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.sequences import midpoint_quantile, percent_strings
+from ..sources.store import written
+from .clones import filter_query
+from .ranks import ranked
 
 
 def members(edges: DataFrame, clones: DataFrame, columns: list[str], clone_id: str = "clone_ix") -> DataFrame:
@@ -110,28 +114,34 @@ def chi2_p(statistic: pd.Series) -> pd.Series:
 
 
 def _fisher(a: int, b: int, c: int, d: int) -> float:
+    """The sum over all tables of these margins that are no likelier; beyond fifty deviations from the mode and the table nothing is left to add."""
     n, row, col = a + b + c + d, a + b, a + c
-    f = math.lgamma
-    fixed = f(row + 1) + f(n - row + 1) + f(col + 1) + f(n - col + 1) - f(n + 1)
-    p = lambda x: fixed - f(x + 1) - f(row - x + 1) - f(col - x + 1) - f(n - row - col + x + 1)
-    seen = p(a) + 1e-7
-    return min(1.0, sum(math.exp(v) for x in range(max(0, row + col - n), min(row, col) + 1) if (v := p(x)) <= seen))
+    low, high = max(0, row + col - n), min(row, col)
+    if low == high:
+        return 1.0
+    mode = (row + 1) * (col + 1) // (n + 2)
+    spread = 50 + int(50 * math.sqrt(row * col / n * (n - row) / n * (n - col) / max(1, n - 1)))
+    first, last = max(low, min(a, mode) - spread), min(high, max(a, mode) + spread)
+    x = np.arange(first, last, dtype=float)
+    steps = np.log((row - x) * (col - x)) - np.log((x + 1) * (n - row - col + x + 1))
+    p = np.r_[0.0, np.cumsum(steps)]
+    p -= p.max()
+    return float(min(1.0, np.exp(p[p <= p[a - first] + 1e-7]).sum() / np.exp(p).sum()))
 
 
 @F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """Two-sided: the probability of tables no likelier than this one."""
-    return pd.Series([_fisher(*map(int, t)) for t in zip(a, b, c, d)])
-
-
-def adjusted(df: DataFrame, p: str = "pvalue") -> DataFrame:
-    """Adds FWERp (Holm) and FDRq (Benjamini-Hochberg). Both need the rank among all tests, hence one sorted table: of tests, not of clones."""
-    up = Window.orderBy(p)
-    n = F.count("*").over(Window.partitionBy())
-    ranked = df.withColumns({"_r": F.row_number().over(up), "_n": n})
-    holm = F.least(F.lit(1.0), F.max((F.col("_n") - F.col("_r") + 1) * F.col(p)).over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    bh = F.least(F.lit(1.0), F.min(F.col("_n") * F.col(p) / F.col("_r")).over(Window.orderBy("_r").rowsBetween(0, Window.unboundedFollowing)))
-    return ranked.withColumns({"FWERp": holm, "FDRq": bh}).drop("_r", "_n")
+    """Two-sided: the probability of tables no likelier than this one; null for a null cell. Equal tables are computed once a batch."""
+    known: dict[tuple, float] = {}
+    out = []
+    for t in zip(a, b, c, d):
+        if any(x is None or x != x for x in t):
+            out.append(None)
+            continue
+        if t not in known:
+            known[t] = _fisher(*map(int, t))
+        out.append(known[t])
+    return pd.Series(out, dtype=float)
 
 
 def mantel_haenszel(df: DataFrame, group: list[str], names=CELLS) -> DataFrame:
@@ -145,6 +155,28 @@ def mantel_haenszel(df: DataFrame, group: list[str], names=CELLS) -> DataFrame:
     return sums.select(*group, F.try_divide("_r", "_s").alias("OR_mh"), F.try_divide(F.col("_o") * F.col("_o"), "_v").alias("cmh"))
 
 
+def breslow_day(df: DataFrame, group: list[str], names=CELLS, tarone: bool = True) -> DataFrame:
+    """(group, OR_mh, strata, breslow_day): do the strata share one odds ratio? Chi-square with strata - 1 degrees of freedom.
+
+    With a stratum's margins and the common odds ratio, the expected first cell solves a quadratic; ``tarone`` subtracts the correction
+    for the estimated ratio. Strata with an empty margin say nothing and are left out.
+    """
+    common = mantel_haenszel(df, group, names).select(*group, "OR_mh")
+    a, b, c, d = _c(names)
+    full = df.filter((a + b > 0) & (c + d > 0) & (a + c > 0) & (b + d > 0)).join(common, group)
+    psi, row, col, n = F.col("OR_mh"), a + b, a + c, a + b + c + d
+    # psi = e (n - row - col + e) / ((row - e)(col - e)), as p2 e^2 + p1 e + p0 = 0
+    p2, p1, p0 = 1 - psi, n - row - col + psi * (row + col), -psi * row * col
+    root = F.sqrt(p1 * p1 - 4 * p2 * p0)
+    # The root between the cell's bounds; the linear case by itself.
+    e = F.when(F.abs(p2) < 1e-12, -p0 / p1).otherwise((-p1 + root) / (2 * p2))
+    full = full.withColumns({"_a": a, "_e": e}).withColumn("_v", 1 / (1 / F.col("_e") + 1 / (row - F.col("_e")) + 1 / (col - F.col("_e")) + 1 / (n - row - col + F.col("_e"))))
+    off = F.col("_a") - F.col("_e")
+    sums = full.groupBy(*group).agg(F.first("OR_mh").alias("OR_mh"), F.count("*").alias("strata"), F.sum(off * off / F.col("_v")).alias("_x"), F.sum(off).alias("_o"), F.sum("_v").alias("_v"))
+    corrected = F.col("_x") - F.try_divide(F.col("_o") * F.col("_o"), "_v") if tarone else F.col("_x")
+    return sums.select(*group, "OR_mh", "strata", corrected.alias("breslow_day"))
+
+
 def pair_associations(df: DataFrame, first: str, second: str, count: str) -> DataFrame:
     """(first, second, n_11, n_10, n_01, n_00) of every pair of levels; levels are distinct values, a small set by nature."""
     cells = df.groupBy(first, second).agg(F.sum(count).alias("n_11"))
@@ -157,26 +189,32 @@ def pair_associations(df: DataFrame, first: str, second: str, count: str) -> Dat
     )
 
 
-def nonredundant(ranked: DataFrame, rank: str, neighbors: str, least_difference: int = 1) -> DataFrame:
-    """Adds ``novel``: false where the row's set is (almost) within the set of an earlier kept row.
+def nonredundant(df: DataFrame, rank: str, neighbors: str, least_difference: int = 1) -> DataFrame:
+    """Adds ``novel``: false where the row's set is (almost) within the set of an earlier kept row, that is with fewer than ``least_difference`` members outside.
 
-    Each answer needs those before it, so this is one task by definition; its input is the ranked table of
-    neighbourhoods, not clones.
+    If fewer than that many members are outside, one of any ``least_difference`` members is inside: so a row's possible supersets are found by
+    an equi-join on its rarest members, and then checked. A row is settled once an earlier superset is kept, or all are settled as not
+    kept; rounds go on until all rows are. Ranks must differ.
     """
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, novel = pdf.sort_values(rank), [], []
-        for x in pdf[neighbors]:
-            own = set(x)
-            inside = any(len(own - k) < least_difference for k in kept)
-            novel.append(not inside)
-            if not inside:
-                kept.append(own)
-        return pdf.assign(novel=novel)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields)
-    whole = ranked.withColumn("_all", F.lit(1)).groupBy("_all")
-    return whole.applyInPandas(lambda pdf: greedy(pdf.drop(columns="_all")), f"{fields}, novel boolean")
+    k = F.lit(least_difference)
+    rows = written(df.select(F.col(rank).alias("_r"), F.array_distinct(neighbors).alias("_s")))
+    items = rows.select("_r", F.explode("_s").alias("_m"))
+    often = items.groupBy("_m").agg(F.count("*").alias("_n"))
+    rare = items.join(often, "_m").groupBy("_r").agg(F.slice(F.array_sort(F.collect_list(F.struct("_n", "_m"))), 1, least_difference).alias("_few"))
+    keys = rare.select(F.col("_r").alias("_late"), F.explode(F.col("_few._m")).alias("_m"))
+    pairs = keys.join(items.withColumnRenamed("_r", "_early"), "_m").filter("_early < _late").select("_early", "_late").distinct()
+    sets = lambda r, s: rows.select(F.col("_r").alias(r), F.col("_s").alias(s))
+    within = pairs.join(sets("_early", "_big"), "_early").join(sets("_late", "_own"), "_late").filter(F.size(F.array_except("_own", "_big")) < k)
+    # Sets smaller than that are within any other: all but the first of all are out.
+    small = rows.filter(F.size("_s") < k).crossJoin(F.broadcast(rows.agg(F.min("_r").alias("_first")))).filter("_r > _first")
+    inside = written(within.select("_early", "_late").union(small.select("_first", "_r")).distinct())
+    state = written(rows.select("_r", F.lit(None).cast("boolean").alias("novel")))
+    while not state.filter("novel is null").isEmpty():
+        known = inside.join(state.select(F.col("_r").alias("_early"), F.col("novel").alias("_k")), "_early").groupBy(F.col("_late").alias("_r"))
+        seen = known.agg(F.max(F.coalesce("_k", F.lit(False))).alias("_in"), F.max(F.col("_k").isNull()).alias("_open"))
+        settled = F.when(F.coalesce("_in", F.lit(False)), F.lit(False)).when(~F.coalesce("_open", F.lit(False)), F.lit(True))
+        state = written(state.join(seen, "_r", "left").select("_r", F.coalesce("novel", settled).alias("novel")))
+    return df.join(state.withColumnRenamed("_r", rank), rank).select(*df.columns, "novel")
 
 
 def quasi_public(
@@ -184,8 +222,6 @@ def quasi_public(
     least_difference: int = 1, clone_id: str = "clone_ix",
 ) -> DataFrame:
     """Neighbourhoods with their size, subjects and member summaries, ranked, with ``novel`` for those not within a better one. ValueError if the query leaves none."""
-    from .clones import filter_query
-
     joined = members(edges, clones, [subject], clone_id)
     report = joined.groupBy("left_ix").agg(
         F.count("*").alias("k_neighbors"), F.count_distinct(subject).alias("nsubject"), F.sort_array(F.collect_set("right_ix")).alias("neighbors")
@@ -196,5 +232,4 @@ def quasi_public(
     report = filter_query(report, query) if query else report.filter("qpublic")
     if report.isEmpty():
         raise ValueError("no neighbourhood is left")
-    order = Window.orderBy(F.desc("nsubject"), F.desc("k_neighbors"), "left_ix")
-    return nonredundant(report.withColumn("rank", F.row_number().over(order)), "rank", "neighbors", least_difference)
+    return nonredundant(ranked(report, [F.desc("nsubject"), F.desc("k_neighbors"), "left_ix"]), "rank", "neighbors", least_difference)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbors import odds_ratio, rate
+from .neighbors import chi2, nonredundant, odds_ratio, rate
+from .ranks import ranked
 
 
 def distance_ecdf(
@@ -46,6 +47,15 @@ def geometric_mean(column) -> Column:
     return F.pow(F.lit(10.0), F.avg(F.log10(column)))
 
 
+def step_vectors(ecdf: DataFrame) -> DataFrame:
+    """(left_ix, x, y): corners of each row's ECDF as a step line, from (least threshold, 0) on: each threshold twice, before and after its rise."""
+    run = Window.partitionBy("left_ix").orderBy("threshold")
+    before = F.coalesce(F.lag("ecdf").over(run), F.lit(0.0))
+    corner = lambda y, k: F.struct(F.col("threshold").alias("x"), y.alias("y"), F.lit(k).alias("k"))
+    steps = ecdf.withColumn("_c", F.array(corner(before, 0), corner(F.col("ecdf"), 1)))
+    return steps.select("left_ix", F.explode("_c").alias("_c")).select("left_ix", "_c.x", "_c.y", F.col("_c.k").alias("corner"))
+
+
 def radii(ecdf: DataFrame, control: float) -> DataFrame:
     """(left_ix, radius): the largest threshold whose ECDF is at most the control level, else 0."""
     return ecdf.groupBy("left_ix").agg(F.coalesce(F.max(F.when(F.col("ecdf") <= control, F.col("threshold"))), F.lit(0.0)).alias("radius"))
@@ -69,8 +79,6 @@ def background_control(
     out = out.withColumns({"TR": rate(h, n1 - h), "BR_weighted": rate(b, n2 - b), "_a": h, "_b": b, "_c": n1 - h, "_d": n2 - b})
     out = out.withColumn("RR_weighted", F.col("TR") / F.col("BR_weighted"))
     out = out.withColumn("OR_weighted", odds_ratio(("_a", "_b", "_c", "_d"), 1.0))
-    from .neighbors import chi2
-
     ones = {f"_{k}1": F.col(f"_{k}") + 1 for k in "abcd"}
     out = out.withColumns(ones).withColumn("chi2", chi2(("_a1", "_c1", "_b1", "_d1")))
     return out.drop(*(f"_{k}" for k in "abcd"), *ones)
@@ -78,10 +86,8 @@ def background_control(
 
 def ranked_centres(centres: DataFrame, neighbors: str = "neighbors", by: str = "chi2joint", min_subjects: int = 2, least_difference: int = 1, tie: str = "left_ix") -> DataFrame:
     """Best first, pruned of near-subsets, then those with more subjects than ``min_subjects``: pruning comes first, and the bound is strict."""
-    from .neighbors import nonredundant
-
-    order = Window.orderBy(F.desc(by), tie)
-    return nonredundant(centres.withColumn("rank", F.row_number().over(order)), "rank", neighbors, least_difference).filter(F.col("novel") & (F.col("nsubject") > min_subjects))
+    best_first = ranked(centres, [F.desc(by), tie])
+    return nonredundant(best_first, "rank", neighbors, least_difference).filter(F.col("novel") & (F.col("nsubject") > min_subjects))
 
 
 def hits(
@@ -135,7 +141,3 @@ def breadth_and_depth(
 def safe_block(n1: int, n2: int, most: float = 1e7) -> int:
     """Left rows of a block whose pairs with all right rows stay under a target."""
     return n1 if n1 * n2 < most else -(-n1 // max(1, -(-n1 * n2 // int(most))))
-
-
-def grid(spark: SparkSession, first: float, last: float, step: float) -> list[float]:
-    return [first + i * step for i in range(int((last - first) / step))]

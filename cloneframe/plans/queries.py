@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as S
 from ..functions.metrics import Edit, Hamming, MetricSpec, Tcr
 from ..operators import background, clones as C, cluster, discovery, diversity, edges as E, motifs, neighbors as N, radii as R
+from ..operators.ranks import adjusted, ranked
 from ..sources import readers
 from . import testbed as T
 
@@ -33,7 +34,13 @@ def query(sql: str | None = None):
 
 
 def edit_edges(left: DataFrame, right: DataFrame, radius: int = 3) -> DataFrame:
-    return E.native_join(left, right, EDIT, radius, V, "clone_id", "clone_id")
+    """Pairs of one V gene within a few edits, by parts of their strings."""
+    return E.edit_join(left, right, "cdr3_b_aa", radius, V, "clone_id", "clone_id")
+
+
+def all_edges(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All pairs of a V gene: for queries that ask for each of them."""
+    return E.native_join(left, right, EDIT, 99, V, "clone_id", "clone_id")
 
 
 def edges_sql(left: str, right: str, radius: int = 3, name: str = "edges") -> str:
@@ -308,7 +315,7 @@ SELECT g, CASE WHEN n < 3 THEN f ELSE (SELECT left_ix FROM s WHERE s.g = n.g ORD
 def dst17_medoid(spark, d):
     c = T.clones(spark, d)
     groups = c.select("clone_id", F.concat_ws("/", "v_b_gene", "j_b_gene").alias("g"))
-    return E.medoids(edit_edges(c, c, 99), groups, "g", "clone_id")
+    return E.medoids(all_edges(c, c), groups, "g", "clone_id")
 
 
 def _join_sql(how: str, by_row: bool = False) -> str:
@@ -355,7 +362,7 @@ def jon05_neighbor_lists(spark, d):
 @query(f"WITH {T.CLONES}, {edges_sql('clones', 'clones', 99)} SELECT * FROM edges QUALIFY row_number() OVER (PARTITION BY left_ix ORDER BY dist, right_ix) <= 4")
 def jon08_knn(spark, d):
     c = T.clones(spark, d)
-    return E.nearest(edit_edges(c, c, 99), 4)
+    return E.nearest(all_edges(c, c), 4)
 
 
 @query(f"WITH {T.CELLS} SELECT v, j FROM (SELECT DISTINCT v_b_gene AS v FROM cells), (SELECT DISTINCT j_b_gene AS j FROM cells)")
@@ -491,7 +498,7 @@ def tst04_chi2_yates(spark, d):
 def tst04_fisher(spark, d):
     """Two-sided exact tests with both corrections; logarithms of factorials are not in SQL (tested against brute force)."""
     t = _tally(spark, d)
-    return N.adjusted(t.withColumn("pvalue", N.fisher_p("ct_0", "ct_1", "ct_2", "ct_3")))
+    return adjusted(t.withColumn("pvalue", N.fisher_p("ct_0", "ct_1", "ct_2", "ct_3")))
 
 
 @query(f"""WITH {T.CELLS}, s AS (SELECT subject, sum(count) FILTER (j_b_gene = 'PROMO' AND epitope = '1-URGENT')::DOUBLE AS a, sum(count) FILTER (j_b_gene = 'PROMO' AND epitope <> '1-URGENT')::DOUBLE AS b,
@@ -527,8 +534,7 @@ def agg08_member_summary(spark, d):
 def set01_nonredundant(spark, d):
     """Greedy pruning of ranked neighbourhoods: each answer needs those before it (tested against its examples)."""
     c = T.clones(spark, d)
-    ranked = E.neighbor_lists(edit_edges(c, c, 2)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("k_neighbors"), "left_ix")))
-    return N.nonredundant(ranked, "rank", "neighbors")
+    return N.nonredundant(ranked(E.neighbor_lists(edit_edges(c, c, 2)), [F.desc("k_neighbors"), "left_ix"]), "rank", "neighbors")
 
 
 @query()
@@ -563,8 +569,8 @@ def div04_simpson(spark, d):
 
 _BY_GROUP = """c AS (SELECT subject, cdr3_b_aa, v_b_gene, sum(count)::DOUBLE AS c FROM cells GROUP BY ALL), n AS (SELECT subject, sum(c) AS n FROM c GROUP BY subject),
 z AS (SELECT subject, r AS "order", n, sum(c / n * list_product([1.0::DOUBLE] || list_transform(range(1, r), lambda k: greatest(0, 1 - (c - 1) / (n - k))))) AS z,
-  sum(c / n * pow(pow(1 - c / n, r - 1) - (r - 1) * c / n * pow(1 - c / n, r - 2), 2)) AS a, sum(c / n * (pow(1 - c / n, r - 1) - (r - 1) * c / n * pow(1 - c / n, r - 2))) AS b
-  FROM c JOIN n USING (subject), (VALUES (2), (3), (5)) AS o(r) GROUP BY ALL)"""
+  sum(c / n * pow(h, 2)) AS a, sum(c / n * h) AS b FROM (SELECT *, pow(1 - c / n, r) + r * c / n * pow(1 - c / n, r - 1) - pow(1 - l / n, r) - r * l / n * pow(1 - l / n, r - 1) AS h
+  FROM c JOIN n USING (subject) JOIN (SELECT subject, min(c) AS l FROM c GROUP BY subject) USING (subject), (VALUES (2), (3), (5)) AS o(r)) GROUP BY subject, r, n)"""
 
 
 @query(f'WITH {T.CELLS}, {_BY_GROUP} SELECT subject, "order", round(z, 8) AS "Z", round(sqrt(greatest(0, a - b * b) / n), 8) AS sd, round(1 / (1 - pow(z, 1.0 / "order")), 4) AS effective FROM z')
@@ -662,7 +668,7 @@ SELECT node, size::BIGINT AS size, round(m, 6) AS mean_dist, round(100 * u / (si
 def clu04_node_statistics(spark, d):
     c = T.clones(spark, d)
     groups = c.select(F.concat_ws("/", "v_b_gene", "j_b_gene").alias("node"), F.col("clone_id").alias("ix"))
-    out = discovery.group_statistics(groups, edit_edges(c, c, 99), c, cuts=(3,), clone_id="clone_id")
+    out = discovery.group_statistics(groups, all_edges(c, c), c, cuts=(3,), clone_id="clone_id")
     return out.select("node", "size", F.round("mean_dist", 6).alias("mean_dist"), F.round("pct_3", 6).alias("pct_3"), F.round("fuzzy_3", 9).alias("fuzzy_3"))
 
 
@@ -675,7 +681,7 @@ def tst02_node_tally(spark, d):
 
 @query()
 def clu03_centroids(spark, d):
-    """Ward linkage, medoids and publicity (iterative; parts are tested against examples)."""
+    """Complete linkage, medoids and publicity (iterative; tested against the same linkage in memory)."""
     c = T.clones(spark, d)
     return discovery.clustered(edit_edges(c, c, 2), c.withColumn("subject", F.col("j_b_gene")), 2, "subject", "complete", "clone_id")
 
@@ -696,3 +702,6 @@ def rad05_find_metaclonotypes(spark, d):
     target, bulk = T.target_and_bulk(spark, d)
     target, bulk = target.withColumn("subject", F.col("j_b_gene")), bulk.withColumn("weight", F.col("count") / 25.0)
     return discovery.find_metaclonotypes(target, bulk, edit_edges(target, target), edit_edges(target, bulk), 0.05, _GRID, clone_id="clone_id")
+
+
+from . import io_queries  # noqa: E402, F401  (adds its queries)

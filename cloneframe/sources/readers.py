@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import valid_cdr3
-from ..schema import CHAINS, columns_of, require
+from ..schema import columns_of, require
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = "\t", columns: list[str] | None = None, schema: str | None = None) -> DataFrame:
@@ -38,6 +38,13 @@ def crosswalk(df: DataFrame, names: DataFrame, column: str, species: str) -> Dat
     return df.join(table, column, "left").withColumn(column, F.col("_imgt")).drop("_imgt")
 
 
+def gene_without_allele(df: DataFrame, names: DataFrame, column: str, species: str) -> DataFrame:
+    """Gene names of any allele or none as the allele that the table (adaptive, imgt, species) has of the gene, the last by name if several; null for an unknown gene."""
+    bare = lambda c: F.split_part(c, F.lit("*"), F.lit(1))
+    table = names.filter((F.col("species") == species) & F.col("imgt").isNotNull()).groupBy(bare(F.col("imgt")).alias("_gene")).agg(F.max("imgt").alias("_imgt"))
+    return df.withColumn("_gene", bare(F.col(column))).join(table, "_gene", "left").withColumn(column, F.col("_imgt")).drop("_imgt", "_gene")
+
+
 def first_alleles(df: DataFrame, genes: DataFrame, column: str, organism: str) -> DataFrame:
     """Gene names without allele as their *01 name; null if the table has none."""
     known = genes.filter((F.col("organism") == organism) & F.endswith("id", F.lit("*01"))).select(F.split_part("id", F.lit("*"), F.lit(1)).alias(column), F.col("id").alias("_id"))
@@ -79,26 +86,71 @@ def read_vdjtools(df: DataFrame, genes: DataFrame, chain: str = "beta", organism
     return out.filter("valid_v and valid_j and valid_cdr3") if valid_only else out
 
 
+def literal_value(text, key: str) -> Column:
+    """The value of ``key`` in a dictionary written as JSON or as Python does, as text: quotes of either kind, the other kind inside; null for None, null, an empty text or no such key."""
+    quoted = lambda q: rf"{q}((?:[^{q}\\]|\\.)*){q}"
+    pattern = rf"""[{{,]\s*["']\Q{key}\E["']\s*:\s*(?:{quoted("'")}|{quoted('"')}|([^,}}\s]+))"""
+    got = lambda i: F.regexp_extract(text, pattern, i)
+    found = F.coalesce(*(F.when(got(i) != "", got(i)) for i in (1, 2)), F.when(~got(3).isin("", "None", "null", "nan"), got(3)))
+    return F.when(F.regexp_extract(text, pattern, 0) != "", F.regexp_replace(found, r"\\(.)", "$1"))
+
+
+def is_dictionary(text) -> Column:
+    return F.coalesce(F.trim(text).rlike(r"(?s)^\{.*\}$"), F.lit(False))
+
+
 def pair_vdjdb(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The TRA and TRB rows of each complex side by side; complex 0 and unpaired ids go. Counts are the k of a "k/n" frequency, else 1. ``keys`` (such as Reference) join the complex id in one pass."""
+    """The TRA and TRB rows of each complex side by side; complex 0 and unpaired ids go. ``keys`` (such as Reference) join the complex id in one pass.
+
+    The subject is ``subject.id`` of Meta; the count is the k of a "k/n" ``frequency`` of Method, else 1. ``readable`` is false where one of the two isn't a dictionary
+    and its default stands in for what it may say.
+    """
     keys = ["complex.id", *(keys or [])]
-    literal = lambda c: F.from_json(F.replace(F.col(c), F.lit("'"), F.lit('"')), "map<string,string>")
-    side = lambda g, x: df.filter(F.col("Gene") == g).select(
-        *(F.col(f"`{k}`").alias(k.replace(".", "_").lower()) for k in keys), F.col("CDR3").alias(f"cdr3_{x}_aa"), F.col("V").alias(f"v_{x}_gene"), F.col("J").alias(f"j_{x}_gene"),
-        *([F.col("Epitope").alias("epitope"), literal("Meta")["subject.id"].alias("subject"), F.coalesce(F.expr("try_cast(split(" + "from_json(replace(Method, '\\'', '\"'), 'map<string,string>')['frequency']" + ", '/')[0] as bigint)"), F.lit(1).cast("long")).alias("count")] if x == "a" else []),
-    )
     by = [k.replace(".", "_").lower() for k in keys]
-    return side("TRA", "a").join(side("TRB", "b"), by).filter(F.col(by[0]).cast("string") != "0")
-
-
-def read_genes(df: DataFrame) -> DataFrame:
-    """A germline gene table with its loops cut from the aligned protein; it fails on rows whose stored loops differ."""
-    from ..functions.sequences import cdrs_of
+    side = lambda g, x, more: df.filter(F.col("Gene") == g).select(
+        *(F.col(f"`{k}`").alias(n) for k, n in zip(keys, by)), F.col("CDR3").alias(f"cdr3_{x}_aa"), F.col("V").alias(f"v_{x}_gene"), F.col("J").alias(f"j_{x}_gene"), *more
+    )
+    k_of_n = F.split_part(literal_value(F.col("Method"), "frequency"), F.lit("/"), F.lit(1))
+    about = [
+        F.col("Epitope").alias("epitope"), literal_value(F.col("Meta"), "subject.id").alias("subject"), F.coalesce(k_of_n.try_cast("bigint"), F.lit(1).cast("long")).alias("count"),
+        (is_dictionary(F.col("Meta")) & is_dictionary(F.col("Method"))).alias("readable"),
+    ]
+    return side("TRA", "a", about).join(side("TRB", "b", []), by).filter(F.col(by[0]).cast("string") != "0")
+
+
+def load_bulk(
+    spark: SparkSession, path: str, names: DataFrame, genes: DataFrame, least_path: str, full_path: str, epitope: str = "X", subject: str | Column | None = None
+) -> DataFrame:
+    """A vendor's bulk file of human beta chains as clones with germline loops; writes a table of the least columns and one of all, and returns the latter.
+
+    Counts are productive frequencies; CDR3s with letters of no residue go; rows are not summed.
+    """
+    from ..operators.clones import infer_cdrs
+    from .writers import write_delimited
+
+    raw = read_delimited(spark, path, columns=["bio_identity", "productive_frequency", "templates"])
+    cells = read_immunoseq(raw, names, epitope=epitope, subject=subject, extra=["templates"])
+    clones = infer_cdrs(cells, genes, "beta", "human")
+    write_delimited(clones.select("cdr3_b_aa", "v_b_gene", "j_b_gene", "productive_frequency", "templates"), least_path)
+    write_delimited(clones, full_path)
+    return read_delimited(spark, full_path)
+
+
+def read_genes(df: DataFrame, translate: bool = True) -> DataFrame:
+    """A germline gene table with its loops cut from the aligned protein; it fails on rows whose stored loops differ or whose nucleotides spell another protein."""
+    from ..functions.sequences import cdrs_of, translated
 
     require(df, ["id", "organism", "chain", "region", "nucseq", "frame", "aligned_protseq", "cdr_columns", "cdrs"])
     cut = F.array_join(cdrs_of("aligned_protseq", "cdr_columns"), ";")
     checked = F.assert_true(F.col("cdr_columns").isNull() | (cut == F.col("cdrs")), F.concat(F.lit("stored loops differ from the alignment: "), F.col("id")))
-    return df.filter(checked.isNull())
+    # The frame counts from the first base whose codons spell the aligned protein without its gaps; pseudogenes hold stops.
+    read = lambda f: translated(F.col("nucseq"), f)
+    protein = F.replace("aligned_protseq", F.lit("."), F.lit(""))
+    frame = F.expr("try_cast(frame as int)")
+    spelled = F.when(frame == 1, read(1)).when(frame == 2, read(2)).when(frame == 3, read(3))
+    agrees = spelled.isNull() | F.startswith(spelled, protein) | (spelled == protein)
+    told = F.assert_true(F.coalesce(agrees, F.lit(True)), F.concat(F.lit("the nucleotides don't spell the protein: "), F.col("id")))
+    return df.filter(checked.isNull() & told.isNull()) if translate else df.filter(checked.isNull())
 
 
 def stitched(parts: list[DataFrame], sizes: list[int], axis: int = 0) -> DataFrame:
@@ -109,6 +161,3 @@ def stitched(parts: list[DataFrame], sizes: list[int], axis: int = 0) -> DataFra
         out, moved = own if out is None else out.unionByName(own), moved + size
     return out
 
-
-def chain_letter(chain: str) -> str:
-    return CHAINS[chain]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cloneframe.functions.metrics import Custom, Edit, MetricSpec
 from cloneframe.operators.clones import Repertoire
 from cloneframe.sources import readers, writers
+from cloneframe.sources.mappings import MAPPINGS
 from cloneframe.streaming.search import hit_counts, search_stream
 
 GENES = [("TRBV1*01", "human", "B", "V"), ("TRBJ1*01", "human", "B", "J")]
@@ -52,10 +53,42 @@ def test_pairing(spark):
     assert {r["reference"] for r in readers.pair_vdjdb(df, ["Reference"]).collect()} == {"r1", "r2"}
 
 
+def test_literals(spark):
+    rows = [
+        ("{'a': 'x', 'k': '3/9'}", "3/9"), ('{"a": "it\'s", "k": "v"}', "v"), ("{'n': \"5'RACE\", 'k': \"q\"}", "q"), ("{'k': None}", None), ('{"k": null}', None), ("{'k': 7, 'z': 1}", "7"),
+        ("{'kk': 'no'}", None), ("", None), (None, None), ("{'k': ''}", None), ('{"k": "a\\"b"}', 'a"b'), ("{'x': 'k', 'k':'last'}", "last"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    assert [r["v"] for r in df.select("i", readers.literal_value(F.col("t"), "k").alias("v")).orderBy("i").collect()] == [v for _, v in rows]
+
+
+def test_mappings():
+    assert len(MAPPINGS) == 14
+    assert MAPPINGS["clones_to_legacy_gamma"]["cdr3_g_aa"] == "cdr3a" and MAPPINGS["clones_to_legacy_delta"]["v_d_gene"] == "vb_rep"
+    assert MAPPINGS["legacy_to_clones"]["clone_size"] == "count" and MAPPINGS["vdjdb_beta"]["MHC A"] == "mhc_b_a" and MAPPINGS["raw_to_cells"]["vb_gene"] == "v_b_gene"
+    assert MAPPINGS["subset_to_motif_all_chains"]["j_g_gene"] == "ja_rep" and MAPPINGS["clones_to_legacy_gamma_delta_own_letters"]["vg_gene"] == "va_gene"
+
+
+def test_bulk_loader_and_html(spark, tmp_path):
+    names = spark.createDataFrame([("V", "TRBV1*01", "human"), ("J", "TRBJ1*01", "human")], "adaptive string, imgt string, species string")
+    genes = spark.createDataFrame([("TRBV1*01", "human", "B", "V", "ABCDEFGH", "1-2;3-4;5-6")], "id string, organism string, chain string, region string, aligned_protseq string, cdr_columns string")
+    (tmp_path / "in.tsv").write_text("bio_identity\tproductive_frequency\ttemplates\tmore\nCASSF+V+J\t0.5\t3\tx\nCA*F+V+J\t0.1\t1\ty\nCASF+Q+J\tbad\t1\tz\n")
+    full = readers.load_bulk(spark, str(tmp_path / "in.tsv"), names, genes, str(tmp_path / "least"), str(tmp_path / "full")).collect()
+    assert sorted((r["cdr3_b_aa"], r["cdr1_b_aa"], r["subject"], r["epitope"], r["count"]) for r in full) == [("CASF", None, "in.tsv", "X", None), ("CASSF", "AB", "in.tsv", "X", "0.5")]
+    assert readers.read_delimited(spark, str(tmp_path / "least")).columns == ["cdr3_b_aa", "v_b_gene", "j_b_gene", "productive_frequency", "templates"]
+    df = spark.createDataFrame([(2, "<b>", None), (1, "a&'c", 3)], "rank int, x string, y int")
+    writers.write_html(df, str(tmp_path / "page"), title="T")
+    page = "".join(f.read_text().replace("\n", "") for f in sorted((tmp_path / "page").glob("part-*")))
+    assert page == writers.html_report(df, title="T")
+
+
 def test_genes_and_fragments(spark):
     columns = "id string, organism string, chain string, region string, nucseq string, frame int, aligned_protseq string, cdr_columns string, cdrs string"
-    good = spark.createDataFrame([("TRBV1*01", "human", "B", "V", "acg", 1, "AB.CDE", "1-3;4-5", "AB.;CD"), ("TRBJ1*01", "human", "B", "J", "acg", 1, "AB", None, None)], columns)
+    good = spark.createDataFrame([("TRBV1*01", "human", "B", "V", "gctgcttgtgatgaa", 1, "AA.CDE", "1-3;4-5", "AA.;CD"), ("TRBJ1*01", "human", "B", "J", "cgctgct", 2, "AA", None, None)], columns)
     assert readers.read_genes(good).count() == 2
+    with pytest.raises(Exception, match="spell the protein"):
+        readers.read_genes(good.withColumn("nucseq", F.lit("tttttttttttttttttt"))).count()
+    assert readers.read_genes(good.withColumn("nucseq", F.lit("ttt")), translate=False).count() == 2
     with pytest.raises(Exception, match="stored loops"):
         readers.read_genes(good.withColumn("cdrs", F.lit("XX;CD"))).count()
     e = spark.createDataFrame([(0, 0, 1.0)], "left_ix long, right_ix long, dist double")
