@@ -198,9 +198,9 @@ def _put(plan: Plan, left: np.ndarray, config: tuple[int, ...], n: int) -> None:
 def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[Plan, float]:
     """([(configuration, how many sequences)] that hold every length as often as the histogram says, exactly; the dual bound).
 
-    The program's averages are rounded down, all configurations, fullest first, and the program is solved anew for what is left, as long as that places
-    a quarter of the pieces; then they are rounded up, and best-fit places the rest. The plan has no more sequences than best-fit alone, or
-    than rounding up at once: the least of the three is taken.
+    The program's averages are rounded down, all configurations, fullest first (up, where that places less than a quarter of the pieces), and the program is
+    solved anew for what is left, as long as a quarter is placed; best-fit places the rest. The plan has no more sequences than best-fit alone, or
+    than rounding up at once: the least of the three is taken. If rounding up at once meets the bound, that is the plan.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
@@ -214,25 +214,34 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tup
     def fullest(chosen):
         return sorted(chosen.items(), key=lambda c: (sum(c[0]), c[1], c[0]), reverse=True)
 
-    def rounded_up(chosen, left):
-        plan, left = [], left.copy()
+    def put_up(plan, chosen, left):
         for config, x in fullest(chosen):
             if sum(config) >= capacity - 2:
                 _put(plan, left, config, int(np.ceil(x)))
+
+    def rounded_up(chosen, left):
+        plan, left = [], left.copy()
+        put_up(plan, chosen, left)
         return plan + best_fit(left, capacity)
 
     chosen, bound = program(left, capacity, rounds)
-    plans = [best_fit(left, capacity), rounded_up(chosen, left)]
-    down: Plan = []
-    while left.any():
+    plans, down, whole_left = [rounded_up(chosen, left)], [], left.copy()
+    used = lambda plan: sum(n for _, n in plan)
+    # A plan that meets the bound can't be bettered.
+    while left.any() and used(plans[0]) > np.ceil(bound - 1e-6):
         before = int(left.sum())
+        placed_enough = lambda before=before: 4 * int(left.sum()) <= 3 * before
         for config, x in fullest(chosen):
             _put(down, left, config, int(x))
-        if 4 * int(left.sum()) > 3 * before:
+        if not placed_enough():
+            put_up(down, chosen, left)
+        if not placed_enough():
             break
         chosen, _ = program(left, capacity, rounds) if left.any() else ({}, 0.0)
-    plans.append(down + rounded_up(chosen, left))
-    return full + min(plans, key=lambda p: sum(n for _, n in p)), whole + bound
+    if down:
+        plans.append(down + best_fit(left, capacity))
+    plans.append(best_fit(whole_left, capacity))
+    return full + min(plans, key=used), whole + bound
 
 
 def best_fit(left: np.ndarray, capacity: int) -> Plan:
