@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
@@ -14,7 +13,7 @@ from ..sources import readers, writers
 from ..sources.mappings import MAPPINGS
 from ..sources.store import new_path
 from . import testbed as T
-from .queries import _CODE_SQL, _GRID, _tally, _TALLY, EDIT, edges_sql, edit_edges, query
+from .queries import _CODE_SQL, _FISHER, _GRID, _tally, _TALLY, EDIT, edges_sql, edit_edges, query
 
 # Sources and sinks ----------------------------------------------------------------------------------------------------------------
 
@@ -65,11 +64,8 @@ def src03_immunoseq(spark, d):
     return readers.read_immunoseq(rows, names, count="templates", subject="x")
 
 
-#: A germline table over the names of ``_EXPORT``, its loops cut from md5 letters.
-_AA = "translate(md5('{}'), '0123456789abcdef', '.CDEFGHIKLMN.QRS')"
-
-
 def _germline(spark, d):
+    """A germline table over the names of ``_EXPORT``, its loops cut from md5 letters."""
     _, names = _export(spark, d)
     aligned = F.translate(F.md5("imgt"), "0123456789abcdef", ".CDEFGHIKLMN.QRS")
     known = names.filter("imgt is not null and imgt <> 'TRBV7*01'")
@@ -352,12 +348,6 @@ def ecd02_geometric_mean(spark, d):
     return n.groupBy("dist").agg(F.round(R.geometric_mean(F.col("count")), 6).alias("gmean"))
 
 
-_FISHER = """f AS (SELECT *, ct_0 + ct_1 + ct_2 + ct_3 AS n, ct_0 + ct_1 AS r, ct_0 + ct_2 AS k FROM ct),
-u AS (SELECT left_ix, n, r, k, ct_0 AS x0, unnest(range(greatest(0, r + k - n), least(r, k) + 1)) AS x FROM f),
-l AS (SELECT left_ix, x, x0, lgamma(r + 1) + lgamma(n - r + 1) + lgamma(k + 1) + lgamma(n - k + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(r - x + 1) - lgamma(k - x + 1) - lgamma(n - r - k + x + 1) AS p FROM u),
-o AS (SELECT left_ix, max(p) FILTER (x = x0) AS p0 FROM l GROUP BY left_ix), v AS (SELECT left_ix, least(1, sum(exp(p)) FILTER (p <= p0 + 1e-7)) AS pvalue FROM l JOIN o USING (left_ix) GROUP BY left_ix)"""
-
-
 @query(f"WITH {_TALLY}, {_FISHER} SELECT left_ix, round(pvalue, 6) AS pvalue FROM v")
 def tst04_fisher_p(spark, d):
     return _tally(spark, d).select("left_ix", F.round(N.fisher_p("ct_0", "ct_1", "ct_2", "ct_3"), 6).alias("pvalue"))

@@ -494,11 +494,19 @@ def tst04_chi2_yates(spark, d):
     return _tally(spark, d).select("left_ix", F.round(N.chi2(), 6).alias("chi2"))
 
 
-@query()
+_FISHER = """f AS (SELECT *, ct_0 + ct_1 + ct_2 + ct_3 AS n, ct_0 + ct_1 AS r, ct_0 + ct_2 AS k FROM ct),
+u AS (SELECT left_ix, n, r, k, ct_0 AS x0, unnest(range(greatest(0, r + k - n), least(r, k) + 1)) AS x FROM f),
+l AS (SELECT left_ix, x, x0, lgamma(r + 1) + lgamma(n - r + 1) + lgamma(k + 1) + lgamma(n - k + 1) - lgamma(n + 1) - lgamma(x + 1) - lgamma(r - x + 1) - lgamma(k - x + 1) - lgamma(n - r - k + x + 1) AS p FROM u),
+o AS (SELECT left_ix, max(p) FILTER (x = x0) AS p0 FROM l GROUP BY left_ix), v AS (SELECT left_ix, least(1, sum(exp(p)) FILTER (p <= p0 + 1e-7)) AS pvalue FROM l JOIN o USING (left_ix) GROUP BY left_ix)"""
+
+
+@query(f"""WITH {_TALLY}, {_FISHER}, w AS (SELECT *, row_number() OVER (ORDER BY pvalue, left_ix) AS r, count(*) OVER () AS m FROM v)
+SELECT ct.*, round(pvalue, 6) AS pvalue, round(least(1, max((m - r + 1) * pvalue) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING)), 6) AS "FWERp",
+round(least(1, min(m * pvalue / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS "FDRq" FROM ct JOIN w USING (left_ix)""")
 def tst04_fisher(spark, d):
-    """Two-sided exact tests with both corrections; logarithms of factorials are not in SQL (tested against brute force)."""
-    t = _tally(spark, d)
-    return adjusted(t.withColumn("pvalue", N.fisher_p("ct_0", "ct_1", "ct_2", "ct_3")))
+    """Two-sided exact tests with both corrections."""
+    out = adjusted(_tally(spark, d).withColumn("pvalue", N.fisher_p("ct_0", "ct_1", "ct_2", "ct_3")))
+    return out.withColumns({c: F.round(c, 6) for c in ("pvalue", "FWERp", "FDRq")})
 
 
 @query(f"""WITH {T.CELLS}, s AS (SELECT subject, sum(count) FILTER (j_b_gene = 'PROMO' AND epitope = '1-URGENT')::DOUBLE AS a, sum(count) FILTER (j_b_gene = 'PROMO' AND epitope <> '1-URGENT')::DOUBLE AS b,
@@ -530,18 +538,39 @@ def agg08_member_summary(spark, d):
     return out.select("left_ix", F.col("j_b_gene").alias("top_j"), F.round("percent", 6).alias("percent"))
 
 
-@query()
+def greedy_sql(ranked: str, least: int = 1) -> str:
+    """The greedy walk over a table (g, rank, s): sets share members within a group g only, so each group is walked by itself."""
+    return f"""pos AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY rank) AS i FROM {ranked}),
+walk AS (SELECT g, 0::BIGINT AS i, NULL::BIGINT AS rank, NULL::BOOLEAN AS novel, []::BIGINT[][] AS kept FROM (SELECT DISTINCT g FROM pos)
+  UNION ALL SELECT w.g, p.i, p.rank, NOT x.inside, CASE WHEN x.inside THEN w.kept ELSE list_append(w.kept, p.s) END FROM walk w JOIN pos p ON p.g = w.g AND p.i = w.i + 1,
+  LATERAL (SELECT len(list_filter(w.kept, lambda k: len(p.s) - len(list_intersect(p.s, k)) < {least})) > 0 AS inside) x),
+novel AS (SELECT rank, novel FROM walk WHERE i > 0)"""
+
+
+_SETS = f"""{T.CLONES}, {edges_sql('clones', 'clones', 2)}, n AS (SELECT left_ix, v_b_gene AS g, list_sort(list(right_ix)) AS s, count(*)::BIGINT AS k_neighbors FROM edges JOIN clones ON left_ix = clone_id GROUP BY ALL)"""
+_WHO = f"""u AS (SELECT DISTINCT clone_id, subject FROM cells JOIN clones USING ({', '.join(T.KEYS)})), p AS (SELECT left_ix, count(DISTINCT subject)::BIGINT AS nsubject FROM edges JOIN u ON right_ix = clone_id GROUP BY left_ix)"""
+
+
+def _listed(df: DataFrame) -> DataFrame:
+    """Neighbours as text, as engines hash lists in their own ways."""
+    return df.withColumn("neighbors", F.array_join(F.transform("neighbors", lambda x: x.cast("string")), ","))
+
+
+@query(f"""WITH RECURSIVE {_SETS}, r AS (SELECT *, row_number() OVER (ORDER BY k_neighbors DESC, left_ix)::BIGINT AS rank FROM n), {greedy_sql('r')}
+SELECT left_ix, k_neighbors, rank, array_to_string(s, ',') AS neighbors, novel FROM r JOIN novel USING (rank)""")
 def set01_nonredundant(spark, d):
-    """Greedy pruning of ranked neighbourhoods: each answer needs those before it (tested against its examples)."""
+    """Greedy pruning of ranked neighbourhoods."""
     c = T.clones(spark, d)
-    return N.nonredundant(ranked(E.neighbor_lists(edit_edges(c, c, 2)), [F.desc("k_neighbors"), "left_ix"]), "rank", "neighbors")
+    return _listed(N.nonredundant(ranked(E.neighbor_lists(edit_edges(c, c, 2)), [F.desc("k_neighbors"), "left_ix"]), "rank", "neighbors"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SETS}, {_WHO}, x AS (SELECT left_ix, v_b_gene AS g, list_sort(list(DISTINCT right_ix)) AS s, count(*)::BIGINT AS k_neighbors FROM (SELECT left_ix, right_ix FROM edges JOIN u ON right_ix = u.clone_id) JOIN clones ON left_ix = clones.clone_id GROUP BY ALL),
+r AS (SELECT x.*, nsubject, row_number() OVER (ORDER BY nsubject DESC, k_neighbors DESC, left_ix)::BIGINT AS rank FROM x JOIN p USING (left_ix) WHERE nsubject > 5), {greedy_sql('r')}
+SELECT left_ix, k_neighbors, nsubject, array_to_string(s, ',') AS neighbors, true AS qpublic, rank, novel FROM r JOIN novel USING (rank)""")
 def pub01_quasi_public(spark, d):
     c = T.clones(spark, d)
     who = T.cells(spark, d).join(c.select("clone_id", *T.KEYS), T.KEYS).select("clone_id", "subject").distinct()
-    return N.quasi_public(edit_edges(c, c, 2), who, clone_id="clone_id", min_subjects=5)
+    return _listed(N.quasi_public(edit_edges(c, c, 2), who, clone_id="clone_id", min_subjects=5))
 
 
 @query(f"""WITH {T.CELLS}, r AS (SELECT v_b_gene, sum(count) AS n FROM cells GROUP BY v_b_gene), t AS (SELECT sum(n) AS t FROM r), l AS (SELECT CASE WHEN n / t < 0.04 THEN 'Other v_b_gene' ELSE v_b_gene END AS a, v_b_gene FROM r, t)
@@ -618,14 +647,18 @@ def clu01_complete_linkage(spark, d):
     return cluster.hierarchical(edit_edges(c, c, 2), c, 2, node_id="clone_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_SETS}, {_WHO}, x AS (SELECT *, j_b_gene = 'PROMO' AS t FROM clones), tot AS (SELECT sum(count) FILTER (t) AS x1, sum(count) FILTER (NOT t) AS x0 FROM x),
+tally AS (SELECT left_ix, coalesce(sum(count) FILTER (NOT t), 0)::BIGINT AS ct_0, coalesce(sum(count) FILTER (t), 0)::BIGINT AS ct_2 FROM edges JOIN x ON right_ix = clone_id GROUP BY left_ix),
+ct AS (SELECT left_ix, ct_0, (x0 - ct_0)::BIGINT AS ct_1, ct_2, (x1 - ct_2)::BIGINT AS ct_3 FROM tally, tot), chi AS (SELECT left_ix, round({_chi_sql()}, 6) AS chi2joint FROM ct),
+r AS (SELECT n.*, nsubject, chi2joint, row_number() OVER (ORDER BY chi2joint DESC, left_ix)::BIGINT AS rank FROM n JOIN p USING (left_ix) JOIN chi USING (left_ix)), {greedy_sql('r')}
+SELECT left_ix, k_neighbors, nsubject, chi2joint, array_to_string(s, ',') AS neighbors, rank, novel FROM r JOIN novel USING (rank) WHERE novel AND nsubject > 5""")
 def rad04_rank(spark, d):
     c = T.clones(spark, d)
     who = T.cells(spark, d).join(c.select("clone_id", *T.KEYS), T.KEYS).select("clone_id", "subject").distinct()
     e = edit_edges(c, c, 2)
     n = N.members(e, who, ["subject"], "clone_id").groupBy("left_ix").agg(F.count_distinct("subject").alias("nsubject"))
-    chi = N.tally(e, c, F.col("j_b_gene") == "PROMO", clone_id="clone_id").select("left_ix", N.chi2().alias("chi2joint"))
-    return R.ranked_centres(E.neighbor_lists(e).join(n, "left_ix").join(chi, "left_ix"), min_subjects=5)
+    chi = N.tally(e, c, F.col("j_b_gene") == "PROMO", clone_id="clone_id").select("left_ix", F.round(N.chi2(), 6).alias("chi2joint"))
+    return _listed(R.ranked_centres(E.neighbor_lists(e).join(n, "left_ix").join(chi, "left_ix"), min_subjects=5))
 
 
 @query(f"WITH {T.CELLS}, c AS (SELECT v_b_gene, j_b_gene, cdr3_b_aa, subject FROM cells GROUP BY ALL) SELECT v_b_gene, j_b_gene, least(5, count(*))::BIGINT AS n FROM c GROUP BY ALL")
