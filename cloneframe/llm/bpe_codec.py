@@ -10,7 +10,8 @@ No shuffle: a narrow map over the input's partitions. Memory per task: one slice
 texts (``SLICE_BYTES``), one block of distinct words and a cache of ``CACHE_WORDS`` words.
 
 Defined results: a null text counts as empty and gives no ids; empty texts decode to
-"". Null ids are carried through. Repeated rows give repeated rows. Only the id and text columns
+"". Null ids are carried through. Repeated rows give repeated rows. A very long text is a slice by itself; long words go
+through blocks of their own. Equal ranks at one place are taken from the left, as the library does; no other ties arise. An empty table gives an empty result. Only the id and text columns
 are read, so further columns may have any names. Strings of special tokens inside a text become their ids, as
 the library does by default.
 """

@@ -22,7 +22,8 @@ again are written in the shared folder.
 
 Defined results: null, empty and blank texts have 0 shingles and are linked with nothing;
 their component is their own id. Texts of one to four words are one shingle. Rows that share an id are one
-document. A row without an id takes its class's component; without one it has a null component. An empty
+document: of several different texts under an id, which is the smallest of all, that with the least hash of its set stands for them, and each row has its own n_shingles. Very long
+texts are read whole, a slice of texts at a time. No ties arise: the smallest id names a component. A row without an id takes its class's component; without one it has a null component. An empty
 table gives an empty result. Only the id and text columns are read.
 """
 
@@ -126,6 +127,10 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def set_hash(items: np.ndarray) -> bytes:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+
+
 def similarity_sketches(sets: list[np.ndarray], t: int = COORDINATES) -> np.ndarray:
     """A row of t coordinates per set; the round is in the top bits, so that the earliest filled round wins. Empty sets give a row of the largest value."""
     none = _U(0xFFFFFFFFFFFFFFFF)
@@ -168,7 +173,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     [
                         batch.column(0).slice(at, len(part)),
                         pa.array(size, pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None for s, n in zip(sets, size)], pa.binary()),
+                        pa.array([set_hash(s) if n else None for s, n in zip(sets, size)], pa.binary()),
                         pa.array([k if n else None for k, n in zip(keys, size)], pa.list_(pa.int64())),
                     ],
                     names=[id_col, "n_shingles", "set_hash", "bands"],
@@ -179,7 +184,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, items): the sorted shingle hashes of each text."""
+    """(node, set_hash, items): the sorted shingle hashes of each text."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -189,10 +194,11 @@ def full_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sets = [s.view(np.int64) for s in shingle_sets(part)]
                 offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
                 items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), items], names=["node", "items"])
+                hashes = pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), hashes, items], names=["node", "set_hash", "items"])
                 at += len(part)
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"node {kind}, items array<long>")
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"node {kind}, set_hash binary, items array<long>")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -231,7 +237,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_shingles, component_id, kept) of every document."""
     sk = written(sketches(df, id_col, text_col))
     classes = written(sk.filter("set_hash is not null").groupBy("set_hash").agg(F.min(id_col).alias("node")))
-    own = classes.select(F.col("set_hash"), F.col("node").alias(id_col))
+    # One set for each node: of rows that share an id and are their sets' smallest id, the set with the least hash.
+    chosen = written(classes.groupBy("node").agg(F.min("set_hash").alias("set_hash")))
+    own = chosen.select("set_hash", F.col("node").alias(id_col))
     bands = written(
         sk.join(own, ["set_hash", id_col])
         .select(F.col(id_col).alias("node"), F.col("n_shingles").cast("int").alias("n"), F.explode("bands").alias("band"))
@@ -243,7 +251,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = written(bucket.select(F.col("node").alias(id_col)).distinct())
     if not ids.isEmpty():
         small = ids.count() <= BROADCAST_IDS
-        sets = written(full_sets(df.join(F.broadcast(ids) if small else ids, id_col, "left_semi"), id_col, text_col).dropDuplicates(["node"]))
+        found = full_sets(df.join(F.broadcast(ids) if small else ids, id_col, "left_semi"), id_col, text_col)
+        sets = written(found.join(chosen.withColumnRenamed("set_hash", "_h"), "node").filter("set_hash = _h").dropDuplicates(["node"]).select("node", "items"))
         keys = sk.join(own, ["set_hash", id_col]).select(F.col(id_col).alias("node"), "bands").dropDuplicates(["node"])
         labels = components(_all_links(bucket, sets, ids.count(), keys))
         named = classes.join(labels, "node", "left").select("set_hash", F.coalesce("label", "node").alias("component_id"))

@@ -6,7 +6,8 @@ merges, and no ids are made. No shuffle; memory per task is one slice of texts a
 bounded cache of chunk counts.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens. Null ids are carried through,
-repeated rows repeat, and only the id and text columns are read.
+repeated rows repeat, and only the id and text columns are read. Very long texts are counted whole, a chunk's
+heap at a time. Pairs of equal rank are merged from the left; no other ties arise. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -83,3 +83,24 @@ def test_keep_one(spark):
     count = collections.Counter(r["doc_id"] for r in kept.select("doc_id").collect())
     assert count[5] == 1 and 6 not in count and count[None] == 1 and set(range(len(TEXTS))) - {6} <= set(count)
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("open_pairs", [0, 400])
+def test_rows_that_share_an_id(spark, monkeypatch, open_pairs):
+    """Different texts under one id, in buckets of many near copies: a result that does not depend on partitioning, and one row of an id kept."""
+    monkeypatch.setattr(near_dedup, "OPEN_PAIRS", open_pairs)
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(300)]
+    bases = [[rng.choice(words) for _ in range(80)] for _ in range(4)]
+    rows = []
+    for i in range(60):
+        w = list(bases[i % 4])
+        w[rng.randrange(80)] = rng.choice(words)
+        rows.append((i // 3, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    results = [sorted(map(tuple, near_dedup.near_duplicates(df.repartition(n)).collect())) for n in (1, 5)]
+    assert results[0] == results[1] and len(results[0]) == 60
+    kept = [sorted(r["doc_id"] for r in near_dedup.keep_one(df.repartition(n)).collect()) for n in (1, 5)]
+    assert kept[0] == kept[1] and len(set(kept[0])) == len(kept[0]) >= 1
+    components = {r[0] for r in results[0]}
+    assert components <= {r["doc_id"] for r in df.collect()}
