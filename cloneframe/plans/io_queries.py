@@ -332,6 +332,18 @@ def dst12_paired_total(spark, d):
 # Radii, tests, backgrounds ------------------------------------------------------------------------------------------------------------
 
 
+@query(f"""WITH {T.CLONES}, {edges_sql('clones', 'clones')}, g AS (SELECT clone_id, count, t FROM clones, (VALUES (0.0), (1.0), (2.0)) AS g(t)), k AS (SELECT count(*) AS k, sum(count) AS s FROM clones),
+i AS (SELECT g.clone_id, t, coalesce(sum(b.count), 0) AS x FROM g LEFT JOIN edges ON left_ix = g.clone_id AND right_ix <> left_ix AND dist <= t LEFT JOIN clones b ON right_ix = b.clone_id GROUP BY ALL)
+SELECT clone_id AS left_ix, t::DOUBLE AS threshold, round((x + 1) / (s - count + 1), 9) AS share, round((x + 1) / (k - 1 + 1), 9) AS by_rows FROM i JOIN g USING (clone_id, t), k""")
+def ecd01_without_self(spark, d):
+    """A set against itself, its own rows left out, with a pseudo-count; over the weights and over the number of rows."""
+    c = T.clones(spark, d)
+    e = edit_edges(c, c)
+    of = lambda absolute: R.distance_ecdf(e, c, c, [0.0, 1.0, 2.0], "count", 1.0, True, absolute, "clone_id", "clone_id")
+    out = of(False).withColumnRenamed("ecdf", "share").join(of(True).withColumnRenamed("ecdf", "by_rows"), ["left_ix", "threshold"])
+    return out.select("left_ix", "threshold", F.round("share", 9).alias("share"), F.round("by_rows", 9).alias("by_rows"))
+
+
 @query(f"""WITH {T.TWO}, {edges_sql('target', 'bulk')}, e AS (SELECT clone_id AS left_ix, t AS threshold, coalesce((SELECT sum(b.count)::DOUBLE FROM edges e JOIN bulk b ON right_ix = b.clone_id WHERE e.left_ix = target.clone_id AND dist <= t), 0)
   / (SELECT sum(count) FROM bulk) AS ecdf FROM target, (VALUES (0.0), (1.0), (2.0), (3.0)) AS g(t)), p AS (SELECT *, coalesce(lag(ecdf) OVER (PARTITION BY left_ix ORDER BY threshold), 0) AS before FROM e)
 SELECT left_ix, threshold::DOUBLE AS x, round(before, 9) AS y, 0 AS corner FROM p UNION ALL SELECT left_ix, threshold, round(ecdf, 9), 1 FROM p""")

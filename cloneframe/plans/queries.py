@@ -609,11 +609,15 @@ def div01_simpson_orders(spark, d):
     return out.select("subject", "order", F.round("Z", 8).alias("Z"), F.round("sd", 8).alias("sd"), F.round("effective", 4).alias("effective"))
 
 
-@query(f"""WITH {T.CELLS}, {_BY_GROUP.replace('subject', 'flag')} SELECT x."order", round(x.z - y.z, 8) AS difference FROM z x JOIN z y ON x."order" = y."order" AND x.flag = 'R' AND y.flag = 'N'""")
+@query(f"""WITH {T.CELLS}, {_BY_GROUP.replace('subject', 'flag')}, s AS (SELECT *, greatest(0, a - b * b) / n AS v FROM z)
+SELECT x."order", round(x.z - y.z, 8) AS difference, round(x.z - y.z - 1.959963984540054 * sqrt(x.v + y.v), 8) AS lower, round(x.z - y.z + 1.959963984540054 * sqrt(x.v + y.v), 8) AS upper
+FROM s x JOIN s y ON x."order" = y."order" AND x.flag = 'R' AND y.flag = 'N'""")
 def div03_difference(spark, d):
+    """Differences of entropies with their intervals."""
     c = T.cells(spark, d).groupBy("flag", "cdr3_b_aa", "v_b_gene").agg(F.sum("count").alias("count"))
     z = diversity.generalised_simpson(c, ["flag"], "count", [2, 3, 5])
-    return diversity.simpson_difference(z.filter("flag = 'R'"), z.filter("flag = 'N'"), []).select("order", F.round("difference", 8).alias("difference"))
+    out = diversity.simpson_difference(z.filter("flag = 'R'"), z.filter("flag = 'N'"), [])
+    return out.select("order", *(F.round(c, 8).alias(c) for c in ("difference", "lower", "upper")))
 
 
 @query(f"""WITH {T.CLONES}, {edges_sql('clones', 'clones')} SELECT round(1 - (SELECT sum(a.count::DOUBLE * b.count) FROM edges JOIN clones a ON left_ix = a.clone_id JOIN clones b ON right_ix = b.clone_id WHERE left_ix < right_ix AND dist <= 2) / pow((SELECT sum(count) FROM clones), 2), 9) AS fuzzy""")
