@@ -183,22 +183,24 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, set_hash binary, bands array<long>")
 
 
-def full_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, set_hash, items): the sorted shingle hashes of each text."""
+def full_sets(df: DataFrame, id_col: str, text_col: str, hash_col: str) -> DataFrame:
+    """(node, items): the sorted shingle hashes of each text whose set has the hash that stands in ``hash_col``."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             at = 0
             for part in slices(batch.column(1).fill_null("").to_pylist(), 2_000_000):
-                sets = [s.view(np.int64) for s in shingle_sets(part)]
-                offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-                items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                hashes = pa.array([set_hash(s) if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), hashes, items], names=["node", "set_hash", "items"])
+                sets = shingle_sets(part)
+                wanted = batch.column(2).slice(at, len(part)).to_pylist()
+                own = [k for k, (s, h) in enumerate(zip(sets, wanted)) if len(s) and set_hash(s) == h]
+                if own:
+                    offsets = np.r_[0, np.cumsum([len(sets[k]) for k in own])].astype(np.int32)
+                    items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([sets[k].view(np.int64) for k in own])))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)).take(pa.array(own)), items], names=["node", "items"])
                 at += len(part)
 
-    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"node {kind}, set_hash binary, items array<long>")
+    return df.select(F.col(id_col), F.col(text_col), F.col(hash_col)).mapInArrow(run, f"node {kind}, items array<long>")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -248,11 +250,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     shared = bands.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     bucket = written(bands.join(shared.select("band"), "band", "left_semi"))
-    ids = written(bucket.select(F.col("node").alias(id_col)).distinct())
+    ids = written(chosen.join(bucket.select("node").distinct(), "node").select(F.col("node").alias(id_col), F.col("set_hash").alias("_chosen")))
     if not ids.isEmpty():
         small = ids.count() <= BROADCAST_IDS
-        found = full_sets(df.join(F.broadcast(ids) if small else ids, id_col, "left_semi"), id_col, text_col)
-        sets = written(found.join(chosen.withColumnRenamed("set_hash", "_h"), "node").filter("set_hash = _h").dropDuplicates(["node"]).select("node", "items"))
+        texts = df.select(id_col, text_col).join(F.broadcast(ids) if small else ids, id_col)
+        sets = written(full_sets(texts, id_col, text_col, "_chosen").dropDuplicates(["node"]))
         keys = sk.join(own, ["set_hash", id_col]).select(F.col(id_col).alias("node"), "bands").dropDuplicates(["node"])
         labels = components(_all_links(bucket, sets, ids.count(), keys))
         named = classes.join(labels, "node", "left").select("set_hash", F.coalesce("label", "node").alias("component_id"))
