@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, token_counts, url_filter
+from . import bpe_codec, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, token_counts, url_filter, variants
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,11 @@ def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(documents(spark, sf_dir))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_media_columns, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op7_url_filter, op8_best_fit_packing, op9_bpe_codec, op10_token_counts, op12_pii)
+    f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_media_columns, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op7_url_filter, op8_best_fit_packing, op9_bpe_codec, op10_token_counts, op12_pii, op13_spelling_variants)
 }
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op7_url_filter": url_filter.ORACLE, "op12_pii": pii.ORACLE}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op7_url_filter": url_filter.ORACLE, "op12_pii": pii.ORACLE, "op13_spelling_variants": variants.ORACLE}
