@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, token_counts, url_filter, variants
+from . import bpe_codec, hard_negatives, license_scan, media, near_dedup, packing, pii, quality_classifier, quality_rules, secrets, token_counts, url_filter, variants
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.with_noise(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(documents(spark, sf_dir))
 
@@ -63,6 +69,6 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_media_columns, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op7_url_filter, op8_best_fit_packing, op9_bpe_codec, op10_token_counts, op12_pii, op13_spelling_variants)
+    f.__name__: f for f in (op1_license_scan, op2_near_duplicates, op3_media_columns, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op7_url_filter, op8_best_fit_packing, op9_bpe_codec, op10_token_counts, op11_hard_negatives, op12_pii, op13_spelling_variants)
 }
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op7_url_filter": url_filter.ORACLE, "op12_pii": pii.ORACLE, "op13_spelling_variants": variants.ORACLE}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op7_url_filter": url_filter.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_pii": pii.ORACLE, "op13_spelling_variants": variants.ORACLE}
