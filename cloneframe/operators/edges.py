@@ -3,7 +3,7 @@
 ``radius_join`` compares distinct strings only. They are dealt into blocks by the length of the
 first column; two blocks meet only if their lengths allow the radius, and one task compares one pair of blocks with
 NumPy, of bounded size whatever the input. Edges are joined back to rows by the strings. ``edit_join`` finds strings of equal keys within a few
-edits by an equi-join on parts of the strings. ``native_join`` compares all pairs of equal keys by one expression: for results that hold all
+edits by an equi-join on parts or deletions of the strings, whichever costs less. ``native_join`` compares all pairs of equal keys by one expression: for results that hold all
 those pairs, and as a check on the others.
 """
 
@@ -11,13 +11,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import MetricSpec
+from ..sources.store import written
 
 #: Distinct tuples of a block.
 BLOCK = 1000
+#: Rows of keys that cost as much as one pair, which is made distinct and verified.
+PAIR_COST = 4
 
 
 def _blocks(df: DataFrame, spec: MetricSpec, side: str) -> DataFrame:
@@ -75,32 +78,81 @@ def radius_join(
     return joined.select("left_ix", "right_ix", "dist", *named)
 
 
-def edit_join(
-    left: DataFrame, right: DataFrame, column: str, radius: int, keys: list[str], left_id: str = "clone_ix", right_id: str = "clone_ix"
-) -> DataFrame:
-    """(left_ix, right_ix, dist) of rows of equal ``keys`` whose strings are at most ``radius`` edits apart; none for nulls.
-
-    A string cut into radius + 1 parts has one that stands unchanged in any string within the radius, moved by no more than the edits before and
-    after it allow. So distinct left strings are joined by (keys, length, part's number, part) with the right ones' parts of those
-    lengths and places; no pair of a key's strings is made that shares no such part. A hot key spreads over its parts.
-    """
-    side = lambda df, i, s: df.select(F.col(i).alias(f"{s}_ix"), *(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.col(column).alias(s)).dropna()
-    a, b = side(left, left_id, "left"), side(right, right_id, "right")
-    names = [f"_k{n}" for n in range(len(keys))]
+def _parts(a: DataFrame, b: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Index by parts: a left string cut into radius + 1 parts has one that stands unchanged in any string within the radius, moved by no more than
+    the edits before and after it allow. Keys of left strings, and of right ones at those lengths and places."""
     parts = radius + 1
     # Of a length n, part i starts at begin and has size letters; the longer parts come last.
     begin = lambda n, i: i * F.floor(n / parts) + F.greatest(F.lit(0), i - (parts - n % parts))
     size = lambda n, i: F.floor(n / parts) + (i >= parts - n % parts).cast("int")
     n, i, m, d = F.col("_n"), F.col("_i"), F.length("right"), F.length("right") - F.col("_n")
-    cut = a.select(*names, "left").distinct().withColumn("_n", F.length("left")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(radius))))
+    cut = a.withColumn("_n", F.length("left")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(radius))))
     cut = cut.withColumn("_part", F.substr("left", (begin(n, i) + 1).cast("int"), size(n, i).cast("int")))
-    near = b.select(*names, "right").distinct().withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(0), m - radius), m + radius)))
-    near = near.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(radius))))
+    near = b.withColumn("_n", F.explode(F.sequence(F.greatest(F.lit(0), m - radius), m + radius))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(radius))))
     low = F.greatest(F.lit(0), begin(n, i) - i, begin(n, i) + d - (radius - i))
     high = F.least(m - size(n, i), begin(n, i) + i, begin(n, i) + d + (radius - i))
     near = near.withColumns({"_low": low.cast("int"), "_high": high.cast("int"), "_size": size(n, i).cast("int")}).filter("_low <= _high")
     near = near.withColumn("_at", F.explode(F.sequence("_low", "_high"))).withColumn("_part", F.substr("right", F.col("_at") + 1, F.col("_size")))
-    pairs = cut.join(near.select(*names, "right", "_n", "_i", "_part").distinct(), [*names, "_n", "_i", "_part"]).select(*names, "left", "right").distinct()
+    return cut, near.drop("_low", "_high", "_size", "_at").distinct()
+
+
+def deletion_keys(string: Column, radius: int) -> Column:
+    """array<struct(key, gone)>: the distinct strings that are left when ``gone`` letters go, for up to ``radius`` of them."""
+    first = F.array(F.struct(string.alias("key"), F.lit(0).alias("at")))
+
+    def shorter(x: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.length(x["key"])), lambda p: (p >= x["at"]) & (p < F.length(x["key"])))
+        return F.transform(places, lambda p: F.struct(F.concat(F.substr(x["key"], F.lit(1), p), F.substr(x["key"], p + 2)).alias("key"), p.alias("at")))
+
+    levels = [first]
+    for _ in range(radius):
+        levels.append(F.array_distinct(F.flatten(F.transform(levels[-1], shorter))))
+    return F.flatten(F.array(*(F.array_distinct(F.transform(x, lambda y: F.struct(y["key"].alias("_part"), F.lit(k).alias("_gone")))) for k, x in enumerate(levels))))
+
+
+def _ways(a: DataFrame, b: DataFrame, names: list[str], radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The left and right keys by parts, and (n, deletes): by which index left strings of each length are joined. What the parts
+    would pair is counted from their keys' counts, and held against the number of keys that deletions make; the less costly wins. Right strings
+    serve 2 radius + 1 lengths, so each bears such a part of their keys."""
+    cut, near = (written(x) for x in _parts(a, b, radius))
+    key = [*names, "_n", "_i", "_part"]
+    count = lambda df, c: df.groupBy(*key).agg(F.count("*").alias(c))
+    pairs = count(cut, "_l").join(count(near, "_r"), key).groupBy("_n").agg(F.sum(F.col("_l") * F.col("_r")).alias("_pairs"))
+    choose = lambda n, k: F.lit(1.0) if k == 0 else choose(n, k - 1) * F.greatest(n - k + 1, F.lit(0)) / k
+    made = lambda n: sum((choose(n, k) for k in range(1, radius + 1)), F.lit(1.0))
+    cost = lambda df, c: df.groupBy(F.length(c).alias("_m")).agg(F.sum(made(F.length(c))).alias("_keys"))
+    keys = cost(a, "left").select(F.col("_m").alias("_n"), "_keys").union(cost(b, "right").select(F.explode(F.sequence(F.col("_m") - radius, F.col("_m") + radius)).alias("_n"), F.col("_keys") / (2 * radius + 1)))
+    return cut, near, written(pairs.join(keys.groupBy("_n").agg(F.sum("_keys").alias("_keys")), "_n").select("_n", (PAIR_COST * F.col("_pairs") > F.col("_keys")).alias("_deletes")))
+
+
+def edit_candidates(a: DataFrame, b: DataFrame, names: list[str], radius: int) -> DataFrame:
+    """(keys, left, right): the pairs of distinct strings of equal keys that the index leaves to be verified; all within ``radius`` edits are among them."""
+    cut, near, ways = _ways(a, b, names, radius)
+    ways = F.broadcast(ways)  # one row for each length that strings have
+    by_parts = cut.join(ways.filter("NOT _deletes"), "_n").join(near, [*names, "_n", "_i", "_part"]).select(*names, "left", "right")
+    deleted = ways.filter("_deletes")
+    rights = deleted.select(F.explode(F.sequence(F.col("_n") - radius, F.col("_n") + radius)).alias("_m")).distinct()
+    cut_keys = a.withColumn("_n", F.length("left")).join(deleted.select("_n"), "_n").select(*names, "left", F.inline(deletion_keys(F.col("left"), radius)))
+    near_keys = b.withColumn("_m", F.length("right")).join(F.broadcast(rights), "_m").select(*names, "right", F.inline(deletion_keys(F.col("right"), radius)))
+    shared = cut_keys.withColumnRenamed("_gone", "_x").join(near_keys.withColumnRenamed("_gone", "_y"), [*names, "_part"])
+    # Letters that go from both on top of these would be the same, so one side has lost as many as it may, or has none left.
+    by_deletions = shared.filter((F.greatest("_x", "_y") == radius) | (F.col("_part") == "")).select(*names, "left", "right")
+    return by_parts.union(by_deletions).distinct()
+
+
+def edit_join(
+    left: DataFrame, right: DataFrame, column: str, radius: int, keys: list[str], left_id: str = "clone_ix", right_id: str = "clone_ix"
+) -> DataFrame:
+    """(left_ix, right_ix, dist) of rows of equal ``keys`` whose strings are at most ``radius`` edits apart; none for nulls.
+
+    Distinct strings are indexed, and only pairs that share a key of the index are compared. Strings of each length take one of two indexes, by
+    counted cost: parts that stand unchanged, where strings are long and their parts differ; or the strings that are left when letters are
+    deleted (both sides lose up to ``radius``), where ends are conserved and parts would be shared by most, as in CDR3s. Either finds every pair.
+    """
+    side = lambda df, i, s: df.select(F.col(i).alias(f"{s}_ix"), *(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.col(column).alias(s)).dropna()
+    a, b = side(left, left_id, "left"), side(right, right_id, "right")
+    names = [f"_k{n}" for n in range(len(keys))]
+    pairs = edit_candidates(written(a.select(*names, "left").distinct()), written(b.select(*names, "right").distinct()), names, radius)
     close = pairs.withColumn("dist", F.levenshtein("left", "right", radius)).filter("dist >= 0")
     return close.join(a, [*names, "left"]).join(b, [*names, "right"]).select("left_ix", "right_ix", F.col("dist").cast("double").alias("dist"))
 

@@ -27,6 +27,35 @@ def test_edit_join_finds_every_pair(spark, radius):
     assert got == want and len(want) > 5
 
 
+def cdr3s(rng, n):
+    """Strings with conserved ends: a few stems, a free middle of a few letters, a few tails."""
+    stem, tail, letters = ["CASSL", "CASSP", "CASS", "CSA"], ["EQYF", "YEQYF", "GELFF", "EAFF"], "ACDEFGHIKLMNPQRSTVWY"
+    return ["".join([rng.choice(stem), *rng.choices(letters, k=rng.randint(4, 8)), rng.choice(tail)]) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("radius", "share"), [(1, 0.03), (2, 0.1), (3, 0.2)])
+def test_index_prunes_strings_with_conserved_ends(spark, radius, share):
+    rng = random.Random(radius)
+    strings = sorted({*cdr3s(rng, 2500), "", "C", "CASSLEQYF"})
+    df = spark.createDataFrame([(i, "v", x) for i, x in enumerate(strings)], "clone_ix int, v string, s string")
+    got = {(r["left_ix"], r["right_ix"], r["dist"]) for r in E.edit_join(df, df, "s", radius, ["v"]).collect()}
+    every = df.select("clone_ix", "s").join(df.select(F.col("clone_ix").alias("other"), F.col("s").alias("t")), F.abs(F.length("s") - F.length("t")) <= radius)
+    possible = every.count()
+    assert got == {(r[0], r[1], float(r[2])) for r in every.select("clone_ix", "other", F.levenshtein("s", "t", radius).alias("d")).filter("d >= 0").collect()}
+    a, b = df.select(F.col("v").alias("_k0"), F.col("s").alias("left")), df.select(F.col("v").alias("_k0"), F.col("s").alias("right"))
+    tried = E.edit_candidates(a, b, ["_k0"], radius).count()
+    assert len(got) <= tried < share * possible
+    keys = a.select(F.inline(E.deletion_keys(F.col("left"), radius))).groupBy("_part").count()
+    assert keys.agg(F.max("count")).first()[0] < 0.04 * len(strings)
+
+
+def test_deletion_keys(spark):
+    words_ = ["", "a", "aab", "abcd", "aaaa"]
+    got = spark.createDataFrame([(w,) for w in words_], "w string").select("w", F.inline(E.deletion_keys(F.col("w"), 2))).collect()
+    want = {(w, "".join(k), n) for w in words_ for n in range(3) if n <= len(w) for k in itertools.combinations(w, len(w) - n)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_kernels_over_blocks_equal_single_pairs():
     rng = random.Random(4)
     a, b = words(rng, 30, 0, 17, "ACDEFGHIKLMNPQRSTVWY."), words(rng, 30, 0, 17, "ACDEFGHIKLMNPQRSTVWY.")
