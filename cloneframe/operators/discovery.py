@@ -38,8 +38,8 @@ def group_tally(membership: DataFrame, clones: DataFrame, trait: Column, count:
 def node_differences(membership: DataFrame, clones: DataFrame, trait: str, count: str = "count", least: int = 3, clone_id: str = "clone_ix", group: str = "node") -> DataFrame:
     """The test of a trait at every node of at least ``least`` members: (group, size, test, statistic, pvalue, FWERp, FDRq).
 
-    Two levels: Fisher's exact test with the odds ratio. More: the Pearson statistic of levels in and out of the node, with levels - 1 degrees of freedom,
-    without p. One: nothing to test. The levels are those of the whole table.
+    Two levels: Fisher's exact test with the odds ratio. More: the Pearson statistic of levels in and out of the node, with p from levels - 1 degrees of
+    freedom. One: nothing to test. The levels are those of the whole table.
     """
     levels = [r[0] for r in clones.select(trait).dropna().distinct().orderBy(trait).limit(3).collect()]
     sizes = membership.groupBy(group).agg(F.count("*").alias("size")).filter(F.col("size") >= least)
@@ -52,7 +52,7 @@ def node_differences(membership: DataFrame, clones: DataFrame, trait: str, count
     own = clones.filter(F.col(trait).isNotNull()).select(F.col(clone_id).alias("ix"), F.col(trait).alias("_t"), F.col(count).cast("double").alias("_c"))
     inside = membership.join(sizes, group).join(own, "ix").groupBy(group, "size", "_t").agg(F.sum("_c").alias("_in"))
     totals = own.groupBy("_t").agg(F.sum("_c").alias("_all"))
-    whole = own.agg(F.sum("_c").alias("_n"))
+    whole = totals.agg(F.sum("_all").alias("_n"), (F.count("*") - 1).cast("int").alias("_df"))
     # Levels that a node lacks add their expectation inside; so the sum over those that it has is completed from the totals.
     per = inside.join(totals, "_t").crossJoin(F.broadcast(whole))
     size = per.groupBy(group).agg(F.sum("_in").alias("_k"), F.sum("_all").alias("_seen"))
@@ -60,10 +60,11 @@ def node_differences(membership: DataFrame, clones: DataFrame, trait: str, count
     e = F.col("_all") * F.col("_k") / F.col("_n")
     out = F.col("_all") - e
     term = (F.col("_in") - e) * (F.col("_in") - e) * (F.try_divide(F.lit(1.0), e) + F.coalesce(F.try_divide(F.lit(1.0), out), F.lit(0.0)))
-    chi = per.groupBy(group, "size", "_k", "_seen", "_n").agg(F.sum(term).alias("_x"))
+    chi = per.groupBy(group, "size", "_k", "_seen", "_n", "_df").agg(F.sum(term).alias("_x"))
     # An absent level with expectation e inside and all - e outside adds e^2 / e + e^2 / (all - e) = e n / (n - k).
     missing = (F.col("_n") - F.col("_seen")) * F.col("_k") / F.col("_n") * F.try_divide(F.col("_n"), F.col("_n") - F.col("_k"))
-    return chi.select(group, "size", F.lit("chi2").alias("test"), (F.col("_x") + F.coalesce(missing, F.lit(0.0))).alias("statistic"), *(F.lit(None).cast("double").alias(c) for c in ("pvalue", "FWERp", "FDRq")))
+    out = chi.select(group, "size", F.lit("chi2").alias("test"), (F.col("_x") + F.coalesce(missing, F.lit(0.0))).alias("statistic"), "_df")
+    return adjusted(out.withColumn("pvalue", N.chi2_tail(F.col("statistic"), F.col("_df")))).select(group, "size", "test", "statistic", "pvalue", "FWERp", "FDRq")
 
 
 def group_statistics(membership: DataFrame, edges: DataFrame, clones: DataFrame, count: str = "count", cuts: tuple[float, ...] = (25, 50, 75), least: int = 3, clone_id: str = "clone_ix", group: str = "node") -> DataFrame:
@@ -118,16 +119,19 @@ def centres_in_bulk(
 def find_metaclonotypes(
     target: DataFrame, background: DataFrame, target_edges: DataFrame, background_edges: DataFrame, control: float, thresholds: list[float], subject: str = "subject",
     cdr3: str = "cdr3_b_aa", weight: str = "weight", clone_id: str = "clone_ix", min_subjects: int = 1, max_ambiguity: int = 5,
+    beta_re: float = 1.0, beta_dist: float = 1.0, most: float | None = None,
 ) -> DataFrame:
-    """From a target and a weighted background to ranked centres: radius, rates, motif, joint chi-square, neighbours, subjects, pruned of near-subsets."""
+    """From a target and a weighted background to ranked centres: radius, rates, motif, statistics of distance and of the motif's own hits with their
+    weighted sum ``chi2joint``, neighbours, subjects; best first by ``chi2joint``, pruned of near-subsets."""
     from . import motifs
 
-    stats = R.background_control(target_edges, background_edges, target, background, control, thresholds, weight, clone_id, clone_id)
+    stats = R.background_control(target_edges, background_edges, target, background, control, thresholds, weight, clone_id, clone_id, most)
     own = E.within(target_edges, stats.withColumnRenamed("left_ix", clone_id), None, clone_id, "radius")
     name = lambda s: target.select(F.col(clone_id).alias(f"{s}_ix"), F.col(cdr3).alias(f"_{s}"))
     pairs = own.join(name("left"), "left_ix").join(name("right"), "right_ix").select(F.col("left_ix").alias("centre"), "_left", "_right")
     regex = motifs.patterns(motifs.aligned_letters(pairs, "centre", "_left", "_right"), "centre", max_ambiguity=max_ambiguity).withColumnRenamed("centre", "left_ix")
     lists = E.neighbor_lists(own)
     people = N.members(own, target, [subject], clone_id).groupBy("left_ix").agg(F.count_distinct(subject).alias("nsubject"))
-    out = stats.join(regex, "left_ix", "left").join(lists, "left_ix").join(people, "left_ix").withColumn("chi2joint", F.col("chi2"))
+    tested = R.regex_control(stats, regex, target, background, cdr3, weight, beta_re, beta_dist)
+    out = tested.join(lists, "left_ix").join(people, "left_ix")
     return R.ranked_centres(out, min_subjects=min_subjects)

@@ -224,9 +224,3 @@ def medoids(edges: DataFrame, groups: DataFrame, group: str = "cluster_id", memb
     sizes = m.groupBy("_g").agg(F.count("*").alias("_n"), F.min("left_ix").alias("_first"))
     best = sums.groupBy("_g").agg(F.min(F.struct("_s", "left_ix"))["left_ix"].alias("_best"))
     return sizes.join(best, "_g", "left").select(F.col("_g").alias(group), F.when(F.col("_n") < 3, F.col("_first")).otherwise(F.coalesce("_best", "_first")).alias("medoid"))
-
-
-def regex_hits(strings: DataFrame, patterns: DataFrame, string: str, pattern: str) -> DataFrame:
-    """Each pattern's matching strings. Every pattern must try every distinct string, so the patterns, a set that the
-    caller states, go to the strings' tasks; Spark broadcasts them while they are small and else nests the join."""
-    return strings.join(patterns, F.expr(f"`{string}` rlike `{pattern}`"))

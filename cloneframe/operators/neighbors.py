@@ -107,10 +107,35 @@ def chi2(names=CELLS, yates: bool = True) -> Column:
     return total
 
 
-@F.pandas_udf(DoubleType())
-def chi2_p(statistic: pd.Series) -> pd.Series:
+#: Terms of the series and of the fraction below: more change no digit.
+_TERMS = 70
+
+
+def chi2_tail(statistic: Column, degrees: Column) -> Column:
+    """The upper tail of chi-square for any whole number of degrees from 1 on: null for a null or less.
+
+    With h = x / 2, Q(a + 1) = Q(a) + h^a exp(-h) / gamma(a + 1), so a finite sum leads from exp(-h) for two degrees, or erfc(sqrt(h)) for one,
+    to any other. The latter is one minus a power series for small h, and a continued fraction from its end for others.
+    """
+    h, start = statistic.cast("double") / 2, F.when(degrees % 2 == 0, 1.0).otherwise(0.5)
+    series = F.aggregate(
+        F.sequence(F.lit(1), F.lit(_TERMS)), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
+        lambda a, i: F.struct((a["t"] * h / (i + 0.5)).alias("t"), (a["s"] + a["t"] * h / (i + 0.5)).alias("s")), lambda a: a["s"],
+    )
+    small = 1 - series * F.exp(-h) * F.sqrt(h) * (2 / math.sqrt(math.pi))
+    fraction = F.aggregate(F.sequence(F.lit(_TERMS), F.lit(1), F.lit(-1)), F.sqrt(h), lambda t, i: F.sqrt(h) + i / (2 * t))
+    first = F.when(degrees % 2 == 0, F.exp(-h)).when(h < 4, small).otherwise(F.exp(-h) / (fraction * math.sqrt(math.pi)))
+    ln = F.ln(h)
+    # The logarithm of h^a / gamma(a + 1) goes on from that of a = 1, or of a = 1 / 2.
+    zero = F.struct(F.when(degrees % 2 == 0, ln).otherwise(ln / 2 - math.log(math.sqrt(math.pi) / 2)).alias("l"), F.lit(0.0).alias("s"))
+    step = lambda a, i: F.struct((a["l"] + ln - F.ln(start + i)).alias("l"), (a["s"] + F.exp(a["l"] - h)).alias("s"))
+    steps = F.when(degrees > 2, F.sequence(F.lit(1), F.floor((degrees - 1) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.when(h.isNull() | (degrees < 1), None).when(h <= 0, 1.0).otherwise(F.least(F.lit(1.0), first + F.aggregate(steps, zero, step, lambda a: a["s"])))
+
+
+def chi2_p(statistic) -> Column:
     """The upper tail with one degree of freedom."""
-    return statistic.map(lambda x: math.erfc(math.sqrt(x / 2)) if x == x and x is not None else None)
+    return chi2_tail(F.col(statistic) if isinstance(statistic, str) else statistic, F.lit(1))
 
 
 def _fisher(a: int, b: int, c: int, d: int) -> float:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
 from .neighbors import chi2, nonredundant, odds_ratio, rate
 from .ranks import ranked
+from .regex_join import regex_hits
 
 
 def distance_ecdf(
@@ -61,27 +63,51 @@ def radii(ecdf: DataFrame, control: float) -> DataFrame:
     return ecdf.groupBy("left_ix").agg(F.coalesce(F.max(F.when(F.col("ecdf") <= control, F.col("threshold"))), F.lit(0.0)).alias("radius"))
 
 
+def _contrasts(df: DataFrame, hits: str, weighted: str, suffix: str, chi: str, rate_hits: str | None = None) -> DataFrame:
+    """Adds rates, relative rate, odds ratio and chi-square of hits among n1 targets against weighted hits among n2 of the background."""
+    h, b, n1, n2 = (F.col(c).cast("double") for c in (hits, weighted, "n1", "n2"))
+    cells = {"_a": h, "_b": b, "_c": n1 - h, "_d": n2 - b}
+    ones = {f"{k}1": F.col(k) + 1 for k in cells}
+    out = df.withColumns({f"TR{suffix}": rate(h, n1 - h), f"BR{suffix}_weighted": rate(b, n2 - b), **cells}).withColumns(ones)
+    out = out.withColumn(f"RR{suffix}_weighted", F.col(rate_hits or f"TR{suffix}") / F.col(f"BR{suffix}_weighted"))
+    return out.withColumns({f"OR{suffix}_weighted": odds_ratio(tuple(cells), 1.0), chi: chi2(("_a1", "_c1", "_b1", "_d1"))}).drop(*cells, *ones)
+
+
 def background_control(
     target_edges: DataFrame, background_edges: DataFrame, target: DataFrame, background: DataFrame, control: float, thresholds: list[float],
     weight: str = "weight", target_id: str = "clone_ix", background_id: str = "clone_ix", most: float | None = None,
 ) -> DataFrame:
-    """Per target clone: radius, hits in target and background, weighted hits, rates, relative rate, odds ratio and chi-square."""
+    """Per target clone: radius, hits in target and background, weighted hits, rates, relative rate, odds ratio and chi-square (``chi2dist``) of the distance hits."""
+    background_edges = written(background_edges)  # read for the radii and for the hits
     ecdf = distance_ecdf(background_edges, target, background, thresholds, weight, absolute=True, left_id=target_id, right_id=background_id)
     chosen = radii(ecdf, control)
-    chosen = chosen.withColumn("radius", F.least("radius", F.lit(float(most)))) if most is not None else chosen
+    chosen = written(chosen.withColumn("radius", F.least("radius", F.lit(float(most)))) if most is not None else chosen)
     w = background.select(F.col(background_id).alias("right_ix"), F.col(weight).cast("double").alias("_w"))
     near = lambda e: e.join(chosen, "left_ix").filter(F.col("dist") <= F.col("radius"))
     hits = near(target_edges).groupBy("left_ix").agg(F.count("*").alias("target_hits"))
     bg = near(background_edges).join(w, "right_ix").groupBy("left_ix").agg(F.count("*").alias("bkgd_hits"), F.sum("_w").alias("bkgd_weighted"))
     sizes = target.agg(F.count("*").alias("n1")).crossJoin(background.agg(F.count("*").alias("n2")))
     out = chosen.join(hits, "left_ix", "left").join(bg, "left_ix", "left").fillna(0, ["target_hits", "bkgd_hits", "bkgd_weighted"]).crossJoin(F.broadcast(sizes))
-    h, b, n1, n2 = (F.col(c).cast("double") for c in ("target_hits", "bkgd_weighted", "n1", "n2"))
-    out = out.withColumns({"TR": rate(h, n1 - h), "BR_weighted": rate(b, n2 - b), "_a": h, "_b": b, "_c": n1 - h, "_d": n2 - b})
-    out = out.withColumn("RR_weighted", F.col("TR") / F.col("BR_weighted"))
-    out = out.withColumn("OR_weighted", odds_ratio(("_a", "_b", "_c", "_d"), 1.0))
-    ones = {f"_{k}1": F.col(f"_{k}") + 1 for k in "abcd"}
-    out = out.withColumns(ones).withColumn("chi2", chi2(("_a1", "_c1", "_b1", "_d1")))
-    return out.drop(*(f"_{k}" for k in "abcd"), *ones)
+    return _contrasts(out, "target_hits", "bkgd_weighted", "", "chi2dist")
+
+
+def regex_control(
+    stats: DataFrame, patterns: DataFrame, target: DataFrame, background: DataFrame, cdr3: str, weight: str = "weight", beta_re: float = 1.0, beta_dist: float = 1.0
+) -> DataFrame:
+    """Adds to ``background_control`` each centre's ``regex`` from ``patterns`` (left_ix, regex) and its statistics: hits among all target and background clones, weighted hits,
+    rates, relative rate (the centre's distance rate TR over the background's regex rate, as published), odds ratio, ``chi2re``, and
+    ``chi2joint`` = beta_re chi2re + beta_dist chi2dist. Centres without a pattern have no regex hits."""
+    own = patterns.select("left_ix", "regex")
+    distinct = own.select("regex").dropna().distinct()
+
+    def counted(clones: DataFrame, sums: list[Column]) -> DataFrame:
+        return regex_hits(clones, distinct, cdr3, "regex").groupBy("regex").agg(*sums)
+
+    inside = counted(target.select(cdr3), [F.count("*").alias("target_re_hits")])
+    outside = counted(background.select(cdr3, weight), [F.count("*").alias("bkgd_re_hits"), F.sum(F.col(weight).cast("double")).alias("bkgd_re_weighted")])
+    out = stats.join(own, "left_ix", "left").join(inside, "regex", "left").join(outside, "regex", "left").fillna(0, ["target_re_hits", "bkgd_re_hits", "bkgd_re_weighted"])
+    out = _contrasts(out, "target_re_hits", "bkgd_re_weighted", "_re", "chi2re", "TR")
+    return out.withColumn("chi2joint", beta_re * F.col("chi2re") + beta_dist * F.col("chi2dist"))
 
 
 def ranked_centres(centres: DataFrame, neighbors: str = "neighbors", by: str = "chi2joint", min_subjects: int = 2, least_difference: int = 1, tie: str = "left_ix") -> DataFrame:

@@ -441,12 +441,36 @@ def clu04_tree_nodes(spark, d):
     return discovery.group_statistics(members.select("node", "ix"), e, c, cuts=(1, 2, 3), clone_id="clone_id")
 
 
-@query(f"""WITH {T.CLONES}, g AS (SELECT v_b_gene AS node, clone_id FROM clones), z AS (SELECT v_b_gene AS node, count(*) AS size FROM clones GROUP BY 1 HAVING count(*) >= 3), o AS (SELECT node, j_b_gene AS t, sum(count)::DOUBLE AS x FROM g JOIN clones USING (clone_id) GROUP BY ALL),
-a AS (SELECT j_b_gene AS t, sum(count)::DOUBLE AS a FROM clones GROUP BY 1), n AS (SELECT sum(count)::DOUBLE AS n FROM clones), k AS (SELECT node, sum(x) AS k FROM o GROUP BY node),
-f AS (SELECT z.node, size, a.a, coalesce(x, 0) AS x, a.a * k / n AS e, a.a - a.a * k / n AS f FROM z JOIN k USING (node) CROSS JOIN a CROSS JOIN n LEFT JOIN o ON o.node = z.node AND o.t = a.t)
-SELECT node, size::BIGINT AS size, 'chi2' AS test, round(sum((x - e) * (x - e) / e + (x - e) * (x - e) / f), 6) AS statistic FROM f GROUP BY node, size""")
+def _levels_sql(trait: str, tail: str) -> str:
+    """Pearson's statistic of a trait's levels in and out of each V gene, with p and its corrections."""
+    return f"""WITH {T.CLONES}, x AS (SELECT *, {trait} AS t FROM clones), z AS (SELECT v_b_gene AS node, count(*) AS size FROM clones GROUP BY 1 HAVING count(*) >= 3), o AS (SELECT v_b_gene AS node, t, sum(count)::DOUBLE AS x FROM x GROUP BY ALL),
+a AS (SELECT t, sum(count)::DOUBLE AS a FROM x GROUP BY 1), n AS (SELECT sum(count)::DOUBLE AS n FROM x), k AS (SELECT node, sum(x) AS k FROM o GROUP BY node),
+f AS (SELECT z.node, size, a.a, coalesce(x, 0) AS x, a.a * k / n AS e, a.a - a.a * k / n AS f FROM z JOIN k USING (node) CROSS JOIN a CROSS JOIN n LEFT JOIN o ON o.node = z.node AND o.t = a.t),
+s AS (SELECT node, size, sum((x - e) * (x - e) / e + (x - e) * (x - e) / f) AS s FROM f GROUP BY node, size), q AS (SELECT node, size, s, s / 2 AS h FROM s), p AS (SELECT *, {tail} AS p FROM q),
+r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM p)
+SELECT node, size::BIGINT AS size, 'chi2' AS test, round(s, 6) AS statistic, round(p, 9) AS pvalue, round(least(1, max((m - r + 1) * p) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING)), 9) AS "FWERp",
+round(least(1, min(m * p / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS "FDRq" FROM r"""
+
+
+def _levels(spark, d, trait: str):
+    c = T.clones(spark, d).withColumn("trait", F.expr(trait))
+    out = discovery.node_differences(c.select(F.col("v_b_gene").alias("node"), F.col("clone_id").alias("ix")), c, "trait", clone_id="clone_id")
+    return out.select("node", "size", "test", F.round("statistic", 6).alias("statistic"), *(F.round(x, 9).alias(x) for x in ("pvalue", "FWERp", "FDRq")))
+
+
+#: Five degrees: the tail of one degree by a series or a fraction, and two more terms.
+_FIVE = """(CASE WHEN h < 4 THEN 1 - 2 / sqrt(pi()) * sqrt(h) * exp(-h) * list_reduce(range(80, 0, -1), lambda s, i: 1 + s * h / (i + 0.5), 1.0::DOUBLE)
+ELSE exp(-h) / (sqrt(pi()) * list_reduce(range(80, 0, -1), lambda t, i: sqrt(h) + i / (2 * t), sqrt(h))) END) + exp(-h) * (2 * sqrt(h / pi()) + 4 * h * sqrt(h / pi()) / 3)"""
+_THREE = "CASE left(j_b_gene, 1) WHEN 'S' THEN 'small or standard' WHEN 'P' THEN 'promo' ELSE 'other' END"
+
+
+@query(_levels_sql("j_b_gene", _FIVE))
 def clu04_many_levels(spark, d):
-    """The choice of test by levels: more than two, so the Pearson statistic of every group."""
-    c = T.clones(spark, d)
-    out = discovery.node_differences(c.select(F.col("v_b_gene").alias("node"), F.col("clone_id").alias("ix")), c, "j_b_gene", clone_id="clone_id")
-    return out.select("node", "size", "test", F.round("statistic", 6).alias("statistic"))
+    """The choice of test by levels: six, so Pearson's statistic of every group with five degrees."""
+    return _levels(spark, d, "j_b_gene")
+
+
+@query(_levels_sql(_THREE, "exp(-h)"))
+def clu04_three_levels(spark, d):
+    """Three levels: two degrees."""
+    return _levels(spark, d, _THREE)

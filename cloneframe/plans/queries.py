@@ -11,6 +11,7 @@ from ..functions import sequences as S
 from ..functions.metrics import Edit, Hamming, MetricSpec, Tcr
 from ..operators import background, clones as C, cluster, discovery, diversity, edges as E, motifs, neighbors as N, radii as R
 from ..operators.ranks import adjusted, ranked
+from ..operators.regex_join import regex_hits
 from ..sources import readers
 from . import testbed as T
 
@@ -376,7 +377,7 @@ SELECT pattern, count(*)::BIGINT AS hits FROM p JOIN s ON regexp_matches(cdr3_b_
 def jon12_regex_hits(spark, d):
     s = T.clones(spark, d).select("cdr3_b_aa").distinct()
     p = s.select(F.expr("'^C' || substr(cdr3_b_aa, 2, 2) || '.*' || substr(cdr3_b_aa, length(cdr3_b_aa) - 2, 1) || '.F$'").alias("pattern")).distinct()
-    return E.regex_hits(s, p, "cdr3_b_aa", "pattern").groupBy("pattern").agg(F.count("*").alias("hits"))
+    return regex_hits(s, p, "cdr3_b_aa", "pattern").groupBy("pattern").agg(F.count("*").alias("hits"))
 
 
 @query(f"WITH {T.TWO} SELECT cdr3_b_aa, v_b_gene, j_b_gene FROM target EXCEPT SELECT cdr3_b_aa, v_b_gene, j_b_gene FROM bulk")
@@ -423,6 +424,35 @@ def rad02_background_control(spark, d):
     return out.select("left_ix", "radius", "target_hits", *(F.round(c, 6).alias(c) for c in ("bkgd_weighted", "RR_weighted", "OR_weighted")))
 
 
+_P = "'(' || substr(cdr3_b_aa, 4, 1) || '[' || substr(cdr3_b_aa, 5, 1) || 'AGS].?' || substr(cdr3_b_aa, 7, 2) || ')'"
+_CHI_OF = lambda h, b: f"({_yates(f'1 + {h}', f'1 + n1 - {h}', f'1 + {b}', f'1 + n2 - {b}')})"
+
+
+def _yates(a: str, c: str, b: str, d: str) -> str:
+    """The corrected statistic of rows (a, c) and (b, d)."""
+    n = f"({a} + {b} + {c} + {d})"
+    cells = ((a, f"({a} + {c})", f"({a} + {b})"), (c, f"({a} + {c})", f"({c} + {d})"), (b, f"({b} + {d})", f"({a} + {b})"), (d, f"({b} + {d})", f"({c} + {d})"))
+    return " + ".join(f"power(greatest(abs({x} - {r} * {k} / {n}) - 0.5, 0), 2) / ({r} * {k} / {n})" for x, r, k in cells)
+
+
+@query(f"""WITH {_RAD2.replace("coalesce(max(threshold) FILTER (ecdf <= 0.05), 0)", "least(coalesce(max(threshold) FILTER (ecdf <= 0.05), 0), 2)")}, pats AS (SELECT clone_id AS left_ix, {_P} AS regex FROM target WHERE clone_id % 5 <> 0),
+tre AS (SELECT regex, count(*)::DOUBLE AS th FROM (SELECT DISTINCT regex FROM pats) JOIN target ON regexp_matches(target.cdr3_b_aa, regex) GROUP BY regex),
+bre AS (SELECT regex, count(*) AS bh, sum(weight)::DOUBLE AS bw FROM (SELECT DISTINCT regex FROM pats) JOIN bulk ON regexp_matches(bulk.cdr3_b_aa, regex) JOIN w USING (clone_id) GROUP BY regex),
+m AS (SELECT n.*, regex, coalesce(th, 0) AS th, coalesce(bh, 0) AS bh, coalesce(bw, 0) AS bw FROM n LEFT JOIN pats USING (left_ix) LEFT JOIN tre USING (regex) LEFT JOIN bre USING (regex))
+SELECT left_ix, radius, regex, th::BIGINT AS target_re_hits, bh::BIGINT AS bkgd_re_hits, round(bw, 6) AS bkgd_re_weighted, round((th + 1) / (n1 + 2), 9) AS "TR_re", round((bw + 1) / (n2 + 2), 9) AS "BR_re_weighted",
+round(((h + 1) / (n1 + 2)) / ((bw + 1) / (n2 + 2)), 6) AS "RR_re_weighted", round(((1 + th) * (1 + n2 - bw)) / ((1 + bw) * (1 + n1 - th)), 6) AS "OR_re_weighted",
+round({_CHI_OF("h", "b")}, 6) AS chi2dist, round({_CHI_OF("th", "bw")}, 6) AS chi2re, round(0.75 * {_CHI_OF("th", "bw")} + 0.25 * {_CHI_OF("h", "b")}, 6) AS chi2joint FROM m""")
+def rad02_regex_control(spark, d):
+    """Statistics of each centre's pattern beside those of its radius, joined by weights; radii are held at 2, and every fifth centre has no pattern."""
+    target, bulk = T.target_and_bulk(spark, d)
+    bulk = bulk.withColumn("weight", F.col("count") / 25.0)
+    stats = R.background_control(edit_edges(target, target), edit_edges(target, bulk), target, bulk, 0.05, _GRID, target_id="clone_id", background_id="clone_id", most=2)
+    pats = target.filter("clone_id % 5 <> 0").select(F.col("clone_id").alias("left_ix"), F.expr(_P).alias("regex"))
+    out = R.regex_control(stats, pats, target, bulk, "cdr3_b_aa", beta_re=0.75, beta_dist=0.25)
+    rounded = ["bkgd_re_weighted", "RR_re_weighted", "OR_re_weighted", "chi2dist", "chi2re", "chi2joint"]
+    return out.select("left_ix", "radius", "regex", "target_re_hits", "bkgd_re_hits", *(F.round(c, 9).alias(c) for c in ("TR_re", "BR_re_weighted")), *(F.round(c, 6).alias(c) for c in rounded))
+
+
 _SEARCH = f"""{T.TWO}, {edges_sql('target', 'bulk')}, f AS (SELECT *, count / (SELECT sum(count) FROM bulk) AS productive_frequency FROM bulk),
 s AS (SELECT *, (clone_id % 3 + 1)::INT AS radius, '(' || substr(cdr3_b_aa, 3, 2) || '.?[A-M])' AS regex FROM target),
 hit AS (SELECT s.clone_id AS left_ix, right_ix, s.cdr3_b_aa, s.v_b_gene, s.j_b_gene, radius, dist, f.count AS c, f.productive_frequency AS p, f.cdr3_b_aa AS hit3, regexp_matches(f.cdr3_b_aa, regex) AS motif

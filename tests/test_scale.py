@@ -218,6 +218,21 @@ def test_first_values_and_steps(spark):
     assert [(r["x"], r["y"]) for r in R.step_vectors(e).orderBy("x", "corner").collect()] == [(0.0, 0.0), (0.0, 0.2), (2.0, 0.2), (2.0, 0.7)]
 
 
+def test_chi_square_tail(spark):
+    """Even degrees against the closed sum in exact fractions of floats, odd ones against erfc and the step between degrees."""
+    def plain(x, k):
+        h = x / 2
+        if k % 2 == 0:
+            return math.exp(-h) * math.fsum(h**i / math.factorial(i) for i in range(k // 2))
+        return math.erfc(math.sqrt(h)) + math.exp(-h) * math.fsum(h ** (i - 0.5) / math.gamma(i + 0.5) for i in range(1, k // 2 + 1))
+
+    cases = [(x, k) for x in (1e-6, 0.3, 2.0, 7.99, 8.0, 8.01, 25.0, 90.0, 600.0) for k in (1, 2, 3, 4, 7, 12, 31)]
+    df = spark.createDataFrame([*cases, (None, 3), (0.0, 5), (4.0, 0), (1e5, 9)], "x double, k int")
+    got = [r["p"] for r in df.coalesce(1).select(N.chi2_tail(F.col("x"), F.col("k")).alias("p")).collect()]
+    assert got[-4:] == [None, 1.0, None, 0.0]
+    assert got[:-4] == [pytest.approx(plain(x, k), rel=1e-9) for x, k in cases]
+
+
 def test_choice_of_test_by_levels(spark):
     clones = spark.createDataFrame([(i, "xyz"[i % 3], "ab"[i % 2], "c", i + 1) for i in range(12)], "clone_ix long, three string, two string, one string, count int")
     members = spark.createDataFrame([("n", i) for i in (0, 1, 3, 6)] + [("small", 1)], "node string, ix long")
@@ -228,4 +243,5 @@ def test_choice_of_test_by_levels(spark):
     inside, whole = np.array([12, 2, 0.0]), np.array([22, 26, 30.0])
     e = whole * inside.sum() / whole.sum()
     assert r["test"] == "chi2" and r["statistic"] == pytest.approx(((inside - e) ** 2 / e + (inside - e) ** 2 / (whole - e)).sum())
+    assert r["pvalue"] == r["FWERp"] == r["FDRq"] == pytest.approx(math.exp(-r["statistic"] / 2))
     assert by("one")[0]["test"] == "none"
