@@ -3,11 +3,12 @@
 1. ``pieces`` tokenizes each whole text in its task and cuts it into pieces of at most ``capacity`` ids.
 2. The histogram of piece lengths, at most ``capacity`` rows whatever the input, goes to the driver.
 3. ``solve`` works on that histogram: the configuration LP (fewest sequences whose
-   configurations cover every length's count) by multiplicative weights. Each round
-   prices lengths by their weights, solves the knapsack by dynamic programming, and reads
-   from its table the best configuration around every length; weights of lengths that
-   these cover too often fall. The rounds' average is rounded to whole sequences, again and again for what is left,
-   and the last pieces are placed best-fit decreasing on the histogram's counts.
+   configurations cover every length's count), begun with the plan of best-fit decreasing. Each round
+   prices lengths, solves the knapsack by dynamic programming, reads from its table configurations around every length that are worth
+   the most or nearly so, and solves the program over all configurations found so far by multiplicative weights: weights of
+   lengths fall as they are covered, configurations grow by what they are worth. The weights' average is the next
+   prices and gives the dual bound. The cheapest cover is rounded to whole sequences, again for what is left,
+   and the last pieces are placed best-fit on the histogram's counts.
 4. Every piece gets a rank among those of its length and takes the place of that rank
    in the plan. Ranks are made per (length, salt) by the row numbers that the piece table was written with, and salts are offset by
    their counts, so that one common length, even of a third of all rows and all of them equal, is spread over many tasks.
@@ -38,8 +39,10 @@ from .bpe_codec import slices
 from .frames import written
 
 _WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
-#: Rounds of multiplicative weights, and their rate.
-ROUNDS, RATE = 24, 0.35
+#: Rounds of knapsack pricing at most, steps of multiplicative weights in each, and the gap between cost and bound at which they end.
+ROUNDS, STEPS, GAP = 8, 600, 0.005
+#: Fillings that are drawn, from within this share of the best worth; and the last sharpness of weights as times the first.
+CHOICES, SPREAD, SHARPEST = 3, 0.02, 60.0
 #: Rows of one (length, salt) group, about.
 GROUP_ROWS = 50_000
 
@@ -136,51 +139,108 @@ def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return best, take
 
 
-def around(take: np.ndarray, lengths: np.ndarray, capacity: int) -> list[tuple[int, ...]]:
-    """For each length, the configuration that holds it and fills the rest as the table says; descending."""
+def fill(best: np.ndarray, take: np.ndarray, price: np.ndarray, lengths: np.ndarray, capacity: int, spread: float, rng: np.random.Generator) -> list[tuple[int, ...]]:
+    """For each length, a configuration that holds it and fills the rest with what is worth most, descending.
+
+    The first ``CHOICES`` fillings are drawn among all that are within ``spread`` of the best, as at good prices many are equal and a cover needs all of
+    them; the others follow the knapsack's table."""
     filled = np.maximum.accumulate(np.where(take > 0, np.arange(len(take)), 0))
-    out = [[int(n)] for n in lengths]
-    room, live = filled[capacity - lengths], np.arange(len(lengths))
-    while True:
-        live = live[take[room[live]] > 0]
+    out, room, live = [[int(n)] for n in lengths], capacity - lengths, np.arange(len(lengths))
+    size = np.sort(lengths)
+    for step in range(capacity):
+        if step < CHOICES and spread:
+            live = live[room[live] >= size[0]]
+            got = np.zeros(len(live), np.int64)
+            for at in range(0, len(live), 256):
+                left = room[live[at : at + 256], None] - size[None, :]
+                worth = np.where(left >= 0, price[size][None, :] + best[np.maximum(left, 0)], -np.inf)
+                got[at : at + 256] = size[(worth + spread * best[capacity] * rng.random(worth.shape, np.float32)).argmax(1)]
+        else:
+            room[live] = filled[room[live]]
+            live = live[room[live] > 0]
+            got = take[room[live]]
         if not len(live):
-            return [tuple(sorted(c, reverse=True)) for c in out]
-        got = take[room[live]]
+            break
         for i, n in zip(live.tolist(), got.tolist()):
             out[i].append(n)
-        room[live] = filled[room[live] - got]
+        room[live] -= got
+    return [tuple(sorted(c, reverse=True)) for c in out]
 
 
 Plan = list[tuple[tuple[int, ...], int]]
 
 
-def program(demand: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], float], float]:
-    """(configuration -> how many sequences, on average over the rounds; a bound below which no plan's sequences can be).
-
-    ``demand[l]`` is how many pieces of length l there are. Prices divided by the knapsack's best worth are a solution of the
-    dual program, so the pieces' prices together are a bound; the greatest of the rounds' is returned.
+class Cover:
+    """The covering program over the configurations found so far, by multiplicative weights on both sides."""
+
+    def __init__(self, lengths: np.ndarray, demand: np.ndarray, capacity: int, start: Plan):
+        self.demand = demand[lengths].astype(float)
+        self.index = np.zeros(capacity + 1, np.int64)
+        self.index[lengths] = np.arange(len(lengths))
+        self.known: dict[tuple[int, ...], int] = {}
+        self.row, self.column, self.count = (np.zeros(0, np.int64) for _ in range(3))
+        self.x = np.zeros(0)
+        self.add([config for config, _ in start])
+        for config, n in start:
+            self.x[self.known[config]] += n
+        self.cost = float(self.x.sum())
+
+    def add(self, configs: list[tuple[int, ...]]) -> None:
+        new = [c for c in dict.fromkeys(configs) if c not in self.known]
+        entries = [(int(self.index[n]), self.known.setdefault(c, len(self.known)), c.count(n)) for c in new for n in dict.fromkeys(c)]
+        if entries:
+            more = np.array(entries, np.int64).T
+            self.row, self.column, self.count = (np.r_[old, col] for old, col in zip((self.row, self.column, self.count), more))
+        self.x = np.r_[self.x, np.zeros(len(new))]
+
+    def solve(self, steps: int) -> np.ndarray:
+        """Lengths weigh by how little of their demand is covered, more sharply from step to step; configurations grow by what they are worth at
+        these weights against the average and shrink if that is less. Keeps the best cover: of several scales, that which is cheapest with a sequence more for
+        each piece that it lacks. Returns prices: the weights' average over the later steps, by piece."""
+        m, n = len(self.demand), len(self.x)
+        part = self.count / self.demand[self.row]
+        x, prices = self.x + 0.05 * self.demand.sum() / n, np.zeros(m)
+        for i in range(steps):
+            covered = np.bincount(self.row, part * x[self.column], m)
+            if i % 25 == 0:
+                for share in (0.0, 0.02, 0.05, 0.1, 0.2, 0.3):
+                    if (scale := float(np.quantile(covered, share))) > 0:
+                        cost = x.sum() / scale + float((np.clip(1 - covered / scale, 0, None) * self.demand).sum())
+                        if cost < self.cost:
+                            self.cost, self.x = cost, x / scale
+            sharp = np.log(m + 1) * SHARPEST ** (i / steps)
+            z = covered / np.median(covered)
+            weight = np.exp(-sharp * (z - z.min()))
+            weight /= weight.sum()
+            if 3 * i > steps:
+                prices += weight
+            worth = np.bincount(self.column, part * weight[self.row], n)
+            x = x * np.exp(np.clip(worth * x.sum() / (worth @ x) - 1, -1, 1) * min(0.5, 6 / sharp))
+        return prices / prices.sum() / self.demand
+
+
+def program(demand: np.ndarray, capacity: int, start: Plan, rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], float], float, float]:
+    """(configuration -> how many sequences, fractional; what they and a sequence for each piece that they lack cost; a bound below which no plan's sequences can be).
+
+    ``demand[l]`` is how many pieces of length l there are; ``start`` is a cover to begin with. Each round prices the lengths, solves the knapsack at these prices, adds the configurations
+    that it finds and solves the program over all of them, which gives new prices. Prices divided by the knapsack's best worth are a solution of the dual
+    program, so the pieces' prices together are a bound; the greatest is returned. The first two rounds price by length and by piece. Ends when cost and bound are ``GAP`` apart.
     """
-    lengths = np.flatnonzero(demand)[::-1]
-    # A length is worth the room it takes, until configurations that use it too often lower its weight.
-    weight, size = np.where(demand > 0, 1.0, 0.0), np.arange(capacity + 1)
-    chosen: dict[tuple[int, ...], float] = {}
-    bound = 0.0
-    for _ in range(rounds):
-        price = np.where(demand > 0, weight * size, -np.inf)
+    lengths, rng = np.flatnonzero(demand)[::-1], np.random.default_rng(0)
+    cover, bound = Cover(lengths, demand, capacity, start), 0.0
+    prices = lengths / capacity
+    draws = max(1, min(4, 3000 // len(lengths)))
+    for k in range(rounds):
+        price = np.full(capacity + 1, -np.inf)
+        price[lengths] = np.ones(len(lengths)) if k == 1 else prices
         best, take = knapsack(price, capacity)
         bound = max(bound, float((demand[lengths] * price[lengths]).sum() / best[capacity]))
-        covered = np.zeros(capacity + 1)
-        for length, config in zip(lengths.tolist(), around(take, lengths, capacity)):
-            if (need := demand[length] - covered[length]) <= 0:
-                continue
-            x = need / config.count(length)
-            chosen[config] = chosen.get(config, 0.0) + x / rounds
-            for n in config:
-                covered[n] += x
-        over = np.clip(covered[lengths] / demand[lengths] - 1, 0, 4)
-        weight[lengths] *= np.exp(-RATE * over)
-        weight /= weight.max()
-    return chosen, bound
+        for draw in range(draws + 1):
+            cover.add(fill(best, take, price, lengths, capacity, SPREAD if draw else 0.0, rng))
+        prices = cover.solve(STEPS)
+        if cover.cost <= (1 + GAP) * bound:
+            break
+    return {c: float(cover.x[j]) for c, j in cover.known.items() if cover.x[j] > 1e-6}, cover.cost, bound
 
 
 def _put(plan: Plan, left: np.ndarray, config: tuple[int, ...], n: int) -> None:
@@ -195,53 +255,41 @@ def _put(plan: Plan, left: np.ndarray, config: tuple[int, ...], n: int) -> None:
         plan.append((config, n))
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[Plan, float]:
-    """([(configuration, how many sequences)] that hold every length as often as the histogram says, exactly; the dual bound).
+def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[Plan, dict[str, float]]:
+    """([(configuration, how many sequences)] that hold every length as often as the histogram says, exactly; ``primal`` cost and dual ``bound`` of the program, the
+    share of pieces that best-fit ``placed`` after rounding, and the share of sequences with configurations that pricing found, not best-fit: ``priced``).
 
-    The program's averages are rounded down, all configurations, fullest first (up, where that places less than a quarter of the pieces), and the program is
-    solved anew for what is left, as long as a quarter is placed; best-fit places the rest. The plan has no more sequences than best-fit alone, or
-    than rounding up at once: the least of the three is taken. If rounding up at once meets the bound, that is the plan.
+    The program starts from best-fit's plan. Its solution is rounded along its order: each configuration gets what the running sum passes of whole numbers, as often as the counts
+    allow; the program is solved anew for what is left, as long as half is placed; best-fit places the rest. If best-fit alone takes fewer sequences, its plan is taken.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
     full: Plan = [((capacity,), int(left[capacity]))] if left[capacity] else []
-    whole = float(left[capacity])
+    whole, pieces_ = float(left[capacity]), max(1, sum(histogram.values()))
     left[capacity] = 0
     if not left.any():
-        return full, whole
-
-    def fullest(chosen):
-        return sorted(chosen.items(), key=lambda c: (sum(c[0]), c[1], c[0]), reverse=True)
-
-    def put_up(plan, chosen, left):
-        for config, x in fullest(chosen):
-            if sum(config) >= capacity - 2:
-                _put(plan, left, config, int(np.ceil(x)))
-
-    def rounded_up(chosen, left):
-        plan, left = [], left.copy()
-        put_up(plan, chosen, left)
-        return plan + best_fit(left, capacity)
-
-    chosen, bound = program(left, capacity, rounds)
-    plans, down, whole_left = [rounded_up(chosen, left)], [], left.copy()
+        return full, {"primal": whole, "bound": whole, "placed": 0.0, "priced": 0.0}
+    alone, plan = best_fit(left, capacity), []
     used = lambda plan: sum(n for _, n in plan)
-    # A plan that meets the bound can't be bettered.
-    while left.any() and used(plans[0]) > np.ceil(bound - 1e-6):
-        before = int(left.sum())
-        placed_enough = lambda before=before: 4 * int(left.sum()) <= 3 * before
-        for config, x in fullest(chosen):
-            _put(down, left, config, int(x))
-        if not placed_enough():
-            put_up(down, chosen, left)
-        if not placed_enough():
+    chosen, primal, bound = program(left, capacity, alone, rounds)
+    while left.any():
+        before, passed = int(left.sum()), 0.5
+        for config, x in sorted(chosen.items(), key=lambda c: (sum(c[0]), c[0]), reverse=True):
+            n = int(passed + x) - int(passed)
+            passed += x
+            _put(plan, left, config, n)
+        if 2 * int(left.sum()) > before:
             break
-        chosen, _ = program(left, capacity, rounds) if left.any() else ({}, 0.0)
-    if down:
-        plans.append(down + best_fit(left, capacity))
-    plans.append(best_fit(whole_left, capacity))
-    return full + min(plans, key=used), whole + bound
+        if left.any():
+            chosen, _, _ = program(left, capacity, best_fit(left, capacity), min(rounds, 3))
+    placed = int(left.sum()) / pieces_
+    plan += best_fit(left, capacity)
+    if used(alone) < used(plan):
+        plan, placed = alone, 1 - whole / pieces_
+    known = {config for config, _ in alone}
+    priced = sum(n for config, n in plan if config not in known) / used(plan)
+    return full + plan, {"primal": whole + primal, "bound": whole + bound, "placed": placed, "priced": priced}
 
 
 def best_fit(left: np.ndarray, capacity: int) -> Plan:

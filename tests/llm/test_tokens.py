@@ -108,7 +108,7 @@ def test_plans_hold_the_histogram(seed):
     rng = np.random.default_rng(seed)
     lengths = np.minimum(512, rng.lognormal(4, 1.2, 3000).astype(int) + 1)
     histogram = dict(collections.Counter(lengths.tolist()))
-    plan, bound = packing.solve(histogram, 512)
+    plan, info = packing.solve(histogram, 512)
     held = collections.Counter()
     for config, n in plan:
         assert sum(config) <= 512 and n > 0
@@ -116,7 +116,7 @@ def test_plans_hold_the_histogram(seed):
             held[length] += n
     assert held == histogram
     used = sum(n for _, n in plan)
-    assert bound <= used <= 1.01 * lengths.sum() / 512 + 1
+    assert info["bound"] <= used <= 1.01 * lengths.sum() / 512 + 1
     left = np.bincount(lengths, minlength=513)
     assert used <= sum(n for _, n in packing.best_fit(left, 512))
 
@@ -144,9 +144,28 @@ def fewest(items, capacity):
 def test_dual_bound_is_a_bound(seed):
     rng = np.random.default_rng(seed)
     lengths = sorted(rng.integers(3, 31, 9).tolist(), reverse=True)
-    plan, bound = packing.solve(dict(collections.Counter(lengths)), 30)
+    plan, info = packing.solve(dict(collections.Counter(lengths)), 30)
     least = fewest(lengths, 30)
-    assert bound <= least + 1e-9 and least <= sum(n for _, n in plan) <= least + 1
+    assert info["bound"] <= least + 1e-9 and info["bound"] <= info["primal"] + 1e-9 and info["bound"] >= sum(lengths) / 30 - 1e-9 and least <= sum(n for _, n in plan) <= least + 1
+
+
+def test_program_is_solved():
+    """The bound meets the optimum where it is known, and cost and bound are close; where best-fit is poor, rounding the program's own configurations is better."""
+    two, pairs = {2100: 1000, 1000: 1000}, {n: 30 for n in range(1366, 2048)}  # of the latter, two fit at most
+    for histogram, best in ((two, 1000), (pairs, 10_230)):
+        plan, info = packing.solve(histogram, 4096)
+        assert 0.99 * best <= info["bound"] <= best + 1e-6 and info["primal"] <= 1.02 * info["bound"] and sum(n for _, n in plan) == best
+    lengths = np.random.default_rng(1).integers(800, 2001, 20_000)
+    plan, info = packing.solve(dict(collections.Counter(lengths.tolist())), 4096)
+    alone = sum(n for _, n in packing.best_fit(np.bincount(lengths, minlength=4097), 4096))
+    assert sum(n for _, n in plan) < 0.96 * alone and info["primal"] < 1.02 * info["bound"]
+    assert info["placed"] < 0.05 and info["priced"] > 0.75
+    # Without best-fit's plan to begin with, the program's own configurations lead to the same.
+    for histogram, best in ((two, 1000), (pairs, 10_230)):
+        left = np.zeros(4097, np.int64)
+        left[list(histogram)] = list(histogram.values())
+        _, cost, bound = packing.program(left, 4096, [((n,), k) for n, k in histogram.items()])
+        assert 0.99 * best <= bound <= best + 1e-6 and cost <= 1.02 * best
 
 
 def test_packing_of_equal_rows(spark):
