@@ -1,14 +1,16 @@
 """Distance joins: edge tables (left_ix, right_ix, dist) instead of matrices.
 
 ``radius_join`` compares distinct strings only. They are dealt into blocks by the length of the
-first column; two blocks meet only if their lengths allow the radius, and one task compares one pair of blocks with
-NumPy, of bounded size whatever the input. Edges are joined back to rows by the strings. ``edit_join`` finds strings of equal keys within a few
+first column; two blocks meet only if their lengths allow the radius, and one task compares a few blocks of either side with
+NumPy, of bounded size whatever the input: tasks form a grid, so that a block is not sent once for each block that it meets. Edges are joined back to rows by the strings. ``edit_join`` finds strings of equal keys within a few
 edits by an equi-join on parts or deletions of the strings, whichever costs less. ``native_join`` compares all pairs of equal keys by one expression: for results that hold all
 those pairs, and as a check on the others.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,20 +21,42 @@ from ..sources.store import written
 
 #: Distinct tuples of a block.
 BLOCK = 1000
+#: Blocks of either side of a task at most, and tasks for each shuffle partition below which there are fewer.
+SIDE, TASKS = 16, 4
 #: Rows of keys that cost as much as one pair, which is made distinct and verified.
 PAIR_COST = 4
 
 
-def _blocks(df: DataFrame, spec: MetricSpec, side: str) -> DataFrame:
-    """(size, block, rows): distinct tuples gathered in blocks of about BLOCK rows of one length.
+def _groups(df: DataFrame, spec: MetricSpec) -> tuple[DataFrame, DataFrame]:
+    """Distinct tuples with their length and block, and (size, blocks): how many blocks of about BLOCK tuples each length has.
 
     A block number is the row's hash modulo as many blocks as its length needs by count, so common lengths spread.
     """
-    first = spec.columns[0]
-    tuples = df.select(*spec.columns).dropna().distinct().withColumn("_size", F.length(first))
+    tuples = df.select(*spec.columns).dropna().distinct().withColumn("_size", F.length(spec.columns[0]))
     needed = tuples.groupBy("_size").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
-    dealt = tuples.join(needed, "_size").withColumn("_block", F.pmod(F.xxhash64(*spec.columns), F.col("_blocks")))
-    return dealt.groupBy("_size", "_block").agg(F.collect_list(F.struct(*spec.columns)).alias(f"_{side}")).withColumnsRenamed({"_size": f"_size_{side}", "_block": f"_block_{side}"})
+    return tuples.join(F.broadcast(needed), "_size").withColumn("_block", F.pmod(F.xxhash64(*spec.columns), F.col("_blocks"))), needed  # one row a length
+
+
+def grid(left: DataFrame, right: DataFrame, spec: MetricSpec, radius: float | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides dealt over a grid of tasks: (size_left, size_right, line, column, rows) for each two lengths that allow the radius.
+
+    A task takes ``g`` blocks of either side and compares each with each, so a block goes to a g-th of the blocks that it meets. g is at most ``SIDE``,
+    and less while there would be few tasks: it follows from the number of meeting blocks and the shuffle partitions.
+    """
+    (a, na), (b, nb) = _groups(left, spec), _groups(right, spec)
+    l, r = na.toDF("_size_left", "_nl"), nb.toDF("_size_right", "_nr")
+    reach = F.abs(F.col("_size_left") - F.col("_size_right")) * F.lit(float(spec.length_cost()))
+    meet = written(l.join(F.broadcast(r), reach <= radius if radius is not None else F.lit(True)))
+    pairs = meet.agg(F.sum(F.col("_nl") * F.col("_nr"))).first()[0] or 1
+    tasks = TASKS * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = max(1, min(SIDE, int((pairs / tasks) ** 0.5)))
+    key = ["_size_left", "_size_right", "_line", "_column"]
+
+    def dealt(df: DataFrame, size: str, own: str, other: str, count: str, name: str) -> DataFrame:
+        packed = df.withColumnRenamed("_size", size).withColumn(own, F.floor(F.col("_block") / g)).groupBy(size, own).agg(F.collect_list(F.struct(*spec.columns)).alias(name))
+        return packed.join(F.broadcast(meet), size).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(count) / g) - 1))).select(*key, name)
+
+    return dealt(a, "_size_left", "_line", "_column", "_nr", "_left"), dealt(b, "_size_right", "_column", "_line", "_nl", "_right")
 
 
 def distances_of(left: pa.StructArray, right: pa.StructArray, spec: MetricSpec) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -50,10 +74,8 @@ def radius_join(
     left: DataFrame, right: DataFrame, spec: MetricSpec, radius: float | None, left_id: str = "clone_ix", right_id: str = "clone_ix", parts: bool = False
 ) -> DataFrame:
     """(left_ix, right_ix, dist[, one column for each part]) of all pairs with dist <= radius; without a radius, of all pairs. Rows with a null in a metric column have no edges."""
-    a, b = _blocks(left, spec, "left"), _blocks(right, spec, "right")
-    reach = F.abs(F.col("_size_left") - F.col("_size_right")) * F.lit(float(spec.length_cost()))
-    sizes = a.select("_size_left").distinct().join(b.select("_size_right").distinct(), reach <= radius if radius is not None else F.lit(True))
-    meet = a.join(sizes, "_size_left").join(b, "_size_right")
+    a, b = grid(left, right, spec, radius)
+    meet = a.join(b, ["_size_left", "_size_right", "_line", "_column"])
     kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
     fields = [f"{s}_{i} {kinds[c]}" for s in "lr" for i, c in enumerate(spec.columns)] + ["dist double"]
     fields += [f"part_{i} double" for i in range(len(spec.parts))] if parts else []
@@ -61,13 +83,15 @@ def radius_join(
     def compare(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                x, y = (batch.column(c).slice(k, 1).flatten() for c in (0, 1))
-                total, each = distances_of(x, y, spec)
-                i, j = np.nonzero(total <= radius) if radius is not None else np.indices(total.shape).reshape(2, -1)
-                cols = [t.field(c).take(pa.array(at)) for t, at in ((x, i), (y, j)) for c in spec.columns]
-                cols.append(pa.array(total[i, j].astype(float)))
-                cols += [pa.array(e[i, j].astype(float)) for e in each] if parts else []
-                yield pa.RecordBatch.from_arrays(cols, names=[f.split(" ")[0] for f in fields])
+                lefts, rights = (batch.column(c).slice(k, 1).flatten() for c in (0, 1))
+                for at, to in itertools.product(range(0, len(lefts), BLOCK), range(0, len(rights), BLOCK)):
+                    x, y = lefts.slice(at, BLOCK), rights.slice(to, BLOCK)
+                    total, each = distances_of(x, y, spec)
+                    i, j = np.nonzero(total <= radius) if radius is not None else np.indices(total.shape).reshape(2, -1)
+                    cols = [t.field(c).take(pa.array(n)) for t, n in ((x, i), (y, j)) for c in spec.columns]
+                    cols.append(pa.array(total[i, j].astype(float)))
+                    cols += [pa.array(e[i, j].astype(float)) for e in each] if parts else []
+                    yield pa.RecordBatch.from_arrays(cols, names=[f.split(" ")[0] for f in fields])
 
     near = meet.select("_left", "_right").mapInArrow(compare, ", ".join(fields))
     lefts = left.select(F.col(left_id).alias("left_ix"), *(F.col(c).alias(f"l_{i}") for i, c in enumerate(spec.columns)))

@@ -56,6 +56,20 @@ def test_deletion_keys(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_grid_sends_a_block_to_few_tasks(spark):
+    """200,000 strings against as many: rows sent to tasks are a small part of those that pairs of blocks would take, and each two blocks meet once."""
+    n = 200_000
+    strings = spark.range(n).select(F.concat(F.lit("CA"), F.substring(F.md5(F.col("id").cast("string")), 1, 12)).alias("s"))
+    spec = M.MetricSpec((("s", M.Hamming(), 1),))
+    left, right = E.grid(strings, strings, spec, 3.0)
+    sent = sum(df.agg(F.sum(F.size(c))).first()[0] for df, c in ((left, "_left"), (right, "_right")))
+    assert sent < 0.1 * 2 * n * (n / E.BLOCK)
+    key = ["_size_left", "_size_right", "_line", "_column"]
+    pairs = left.select(*key, F.size("_left").alias("a")).join(right.select(*key, F.size("_right").alias("b")), key)
+    assert pairs.agg(F.sum(F.col("a") * F.col("b"))).first()[0] == n * n and pairs.count() >= 4 * 4
+    assert pairs.agg(F.max("a")).first()[0] < 1.3 * E.SIDE * E.BLOCK
+
+
 def test_kernels_over_blocks_equal_single_pairs():
     rng = random.Random(4)
     a, b = words(rng, 30, 0, 17, "ACDEFGHIKLMNPQRSTVWY."), words(rng, 30, 0, 17, "ACDEFGHIKLMNPQRSTVWY.")
