@@ -80,14 +80,14 @@ def _loops_sql(v: str) -> str:
     return ", ".join(f"CASE WHEN {known} THEN substr({aligned}, {a}, {n}) END AS {c}_b_aa" for c, a, n in (("cdr1", 3, 6), ("cdr2", 12, 4), ("pmhc", 20, 5)))
 
 
-@query(f"""WITH {_IMMUNO} SELECT cdr3_b_aa, v_b_gene, j_b_gene, CAST(productive_frequency AS VARCHAR) AS productive_frequency, templates, {_loops_sql('v_b_gene')} FROM y""")
+@query(f"""WITH {_IMMUNO} SELECT cdr3_b_aa, v_b_gene, j_b_gene, productive_frequency::DOUBLE AS productive_frequency, templates::BIGINT AS templates, productive_frequency::DOUBLE AS count, {_loops_sql('v_b_gene')} FROM y""")
 def src04_bulk_loader(spark, d):
     """A bulk file read, named, given loops, written as the least and the full table; the full one is read back."""
     rows, names = _export(spark, d)
     raw, least, full = (new_path(spark) for _ in range(3))
     writers.write_delimited(rows, raw)
     out = readers.load_bulk(spark, raw, names, _germline(spark, d), least, full, subject="x")
-    return out.select("cdr3_b_aa", "v_b_gene", "j_b_gene", "productive_frequency", "templates", "cdr1_b_aa", "cdr2_b_aa", "pmhc_b_aa")
+    return out.select("cdr3_b_aa", "v_b_gene", "j_b_gene", "productive_frequency", "templates", "count", "cdr1_b_aa", "cdr2_b_aa", "pmhc_b_aa")
 
 
 @query(f"""WITH {_IMMUNO} SELECT cdr3_b_aa, v_b_gene, j_b_gene, CAST(productive_frequency AS VARCHAR) AS productive_frequency, templates FROM y""")

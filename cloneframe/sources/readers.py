@@ -123,17 +123,19 @@ def load_bulk(
 ) -> DataFrame:
     """A vendor's bulk file of human beta chains as clones with germline loops; writes a table of the least columns and one of all, and returns the latter.
 
-    Counts are productive frequencies; CDR3s with letters of no residue go; rows are not summed.
+    Counts are productive frequencies; CDR3s with letters of no residue go; rows are not summed. Templates are whole numbers; what isn't one is null. The table is read
+    back with the types that it was written with.
     """
     from ..operators.clones import infer_cdrs
-    from .writers import write_delimited
+    from .writers import flat, write_delimited
 
     raw = read_delimited(spark, path, columns=["bio_identity", "productive_frequency", "templates"])
-    cells = read_immunoseq(raw, names, epitope=epitope, subject=subject, extra=["templates"])
+    cells = read_immunoseq(raw, names, epitope=epitope, subject=subject, extra=["templates"]).withColumn("templates", F.col("templates").try_cast("bigint"))
     clones = infer_cdrs(cells, genes, "beta", "human")
     write_delimited(clones.select("cdr3_b_aa", "v_b_gene", "j_b_gene", "productive_frequency", "templates"), least_path)
     write_delimited(clones, full_path)
-    return read_delimited(spark, full_path)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat(clones).schema.fields)
+    return read_delimited(spark, full_path, schema=types)
 
 
 def read_genes(df: DataFrame, translate: bool = True) -> DataFrame:

@@ -47,7 +47,7 @@ def load(spark: SparkSession, path: str) -> Repertoire:
 
 
 def write_html(ranked: DataFrame, path: str, rank: str = "rank", title: str = "Neighbourhoods", mode: str = "error") -> None:
-    """The same report as text files of one folder, whose lines in the files' order are the page; rows are dealt by ranges of rank, and nothing passes through the driver."""
+    """One table row for each ranked neighbourhood, as text files of one folder, whose lines in the files' order are the page; rows are dealt by ranges of rank, and nothing passes through the driver."""
     cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("None")) for c in ranked.columns]
     for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         cells = [F.replace(c, F.lit(old), F.lit(new)) for c in cells]
@@ -58,12 +58,3 @@ def write_html(ranked: DataFrame, path: str, rank: str = "rank", title: str = "N
     ends = spark.createDataFrame([(0, first), (2, "</table></body></html>")], "at int, value string").select("at", F.lit(None).cast(ranked.schema[rank].dataType).alias("rank"), "value")
     lines = ends.union(ranked.select(F.lit(1).alias("at"), F.col(rank).alias("rank"), row.alias("value")))
     lines.orderBy("at", "rank").select("value").write.mode(mode).text(path)
-
-
-def html_report(ranked: DataFrame, rank: str = "rank", title: str = "Neighbourhoods") -> str:
-    """One table row for each ranked neighbourhood, fetched partition by partition."""
-    names = ranked.columns
-    cell = lambda tag, x: f"<{tag}>{html.escape(str(x))}</{tag}>"
-    rows = ("<tr>" + "".join(cell("td", r[c]) for c in names) + "</tr>" for r in ranked.orderBy(rank).toLocalIterator())
-    head = "<tr>" + "".join(cell("th", c) for c in names) + "</tr>"
-    return f"<html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><table>{head}{''.join(rows)}</table></body></html>"

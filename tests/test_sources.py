@@ -62,11 +62,38 @@ def test_literals(spark):
     assert [r["v"] for r in df.select("i", readers.literal_value(F.col("t"), "k").alias("v")).orderBy("i").collect()] == [v for _, v in rows]
 
 
+# The layouts' columns in their order, as (there, here) lines.
+_LAYOUTS = {
+    "clones_to_legacy": "clone_id subject cdr3_a_aa cdr3_b_aa count epitope j_a_gene j_b_gene v_a_gene v_b_gene cdr3_a_nucseq cdr3_b_nucseq va_countreps ja_countreps vb_countreps jb_countreps va_gene ja_gene vb_gene jb_gene"
+    " | clone_id subject cdr3a cdr3b clone_size epitope ja_rep jb_rep va_rep vb_rep cdr3a_nucseq cdr3b_nucseq va_countreps ja_countreps vb_countreps jb_countreps va_gene ja_gene vb_gene jb_gene",
+    "clones_to_legacy_alpha": "clone_id subject cdr3_a_aa count epitope j_a_gene v_a_gene cdr3_a_nucseq cdr3_b_nucseq va_countreps ja_countreps va_gene ja_gene"
+    " | clone_id subject cdr3a clone_size epitope ja_rep va_rep cdr3a_nucseq cdr3b_nucseq va_countreps ja_countreps va_gene ja_gene",
+    "clones_to_legacy_delta": "clone_id subject cdr3_d_aa count epitope j_d_gene v_d_gene cdr3_d_nucseq vb_countreps jb_countreps vb_gene jb_gene"
+    " | clone_id subject cdr3b clone_size epitope jb_rep vb_rep cdr3b_nucseq vb_countreps jb_countreps vb_gene jb_gene",
+    "raw_to_cells": "id epitope subject cdr3a cdr3b ja_gene va_gene jb_gene vb_gene | id epitope subject cdr3_a_aa cdr3_b_aa j_a_gene v_a_gene j_b_gene v_b_gene",
+    "subset_to_motif_all_chains": "subject epitope v_a_gene v_g_gene j_a_gene j_g_gene v_b_gene v_d_gene j_b_gene j_d_gene cdr3_a_aa cdr3_g_aa cdr3_b_aa cdr3_d_aa"
+    " | subject epitope va_rep va_rep ja_rep ja_rep vb_rep vb_rep jb_rep jb_rep cdr3a cdr3a cdr3b cdr3b",
+}
+
+
 def test_mappings():
     assert len(MAPPINGS) == 14
-    assert MAPPINGS["clones_to_legacy_gamma"]["cdr3_g_aa"] == "cdr3a" and MAPPINGS["clones_to_legacy_delta"]["v_d_gene"] == "vb_rep"
-    assert MAPPINGS["legacy_to_clones"]["clone_size"] == "count" and MAPPINGS["vdjdb_beta"]["MHC A"] == "mhc_b_a" and MAPPINGS["raw_to_cells"]["vb_gene"] == "v_b_gene"
-    assert MAPPINGS["subset_to_motif_all_chains"]["j_g_gene"] == "ja_rep" and MAPPINGS["clones_to_legacy_gamma_delta_own_letters"]["vg_gene"] == "va_gene"
+    for name, lines in _LAYOUTS.items():
+        there, here = (x.split() for x in lines.split("|"))
+        assert list(MAPPINGS[name].items()) == list(zip(there, here)), name
+    # The others follow from these: the legacy layout turned round, beta and gamma as delta and alpha, both as the pair.
+    assert list(MAPPINGS["legacy_to_clones"].items()) == [(b, a) for a, b in MAPPINGS["clones_to_legacy"].items()]
+    letters = lambda m, old, new: [(a.replace(f"_{old}_", f"_{new}_"), b) for a, b in m.items()]
+    assert list(MAPPINGS["clones_to_legacy_beta"].items()) == letters(MAPPINGS["clones_to_legacy_delta"], "d", "b")
+    assert list(MAPPINGS["clones_to_legacy_gamma"].items()) == [x for x in letters(MAPPINGS["clones_to_legacy_alpha"], "a", "g") if x[0] != "cdr3_b_nucseq"]
+    pair = [(a.replace("_a_", "_g_").replace("_b_", "_d_"), b) for a, b in MAPPINGS["clones_to_legacy"].items()]
+    assert list(MAPPINGS["clones_to_legacy_gamma_delta"].items()) == pair
+    own = [(f"{g}{x}_{k}", f"{g}{y}_{k}") for k in ("countreps", "gene") for x, y in ("ga", "db") for g in "vj"]
+    assert list(MAPPINGS["clones_to_legacy_gamma_delta_own_letters"].items()) == [*pair[:12], *own, *pair[12:]]
+    motif = "subject epitope v_a_gene j_a_gene v_b_gene j_b_gene cdr3_a_aa cdr3_b_aa".split()
+    assert list(MAPPINGS["clones_to_motif"]) == list(MAPPINGS["subset_to_motif"]) == motif
+    vdjdb = ["complex.id", "Gene", "CDR3", "V", "J", "Species", "MHC A", "MHC B", "MHC class", "Epitope", "Epitope gene", "Epitope species", "Reference", "Method", "Meta", "CDR3fix", "Score"]
+    assert list(MAPPINGS["vdjdb_alpha"]) == list(MAPPINGS["vdjdb_beta"]) == vdjdb
 
 
 def test_bulk_loader_and_html(spark, tmp_path):
@@ -74,12 +101,14 @@ def test_bulk_loader_and_html(spark, tmp_path):
     genes = spark.createDataFrame([("TRBV1*01", "human", "B", "V", "ABCDEFGH", "1-2;3-4;5-6")], "id string, organism string, chain string, region string, aligned_protseq string, cdr_columns string")
     (tmp_path / "in.tsv").write_text("bio_identity\tproductive_frequency\ttemplates\tmore\nCASSF+V+J\t0.5\t3\tx\nCA*F+V+J\t0.1\t1\ty\nCASF+Q+J\tbad\t1\tz\n")
     full = readers.load_bulk(spark, str(tmp_path / "in.tsv"), names, genes, str(tmp_path / "least"), str(tmp_path / "full")).collect()
-    assert sorted((r["cdr3_b_aa"], r["cdr1_b_aa"], r["subject"], r["epitope"], r["count"]) for r in full) == [("CASF", None, "in.tsv", "X", None), ("CASSF", "AB", "in.tsv", "X", "0.5")]
+    assert sorted((r["cdr3_b_aa"], r["cdr1_b_aa"], r["subject"], r["epitope"], r["count"]) for r in full) == [("CASF", None, "in.tsv", "X", None), ("CASSF", "AB", "in.tsv", "X", 0.5)]
     assert readers.read_delimited(spark, str(tmp_path / "least")).columns == ["cdr3_b_aa", "v_b_gene", "j_b_gene", "productive_frequency", "templates"]
     df = spark.createDataFrame([(2, "<b>", None), (1, "a&'c", 3)], "rank int, x string, y int")
     writers.write_html(df, str(tmp_path / "page"), title="T")
     page = "".join(f.read_text().replace("\n", "") for f in sorted((tmp_path / "page").glob("part-*")))
-    assert page == writers.html_report(df, title="T")
+    head = "<html><head><meta charset='utf-8'><title>T</title></head><body><table><tr><th>rank</th><th>x</th><th>y</th></tr>"
+    rows = "<tr><td>1</td><td>a&amp;&#x27;c</td><td>3</td></tr><tr><td>2</td><td>&lt;b&gt;</td><td>None</td></tr>"
+    assert page == head + rows + "</table></body></html>"
 
 
 def test_genes_and_fragments(spark):
@@ -107,7 +136,6 @@ def test_writers(spark, tmp_path):
     assert back.specs == r.specs and back.clones.collect() == r.clones.select(back.clones.columns).collect() and back.chains == ("beta",)
     with pytest.raises(ValueError):
         writers.save(Repertoire(clones, ("beta",), "human", {"beta": MetricSpec((("cdr3_b_aa", Custom(len), 1),))}), str(tmp_path / "q"))
-    assert "<td>&lt;b&gt;</td>" in writers.html_report(spark.createDataFrame([(1, "<b>")], "rank int, x string"))
 
 
 def test_stream_search(spark, tmp_path):
