@@ -178,14 +178,41 @@ def test_token_headers():
     token = lambda head: f"{enc(head)}.{enc('{"sub":"12345"}')}.abcdefghijkl"
     assert find(token('{"alg":"HS256"}')) and find("eyj" + token('{"alg":"HS256"}')) and not find(token('{"typ":"alg"}')) and not find(token('{"x":1} "alg"'))
     flat = '{"a":["[[[[","]"],"alg":1}'
-    assert secrets.nesting(flat) == 2 and find(token(flat))
-    # Too deep is no header, and no crash either.
-    assert not find(token('{"a":' + "[" * 60_000 + "]" * 60_000 + ',"alg":1}'))
+    assert secrets.top_keys(flat) == {"a", "alg"} and find(token(flat))
+    # Depth is no limit, and only the outermost keys count.
+    assert find(token('{"a":' + "[" * 60_000 + "]" * 60_000 + ',"alg":1}')) and not find(token('{"a":' + '{"alg":' * 30_000 + "1" + "}" * 30_000 + "}"))
+    assert not find(token('{"a":' + "[" * 60_000 + "]" * 59_999 + ',"alg":1}'))
     started = time.process_time()
-    assert not find("eyJ" * 200_000) and not find("eyJ" * 100_000 + "." + "eyJ" * 100_000) and secrets.nesting('"\\"' * 200_000) == 0
+    assert not find("eyJ" * 200_000) and not find("eyJ" * 100_000 + "." + "eyJ" * 100_000) and secrets.top_keys('{"' + '\\\\"' * 200_000) is None
     assert time.process_time() - started < 20  # the square of this length would take minutes
 
 
+def test_keys_of_objects_are_those_that_json_reads():
+    import json
+    import random
+
+    rng = random.Random(4)
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 6)
+        if kind == 6:
+            return [value(depth - 1) for _ in range(rng.randrange(4))]
+        if kind == 7:
+            return {rng.choice(["alg", "a", 'q"', "é", "\\"]): value(depth - 1) for _ in range(rng.randrange(4))}
+        return rng.choice([0, -1.5e10, True, None, "x,]}", "alg", 12])
+
+    texts = [json.dumps(value(3), indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5) for _ in range(400)]
+    for t in texts[:]:
+        at = rng.randrange(len(t))
+        texts += [t[:at] + rng.choice(["", ",", "}", '"', "{", ":", "1", " ", "[", "\x01", "01"]) + t[at + rng.randrange(2) :], t + rng.choice([" ", "x", "{}"])]
+    for t in texts:
+        try:
+            want = set(x) if isinstance(x := json.loads(t), dict) else None
+        except ValueError:
+            want = None
+        assert secrets.top_keys(t) == want, t
+
+
 def test_redaction(spark):
     df = secrets.redact(documents(spark, [None, "a token = abcdefghijkl0123 b", "clean"], clash=False))
     assert [r["text"] for r in df.orderBy("doc_id").collect()] == [None, "a <assign removed> b", "clean"]
