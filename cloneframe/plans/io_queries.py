@@ -292,16 +292,19 @@ def agg11_first_known(spark, d):
 # Distances --------------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+_STRINGS = f"{T.CLONES}, d AS (SELECT DISTINCT cdr3_b_aa AS s FROM clones), p AS (SELECT a.s, b.s AS t FROM d a, d b)"
+
+
+@query(f"WITH RECURSIVE {_STRINGS}, {T.places_sql('p')} SELECT s AS left_ix, t AS right_ix, places::DOUBLE AS dist FROM al WHERE places <= 4")
 def dst04_nw_hamming(spark, d):
-    """Differing places after a global alignment (tested against the alignment itself; not in SQL)."""
+    """Differing places after a global alignment."""
     s = T.clones(spark, d).select("cdr3_b_aa", F.col("cdr3_b_aa").alias("ix")).distinct()
     return E.radius_join(s, s, MetricSpec((("cdr3_b_aa", Aligned(), 1),)), 4, "ix", "ix")
 
 
-@query()
+@query(f"WITH RECURSIVE {_STRINGS}, {T.places_sql('p')} SELECT s AS left_ix, t AS right_ix, (5 * (length(s) + length(t)) // 2 - score)::DOUBLE AS dist FROM al WHERE 5 * (length(s) + length(t)) // 2 - score <= 20")
 def dst05_nw_score(spark, d):
-    """Dissimilarity of alignment scores (tested against the alignment itself; not in SQL)."""
+    """Dissimilarity of alignment scores."""
     s = T.clones(spark, d).select("cdr3_b_aa", F.col("cdr3_b_aa").alias("ix")).distinct()
     return E.radius_join(s, s, MetricSpec((("cdr3_b_aa", Aligned(False), 1),)), 20, "ix", "ix")
 

@@ -666,9 +666,10 @@ def rgx02_regex_build(spark, d):
     return motifs.patterns(letters, "v_b_gene", max_ambiguity=5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {T.CLONES}, {edges_sql('clones', 'clones', 2)}, x AS (SELECT left_ix, l.cdr3_b_aa AS s, r.cdr3_b_aa AS t FROM edges JOIN clones l ON left_ix = l.clone_id JOIN clones r ON right_ix = r.clone_id),
+d AS (SELECT DISTINCT s, t FROM x), {T.alignment_sql('d')}, {T.patterns_sql('x')} SELECT left_ix AS centre, regex FROM pats""")
 def rgx03_centroid_regex(spark, d):
-    """Members aligned to their centroid, then patterns (the alignment is not in SQL)."""
+    """Members aligned to their centroid, then patterns."""
     c = T.clones(spark, d)
     name = lambda s: c.select(F.col("clone_id").alias(f"{s}_ix"), F.col("cdr3_b_aa").alias(s))
     pairs = edit_edges(c, c, 2).join(name("left"), "left_ix").join(name("right"), "right_ix").select(F.col("left_ix").alias("centre"), "left", "right")
@@ -763,12 +764,21 @@ def tab02_centres_in_bulk(spark, d):
     return discovery.centres_in_bulk(edit_edges(target, bulk), centres, bulk, "cdr3_b_aa", "v_b_gene", centre_id="clone_id", bulk_id="clone_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RAD2}, near AS (SELECT own.left_ix, own.right_ix FROM own JOIN r USING (left_ix) WHERE dist <= radius),
+x AS (SELECT left_ix, l.cdr3_b_aa AS s, m.cdr3_b_aa AS t FROM near JOIN target l ON left_ix = l.clone_id JOIN target m ON right_ix = m.clone_id), d AS (SELECT DISTINCT s, t FROM x), {T.alignment_sql('d')}, {T.patterns_sql('x')},
+tre AS (SELECT regex, count(*)::DOUBLE AS th FROM (SELECT DISTINCT regex FROM pats) JOIN target ON regexp_matches(target.cdr3_b_aa, regex) GROUP BY regex),
+bre AS (SELECT regex, sum(weight)::DOUBLE AS bw FROM (SELECT DISTINCT regex FROM pats) JOIN bulk ON regexp_matches(bulk.cdr3_b_aa, regex) JOIN w USING (clone_id) GROUP BY regex),
+m AS (SELECT n.left_ix, radius, regex, coalesce(th, 0) AS th, coalesce(bw, 0) AS bw, h, b, n1, n2 FROM n LEFT JOIN pats USING (left_ix) LEFT JOIN tre USING (regex) LEFT JOIN bre USING (regex)),
+k AS (SELECT left_ix, target.v_b_gene AS g, list_sort(list(right_ix)) AS s, count(*)::BIGINT AS k_neighbors, count(DISTINCT o.j_b_gene)::BIGINT AS nsubject FROM near JOIN target ON left_ix = target.clone_id JOIN target o ON right_ix = o.clone_id GROUP BY ALL),
+c AS (SELECT *, {_CHI_OF("th", "bw")} + {_CHI_OF("h", "b")} AS joint FROM m JOIN k USING (left_ix)), q AS (SELECT *, row_number() OVER (ORDER BY round(joint, 9) DESC, left_ix)::BIGINT AS rank FROM c), {greedy_sql('q')}
+SELECT left_ix, radius, regex, th::BIGINT AS target_re_hits, round(bw, 6) AS bkgd_re_weighted, round(joint, 3) AS chi2joint, k_neighbors, nsubject, rank, novel FROM q JOIN novel USING (rank) WHERE novel AND nsubject > 1""")
 def rad05_find_metaclonotypes(spark, d):
-    """The whole discovery: background-controlled radii, motifs, ranking (its parts have SQL of their own)."""
+    """The whole discovery: background-controlled radii, motifs by alignment, their own hits, the joint statistic, ranking."""
     target, bulk = T.target_and_bulk(spark, d)
     target, bulk = target.withColumn("subject", F.col("j_b_gene")), bulk.withColumn("weight", F.col("count") / 25.0)
-    return discovery.find_metaclonotypes(target, bulk, edit_edges(target, target), edit_edges(target, bulk), 0.05, _GRID, clone_id="clone_id")
+    out = discovery.find_metaclonotypes(target, bulk, edit_edges(target, target), edit_edges(target, bulk), 0.05, _GRID, clone_id="clone_id")
+    rounded = (F.round(c, n).alias(c) for c, n in (("bkgd_re_weighted", 6), ("chi2joint", 3)))
+    return out.select("left_ix", "radius", "regex", "target_re_hits", *rounded, "k_neighbors", "nsubject", "rank", "novel")
 
 
 from . import io_queries  # noqa: E402, F401  (adds its queries)

@@ -76,3 +76,43 @@ def tcr_sql(s: str, t: str, m: Tcr = Tcr()) -> str:
     # The gap's places are in a list of lists, as one lambda may not see into another's list.
     gaps = f"list_min(list_transform(range({first}, {last} + 1), lambda g: {head('g')} + {tail(f'({low} - g)')}))"
     return f"((CASE WHEN length({s}) = length({t}) THEN {head(f'length({s}) - {m.ctrim}')} ELSE {gaps} END) * {m.dist_weight} + {gap} * {m.gap_penalty})"
+
+
+def _similar_sql(a: str, b: str) -> str:
+    listed = {c: " ".join(f"{x} {x[::-1]}" for x in p.split()) for c, p in COSTS.items()}
+    return f"CASE WHEN {a} = {b} THEN 5 " + " ".join(f"WHEN instr('{p}', {a} || {b}) > 0 THEN {FAR - c}" for c, p in listed.items()) + " ELSE 0 END"
+
+
+def alignment_sql(pairs: str, name: str = "al") -> str:
+    """Recursive SQL: the global alignment of each pair (s, t) of a table, a row of its table at a time: (s, t, score, row), row being the letters of t, or
+    gaps, at the places of s. A cell is its score, four digits from 1000 on, and its row; of equal scores a substitution wins, then a gap in t."""
+    at = lambda x: f"substr({x}, 1, 4)::INT"
+    cell = lambda score, move, row: f"lpad(({score})::VARCHAR, 4, '0') || '{move}' || {row}"
+    diagonal = cell(f"{at('r[j]')} + {_similar_sql('s[i + 1]', 't[j]')}", 2, "substr(r[j], 5) || t[j]")
+    up = cell(f"{at('r[j + 1]')} - 4", 1, "substr(r[j + 1], 5) || '-'")
+    back = cell(f"{at('acc[-1]')} - 4", 0, "substr(acc[-1], 5)")
+    best = f"greatest(x[1], x[2], {back})"
+    return f"""{name}_dp AS (SELECT s, t, 0 AS i, list_transform(range(0, length(t) + 1), lambda j: lpad((1000 - 4 * j)::VARCHAR, 4, '0')) AS r FROM {pairs}
+UNION ALL SELECT s, t, i + 1, list_reduce([[lpad((1000 - 4 * (i + 1))::VARCHAR, 4, '0') || repeat('-', i + 1)]] || list_transform(range(1, length(t) + 1), lambda j: [{diagonal}, {up}]),
+  lambda acc, x: list_append(acc, substr({best}, 1, 4) || substr({best}, 6))) FROM {name}_dp WHERE i < length(s)),
+{name} AS (SELECT s, t, {at('r[-1]')} - 1000 AS score, substr(r[-1], 5) AS row FROM {name}_dp WHERE i = length(s))"""
+
+
+def places_sql(pairs: str, name: str = "al") -> str:
+    """The same with numbers for cells, and as result (s, t, score, places): the places that differ, gaps of either string counted."""
+    move = "((acc[-1] >> 10) - 4) * 4096 + (acc[-1] & 1023) + 1"
+    best = f"greatest(x[1], x[2], {move})"
+    return f"""{name}_dp AS (SELECT s, t, 0 AS i, list_transform(range(0, length(t) + 1), lambda j: (1000 - 4 * j) * 1024 + j) AS r FROM {pairs}
+UNION ALL SELECT s, t, i + 1, list_reduce([[(1000 - 4 * (i + 1)) * 1024 + i + 1]] || list_transform(range(1, length(t) + 1), lambda j: [
+  ((r[j] >> 10) + {_similar_sql('s[i + 1]', 't[j]')}) * 4096 + 2048 + (r[j] & 1023) + (s[i + 1] <> t[j])::INT, ((r[j + 1] >> 10) - 4) * 4096 + 1024 + (r[j + 1] & 1023) + 1]),
+  lambda acc, x: list_append(acc, ({best} >> 12) * 1024 + ({best} & 1023))) FROM {name}_dp WHERE i < length(s)),
+{name} AS (SELECT s, t, (r[-1] >> 10) - 1000 AS score, r[-1] & 1023 AS places FROM {name}_dp WHERE i = length(s))"""
+
+
+def patterns_sql(pairs: str, rows: str = "al", name: str = "pats", most: int = 5) -> str:
+    """(left_ix, regex) of the aligned rows of each centre's members: pairs (left_ix, s, t)."""
+    return f"""{name}_l AS (SELECT DISTINCT left_ix, i, row[i] AS c FROM {pairs} JOIN {rows} USING (s, t), unnest(range(1, length(s) + 1)) AS u(i)),
+{name}_p AS (SELECT left_ix, i, count(*) FILTER (c <> '-') AS n, coalesce(string_agg(c, '' ORDER BY c) FILTER (c <> '-'), '') AS a, bool_or(c = '-') AS gap FROM {name}_l GROUP BY left_ix, i),
+{name}_m AS (SELECT left_ix, max(i) AS last FROM {name}_l GROUP BY left_ix),
+{name} AS (SELECT left_ix, '(' || string_agg(CASE WHEN n = 0 THEN '.?' ELSE CASE WHEN n = 1 THEN a WHEN n <= {most} THEN '[' || a || ']' ELSE '.' END || CASE WHEN gap THEN '?' ELSE '' END END, '' ORDER BY i) || ')' AS regex
+  FROM {name}_p JOIN {name}_m USING (left_ix) WHERE i > 3 AND i <= last - 2 GROUP BY left_ix)"""
