@@ -38,10 +38,12 @@ def reverse_complement(c) -> Column:
     return F.when(s.rlike("^[acgtnACGTNRYSWKM.]*$"), F.reverse(F.translate(s, _BASES, _COMPLEMENTS)))
 
 
-@lru_cache(1)
-def codon_table() -> dict[str, str]:
-    """Every codon of unambiguous and ambiguous bases; codons whose meanings differ are left out (X)."""
-    plain = {"".join(c): _CODE[i] for i, c in enumerate(product("TCAG", repeat=3))}
+@lru_cache(8)
+def codon_table(code: str = _CODE) -> dict[str, str]:
+    """Every codon of unambiguous and ambiguous bases; codons whose meanings differ are left out (X). ``code`` has the 64 residues by codon, bases in the order TCAG."""
+    if len(code) != 64:
+        raise ValueError("a genetic code has 64 residues")
+    plain = {"".join(c): code[i] for i, c in enumerate(product("TCAG", repeat=3))}
     out = {}
     for codon in product(_MEANS, repeat=3):
         if len(found := {plain["".join(c)] for c in product(*(_MEANS[b] for b in codon))}) == 1:
@@ -49,20 +51,28 @@ def codon_table() -> dict[str, str]:
     return out
 
 
-def _residue_of(codon: Column) -> Column:
+def changed_code(changes: dict[str, str], code: str = _CODE) -> str:
+    """A code with the residues of some codons changed, such as {"AGA": "*", "AGG": "*", "ATA": "M", "TGA": "W"} for vertebrate mitochondria."""
+    order = ["".join(c) for c in product("TCAG", repeat=3)]
+    if unknown := [c for c in changes if c not in order]:
+        raise ValueError(f"no codons: {', '.join(unknown)}")
+    return "".join(changes.get(c, code[i]) for i, c in enumerate(order))
+
+
+def _residue_of(codon: Column, code: str) -> Column:
     """One search in a text of ;codon=residue entries, cheaper than a map literal's linear lookup."""
-    table = ";" + ";".join(f"{k}={v}" for k, v in codon_table().items()) + ";"
+    table = ";" + ";".join(f"{k}={v}" for k, v in codon_table(code).items()) + ";"
     at = F.instr(F.lit(table), F.concat(F.lit(";"), codon, F.lit("=")))
     return F.when(codon.contains("#"), "#").when(at > 0, F.substr(F.lit(table), at + 5, F.lit(1))).otherwise("X")
 
 
-def translated(c, frame: int = 1) -> Column:
-    """Residues of whole codons from frame 1 to 3, or -1 to -3 on the reverse complement."""
+def translated(c, frame: int = 1, code: str = _CODE) -> Column:
+    """Residues of whole codons from frame 1 to 3, or -1 to -3 on the reverse complement, by a genetic code (``changed_code`` makes others)."""
     if frame not in (1, 2, 3, -1, -2, -3):
         raise ValueError("frame must be 1, 2, 3, -1, -2 or -3")
     s = F.upper(_text(c) if frame > 0 else reverse_complement(c))
     first, n = abs(frame), F.floor((F.length(s) - abs(frame) + 1) / 3).cast("int")
-    letters = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _residue_of(F.substr(s, 3 * i + first, F.lit(3))))
+    letters = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _residue_of(F.substr(s, 3 * i + first, F.lit(3)), code))
     return F.when(s.isNull(), None).when(n < 1, "").otherwise(F.array_join(letters, ""))
 
 

@@ -151,6 +151,15 @@ def infer_cdrs(clones: DataFrame, genes: DataFrame, chain: str, organism: str, g
     return with_loops.drop("_loops")
 
 
+def unknown_genes(clones: DataFrame, genes: DataFrame, chain: str, organism: str) -> DataFrame:
+    """(gene, n): the V genes of clones that the gene table lacks, whose loops ``infer_cdrs`` leaves null, and how many clones name them."""
+    v = columns_of(chain)["v"]
+    kind = {"alpha": "A", "gamma": "A", "beta": "B", "delta": "B"}[chain]
+    known = genes.filter((F.col("organism") == organism) & (F.col("chain") == kind) & (F.col("region") == "V")).select(F.col("id").alias("gene"))
+    named = clones.groupBy(F.col(v).alias("gene")).agg(F.count("*").alias("n")).filter("gene IS NOT NULL")
+    return named.join(known, "gene", "left_anti")
+
+
 @dataclass(frozen=True)
 class Repertoire:
     """An immutable clone table with what it was made from: no matrices are kept, and nothing runs before an action."""

@@ -7,8 +7,8 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of clones for running sums.
-BUCKETS = 256
+#: Buckets of clones for running sums, at least, and about how many clones one has where there are more.
+BUCKETS, BUCKET_ROWS = 256, 1_000_000
 
 
 def simpson(df: DataFrame, group: list[str], count: str) -> DataFrame:
@@ -61,22 +61,29 @@ def fuzzy_sampled(edges: DataFrame, clones: DataFrame, count: str, threshold: fl
     """Monte Carlo for higher orders: the share of draws of ``order`` clones, by count, of which not all pairs are near. Sampling is the operator.
 
     Draws pick places in the running sum of counts; clones cover ranges of places. Sums run within buckets of clones, and over the table of
-    buckets; a place is first found among the buckets, whose ranges are few, then among its bucket's clones.
+    buckets; a place is first found among the buckets, then its clone is the last of the bucket that begins before it: clones and draws are sorted together
+    and no draw meets more than one clone. A bucket has about ``BUCKET_ROWS`` clones.
     """
     spark = clones.sparkSession
-    own = clones.select(F.col(clone_id).alias("ix"), F.col(count).cast("double").alias("_c")).filter("_c > 0").withColumn("_b", F.pmod(F.xxhash64("ix"), F.lit(BUCKETS)))
+    own = clones.select(F.col(clone_id).alias("ix"), F.col(count).cast("double").alias("_c")).filter("_c > 0")
+    total, n = own.agg(F.sum("_c"), F.count("*")).first()
+    if not n:
+        return spark.createDataFrame([(None,)], "fuzzy double")
+    own = own.withColumn("_b", F.pmod(F.xxhash64("ix"), F.lit(max(BUCKETS, n // BUCKET_ROWS))))
     within = Window.partitionBy("_b").orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     buckets = own.groupBy("_b").agg(F.sum("_c").alias("_w")).withColumn("_end", F.sum("_w").over(before))
-    spans = own.withColumn("_hi", F.sum("_c").over(within))
-    total = clones.agg(F.sum(count).cast("double").alias("_t"))
-    ends = buckets.agg(F.array_sort(F.collect_list(F.struct("_end", "_b", "_w"))).alias("_ends"))
-    draws = spark.range(samples).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(order))).alias("k")).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(ends))
+    starts = own.withColumn("_at", F.sum("_c").over(within) - F.col("_c"))
+    ends = buckets.agg(F.array_sort(F.collect_list(F.struct("_end", "_b", "_w"))).alias("_ends"))  # one entry a bucket
+    draws = spark.range(samples).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(order))).alias("k")).crossJoin(F.broadcast(ends))
     # xxhash64 to [0, 1): repeatable, unlike rand() under another partitioning.
     unit = F.shiftrightunsigned(F.xxhash64("draw", "k", F.lit(seed)), 11) / float(1 << 53)
-    draws = draws.withColumn("_u", unit * F.col("_t")).withColumn("_e", F.filter("_ends", lambda e: e["_end"] > F.col("_u"))[0])
-    draws = draws.select("draw", "k", F.col("_e._b").alias("_b"), (F.col("_u") - F.col("_e._end") + F.col("_e._w")).alias("_at"))
-    draws = draws.join(spans, "_b").filter((F.col("_at") >= F.col("_hi") - F.col("_c")) & (F.col("_at") < F.col("_hi")))
+    draws = draws.withColumn("_u", unit * total).withColumn("_e", F.coalesce(F.filter("_ends", lambda e: e["_end"] > F.col("_u"))[0], F.element_at("_ends", -1)))
+    draws = draws.select("draw", "k", F.col("_e._b").alias("_b"), F.greatest(F.lit(0.0), F.col("_u") - F.col("_e._end") + F.col("_e._w")).alias("_at"))
+    none = F.lit(None).cast(own.schema["ix"].dataType)
+    mixed = starts.select("_b", "_at", "ix", F.lit(None).cast("long").alias("draw"), F.lit(None).cast("int").alias("k")).union(draws.select("_b", "_at", none.alias("ix"), "draw", "k"))
+    order_ = Window.partitionBy("_b").orderBy("_at", F.col("draw").isNotNull(), "ix").rowsBetween(Window.unboundedPreceding, 0)
+    draws = mixed.withColumn("ix", F.last("ix", True).over(order_)).filter("draw IS NOT NULL").select("draw", "k", "ix")
     a, b = draws.select("draw", F.col("k").alias("k1"), F.col("ix").alias("left_ix")), draws.select("draw", F.col("k").alias("k2"), F.col("ix").alias("right_ix"))
     near = edges.filter(F.col("dist") <= threshold).select("left_ix", "right_ix", F.lit(True).alias("_near"))
     pairs = a.join(b, "draw").filter("k1 < k2").join(near, ["left_ix", "right_ix"], "left")

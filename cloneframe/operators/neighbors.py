@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.sequences import midpoint_quantile, percent_strings
+from ..functions.sequences import percent_strings
 from ..sources.store import written
 from .clones import filter_query
 from .ranks import ranked
@@ -37,9 +37,27 @@ def top_n_shares(df: DataFrame, group: list[str], level: str, weight: Column, n:
 
 
 def five_numbers(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Minimum, quartiles by midpoints, maximum of each group."""
-    gathered = df.groupBy(*group).agg(F.collect_list(value).alias("_v"))
-    return gathered.select(*group, *(midpoint_quantile("_v", q).alias(name) for name, q in (("q0", 0.0), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q100", 1.0))))
+    """Minimum, quartiles by midpoints, maximum of each group; nulls don't count, and a group of nothing else has nulls.
+
+    Distinct values are counted, and ranks run over ranges of values (a quarter of a binary order of magnitude each) before they run within the few ranges that
+    hold a wanted rank. No group is gathered.
+    """
+    v = F.col("_v").cast("double")
+    part = F.signum(v) * F.coalesce(F.floor(4 * F.log2(F.abs(v)) + 8000), F.lit(0))
+    # A struct's fields are equal if both are null, so null groups join like others.
+    counts = written(df.groupBy(F.struct(*group).alias("_g"), F.col(value).alias("_v")).agg(F.count(value).alias("_c")).withColumn("_b", part))
+    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.filter("_c > 0").groupBy("_g", "_b").agg(F.sum("_c").alias("_n"))
+    ranges = ranges.withColumns({"_start": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy("_g"))})
+    at = lambda q: (F.col("_all") - 1) * F.lit(q)
+    names = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
+    wanted = F.array(*(F.struct(F.lit(n).alias("name"), f(at(q)).cast("long").alias("rank")) for n, q in names.items() for f in (F.floor, F.ceil)))
+    wanted = ranges.select("_g", "_b", "_start", F.explode(F.filter(wanted, lambda w: (w["rank"] >= F.col("_start")) & (w["rank"] < F.col("_start") + F.col("_n")))).alias("_w"))
+    inside = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    held = counts.filter("_c > 0").join(wanted.select("_g", "_b").distinct(), ["_g", "_b"], "left_semi").withColumn("_to", F.sum("_c").over(inside))
+    found = wanted.join(held, ["_g", "_b"]).filter((F.col("_w.rank") - F.col("_start") < F.col("_to")) & (F.col("_w.rank") - F.col("_start") >= F.col("_to") - F.col("_c")))
+    picked = found.groupBy("_g").agg(*(F.avg(F.when(F.col("_w.name") == n, F.col("_v").cast("double"))).alias(n) for n in names))
+    return counts.select("_g").distinct().join(picked, "_g", "left").select("_g.*", *names)
 
 
 def publicity(df: DataFrame, group: list[str], level: str, n: int = 1) -> DataFrame:
@@ -71,6 +89,22 @@ def tally(edges: DataFrame, clones: DataFrame, trait: Column, count: str = "coun
     return inside.crossJoin(F.broadcast(totals)).select("left_ix", "ct_0", (F.col("_x0") - F.col("ct_0")).alias("ct_1"), "ct_2", (F.col("_x1") - F.col("ct_2")).alias("ct_3"))
 
 
+def tallies(edges: DataFrame, clones: DataFrame, traits: list[str], count: str = "count", clone_id: str = "clone_ix", stratum: str | None = None) -> DataFrame:
+    """(left_ix, trait, level[, stratum], ct_0..ct_3): the cells of ``tally`` for each level that a neighbourhood has of each of several traits, in one pass; with a
+    ``stratum``, for each stratum that it has, as ``mantel_haenszel`` takes them. Null levels and strata don't count."""
+    by = [stratum] if stratum else []
+    stacked = F.explode(F.array(*(F.struct(F.lit(t).alias("trait"), F.col(t).cast("string").alias("level")) for t in traits))).alias("_s")
+    own = clones.select(F.col(clone_id).alias("right_ix"), *by, F.col(count).alias("_n"), stacked).select("right_ix", *by, "_n", "_s.trait", "_s.level").dropna(subset=["level", *by])
+    near = written(edges.select("left_ix", "right_ix").join(own, "right_ix").groupBy("left_ix", "trait", "level", *by).agg(F.sum("_n").alias("ct_2")))
+    level = own.groupBy("trait", "level", *by).agg(F.sum("_n").alias("_with"))
+    whole = level.groupBy("trait", *by).agg(F.sum("_with").alias("_all"))
+    inside = near.groupBy("left_ix", "trait", *by).agg(F.sum("ct_2").alias("_in"))
+    rows = near.select("left_ix", "trait", "level").distinct().join(inside, ["left_ix", "trait"])
+    rows = rows.join(near, ["left_ix", "trait", "level", *by], "left").join(level, ["trait", "level", *by], "left").join(whole, ["trait", *by]).fillna(0, ["ct_2", "_with"])
+    out = rows.withColumns({"ct_0": F.col("_in") - F.col("ct_2"), "ct_3": F.col("_with") - F.col("ct_2")}).withColumn("ct_1", F.col("_all") - F.col("_with") - F.col("ct_0"))
+    return out.select("left_ix", "trait", "level", *by, *CELLS)
+
+
 def _c(names) -> list[Column]:
     return [F.col(n).cast("double") for n in names]
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..sources.store import written
 
 #: Offsets of the second and third letter from the first; a third of 0 means that there are two.
-SHAPES = [(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4), (1, 0), (2, 0), (3, 0), (4, 0)]
-#: A class that spells more letters than this is treated as a dot.
-WIDEST = 6
+SHAPES = [(1, 2), (1, 3), (2, 3), (1, 0), (2, 0), (3, 0)]
+#: A class that spells more letters than this is treated as a dot, and places that spell more combinations than this together are not used.
+WIDEST, MOST = 6, 50
 _TOKEN = r"(\[[A-Za-z]+\]|[A-Za-z.])([?*]?)"
 _SIMPLE = rf"^\^?\(?({_TOKEN})*\)?\$?$"
 
@@ -43,7 +43,8 @@ def pattern_keys(patterns: DataFrame, pattern: str) -> DataFrame:
     usable = lambda x: F.size(x).between(1, WIDEST) & (F.element_at(x, 1) != "")
     first, second, third = letters(F.lit(0)), letters(F.col("_s.b")), F.when(F.col("_s.c") > 0, letters(F.col("_s.c"))).otherwise(F.array(F.lit("")))
     fixed = ~F.exists(F.slice("_t", F.col("_i") + 1, F.col("_last") - F.col("_i") + 1), lambda t: t["loose"])
-    fit = places.filter(fixed & usable(first) & usable(second) & ((F.col("_s.c") == 0) | usable(third))).select(pattern, F.col("_i").alias("place"), F.col("_s.shape").alias("shape"), first.alias("_x"), second.alias("_y"), third.alias("_z"))
+    few = F.size(first) * F.size(second) * F.size(third) <= MOST
+    fit = places.filter(fixed & usable(first) & usable(second) & ((F.col("_s.c") == 0) | usable(third)) & few).select(pattern, F.col("_i").alias("place"), F.col("_s.shape").alias("shape"), first.alias("_x"), second.alias("_y"), third.alias("_z"))
     for c in "xyz":
         fit = fit.withColumn(f"_{c}", F.explode(f"_{c}"))
     return fit.select(pattern, "place", "shape", F.concat(F.col("shape").cast("string"), F.lit(":"), "_x", "_y", "_z").alias("key")).distinct()

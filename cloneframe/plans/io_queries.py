@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..functions.metrics import Aligned, Custom, Edit, MetricSpec, edit_distance
-from ..operators import background, clones as C, cluster, discovery, edges as E, neighbors as N, radii as R
+from ..operators import background, clones as C, cluster, discovery, diversity, edges as E, neighbors as N, radii as R
 from ..operators.ranks import adjusted, ranked
 from ..sources import readers, writers
 from ..sources.mappings import MAPPINGS
@@ -409,7 +409,7 @@ def bkg06_subject_sample(spark, d):
     return background.subject_sample(c, 300).groupBy("subject").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 5000::BIGINT AS n, true AS all_known, true AS spread")
+@query("SELECT 5000::BIGINT AS n, count(*) > 0 AS all_known, max(p_partkey) > min(p_partkey) AS spread FROM part")
 def smp01_with_replacement(spark, d):
     """Draws with replacement: as many as asked for, of rows that are there, from all of the table."""
     p = T.table(spark, d, "part").select("p_partkey")
@@ -477,3 +477,80 @@ def clu04_many_levels(spark, d):
 def clu04_three_levels(spark, d):
     """Three levels: two degrees."""
     return _levels(spark, d, _THREE)
+
+
+# Single linkage, associations, several traits, higher orders, codes --------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {T.CLONES}, {edges_sql('clones', 'clones', 1)}, reach AS (SELECT clone_id AS a, clone_id AS b FROM clones UNION SELECT a, right_ix FROM reach JOIN edges ON left_ix = b),
+c AS (SELECT b AS ix, min(a) AS cluster_id FROM reach GROUP BY b), g AS (SELECT cluster_id, list_sort(list(ix)) AS m, count(*)::BIGINT AS size FROM c GROUP BY cluster_id)
+SELECT cluster_id, array_to_string(m, ',') AS members, size, row_number() OVER (ORDER BY size DESC, cluster_id)::BIGINT AS rank FROM g""")
+def clu02_single_linkage(spark, d):
+    """Single linkage cut at one edit, as clusters with their members, largest first."""
+    c = T.clones(spark, d)
+    out = cluster.clusters_of(cluster.hierarchical(edit_edges(c, c, 1), c, 1, "single", "clone_id"))
+    return out.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+
+
+@query(f"""WITH {T.CELLS}, n AS (SELECT sum(count) AS n FROM cells), r AS (SELECT v_b_gene AS a, sum(count) AS r FROM cells GROUP BY ALL), k AS (SELECT j_b_gene AS b, sum(count) AS c FROM cells GROUP BY ALL),
+x AS (SELECT v_b_gene AS a, j_b_gene AS b, sum(count) AS x FROM cells GROUP BY ALL), ct AS (SELECT a || '/' || b AS left_ix, a, b, coalesce(x, 0)::BIGINT AS ct_0, (r - coalesce(x, 0))::BIGINT AS ct_1, (c - coalesce(x, 0))::BIGINT AS ct_2, (n - r - c + coalesce(x, 0))::BIGINT AS ct_3
+  FROM r CROSS JOIN k CROSS JOIN n LEFT JOIN x USING (a, b)), {_FISHER}, w AS (SELECT *, row_number() OVER (ORDER BY pvalue) AS i, count(*) OVER () AS m FROM v JOIN ct USING (left_ix))
+SELECT a, b, ct_0 AS n_11, round(pvalue, 6) AS pvalue, round(least(1, max((m - i + 1) * pvalue) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING)), 6) AS "FWERp",
+round(least(1, min(m * pvalue / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS "FDRq" FROM w""")
+def tst05_exact_tests(spark, d):
+    """The exact test of every pair of V and J genes, with corrections over all of them."""
+    out = discovery.gene_associations(T.cells(spark, d), ["v_b_gene", "j_b_gene"], "count")
+    return out.select("a", "b", "n_11", *(F.round(c, 6).alias(c) for c in ("pvalue", "FWERp", "FDRq")))
+
+
+_TRAITS = f"""{T.CLONES}, {edges_sql('clones', 'clones', 2)}, o AS (SELECT clone_id AS right_ix, count AS n, cdr1_b_aa AS st, unnest([{{'trait': 'j_b_gene', 'level': j_b_gene}}, {{'trait': 'half', 'level': CASE WHEN count % 2 = 0 THEN 'even' ELSE 'odd' END}}], recursive := true) FROM clones),
+near AS (SELECT left_ix, trait, level, st, sum(n) AS x FROM edges JOIN o USING (right_ix) GROUP BY ALL), lv AS (SELECT trait, level, st, sum(n) AS w FROM o GROUP BY ALL), wh AS (SELECT trait, st, sum(w) AS a FROM lv GROUP BY ALL)"""
+
+
+@query(f"""WITH {_TRAITS}, nx AS (SELECT left_ix, trait, level, sum(x) AS x FROM near GROUP BY ALL), i AS (SELECT left_ix, trait, sum(x) AS i FROM nx GROUP BY ALL), l AS (SELECT trait, level, sum(w) AS w FROM lv GROUP BY ALL), h AS (SELECT trait, sum(a) AS a FROM wh GROUP BY ALL)
+SELECT left_ix, trait, level, (i - x)::BIGINT AS ct_0, (a - w - i + x)::BIGINT AS ct_1, x::BIGINT AS ct_2, (w - x)::BIGINT AS ct_3 FROM nx JOIN i USING (left_ix, trait) JOIN l USING (trait, level) JOIN h USING (trait)""")
+def tst01_several_traits(spark, d):
+    """The cells of every level of two traits at every neighbourhood, in one pass."""
+    c = T.clones(spark, d).withColumn("half", F.when(F.col("count") % 2 == 0, "even").otherwise("odd"))
+    return N.tallies(edit_edges(c, c, 2), c, ["j_b_gene", "half"], clone_id="clone_id")
+
+
+@query(f"""WITH {T.CELLS}, {T.clones_sql('clones0')}, clones AS (SELECT * REPLACE (left(j_b_gene, 1) AS cdr1_b_aa) FROM clones0), {_TRAITS.replace(T.CLONES + ', ', '')}, i AS (SELECT left_ix, trait, st, sum(x) AS i FROM near GROUP BY ALL),
+z AS (SELECT left_ix, trait, level, st, coalesce(x, 0) AS x, i, coalesce(w, 0) AS w, a FROM (SELECT DISTINCT left_ix, trait, level FROM near) JOIN i USING (left_ix, trait) LEFT JOIN near USING (left_ix, trait, level, st) LEFT JOIN lv USING (trait, level, st) JOIN wh USING (trait, st)),
+ct AS (SELECT left_ix, trait, level, (i - x)::DOUBLE AS c0, (a - w - i + x)::DOUBLE AS c1, x::DOUBLE AS c2, (w - x)::DOUBLE AS c3, a::DOUBLE AS n FROM z WHERE trait = 'half')
+SELECT left_ix, trait, level, round(sum(c0 * c3 / n) / nullif(sum(c1 * c2 / n), 0), 6) AS "OR_mh" FROM ct GROUP BY ALL""")
+def tst04_traits_by_stratum(spark, d):
+    """The common odds ratio over strata (here the first letter of the J gene) of every level of a trait at every neighbourhood."""
+    c = T.clones(spark, d).withColumns({"half": F.when(F.col("count") % 2 == 0, "even").otherwise("odd"), "stratum": F.substring("j_b_gene", 1, 1)})
+    cells = N.tallies(edit_edges(c, c, 2), c, ["half"], clone_id="clone_id", stratum="stratum")
+    out = N.mantel_haenszel(cells, ["left_ix", "trait", "level"])
+    return out.select("left_ix", "trait", "level", F.round("OR_mh", 6).alias("OR_mh"))
+
+
+@query(f"""WITH {T.CLONES}, s AS (SELECT cdr3_b_aa AS s, sum(count)::DOUBLE AS c FROM clones GROUP BY 1), d AS (SELECT a.s, b.s AS t, a.c AS x, b.c AS y, levenshtein(a.s, b.s) <= 99 AS near FROM s a, s b)
+SELECT greatest(0, round(1 - sum(d.x * d.y * s.c) FILTER (d.near AND e.near AND f.near) / power((SELECT sum(c) FROM s), 3), 9))::DOUBLE AS fuzzy FROM d JOIN s ON true JOIN d e ON e.s = d.s AND e.t = s.s JOIN d f ON f.s = d.t AND f.t = s.s""")
+def div05_third_order(spark, d):
+    """Draws of three strings by count, of which not all pairs are near: at a threshold that takes all pairs in, so the share is exact."""
+    s = T.clones(spark, d).groupBy("cdr3_b_aa").agg(F.sum("count").alias("count")).withColumnRenamed("cdr3_b_aa", "ix").withColumn("cdr3_b_aa", F.col("ix"))
+    e = E.radius_join(s, s, EDIT, 99, "ix", "ix")
+    return diversity.fuzzy_sampled(e, s, "count", 99, 3, 20_000, clone_id="ix").select(F.round("fuzzy", 9).alias("fuzzy"))
+
+
+_MITO = "concat(substr(" + _CODE_SQL + ", 1, 14), 'WW', substr(" + _CODE_SQL + ", 17, 18), 'M', substr(" + _CODE_SQL + ", 36, 11), '**', substr(" + _CODE_SQL + ", 49))"
+
+
+@query("""WITH p AS (SELECT p_partkey, translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS nt FROM part)
+SELECT p_partkey, array_to_string(list_transform(range(0, 10), lambda i: substr(""" + _MITO + """, 16 * (instr('TCAG', substr(nt, 3 * i + 1, 1)) - 1) + 4 * (instr('TCAG', substr(nt, 3 * i + 2, 1)) - 1) + instr('TCAG', substr(nt, 3 * i + 3, 1)), 1)), '') AS aa FROM p""")
+def scal08_changed_code(spark, d):
+    """Another genetic code: that of vertebrate mitochondria."""
+    nt = F.translate(F.md5(F.col("p_partkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    code = S.changed_code({"TGA": "W", "ATA": "M", "AGA": "*", "AGG": "*"})
+    return T.table(spark, d, "part").select("p_partkey", S.translated(nt, 1, code).alias("aa"))
+
+
+@query(f"WITH {T.CLONES} SELECT v_b_gene AS gene, count(*)::BIGINT AS n FROM clones WHERE right(v_b_gene, 1) NOT IN ('1', '3') GROUP BY v_b_gene")
+def scal01_unknown_genes(spark, d):
+    """Genes that the table lacks, with the clones that name them; here the table has every brand that ends in 1 or 3."""
+    c = T.clones(spark, d)
+    genes = c.filter(F.substring("v_b_gene", -1, 1).isin("1", "3")).select(F.col("v_b_gene").alias("id"), F.lit("human").alias("organism"), F.lit("B").alias("chain"), F.lit("V").alias("region")).distinct()
+    return C.unknown_genes(c, genes, "beta", "human")
