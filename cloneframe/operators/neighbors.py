@@ -238,9 +238,9 @@ def breslow_day(df: DataFrame, group: list[str], names=CELLS, tarone: bool = Tru
 
 def pair_associations(df: DataFrame, first: str, second: str, count: str) -> DataFrame:
     """(first, second, n_11, n_10, n_01, n_00) of every pair of levels; levels are distinct values, a small set by nature."""
-    cells = df.groupBy(first, second).agg(F.sum(count).alias("n_11"))
-    rows, cols = df.groupBy(first).agg(F.sum(count).alias("_r")), df.groupBy(second).agg(F.sum(count).alias("_c"))
-    total = df.agg(F.sum(count).alias("_n"))
+    cells = written(df.groupBy(first, second).agg(F.sum(count).alias("n_11")))
+    rows, cols = cells.groupBy(first).agg(F.sum("n_11").alias("_r")), cells.groupBy(second).agg(F.sum("n_11").alias("_c"))
+    total = cells.agg(F.sum("n_11").alias("_n"))
     every = rows.crossJoin(cols).crossJoin(F.broadcast(total)).join(cells, [first, second], "left").withColumn("n_11", F.coalesce("n_11", F.lit(0)))
     return every.select(
         first, second, "n_11", (F.col("_r") - F.col("n_11")).alias("n_10"), (F.col("_c") - F.col("n_11")).alias("n_01"),
@@ -289,6 +289,7 @@ def quasi_public(
     if summary:
         report = report.join(member_summary(edges, clones, summary, clone_id=clone_id), "left_ix")
     report = filter_query(report, query) if query else report.filter("qpublic")
+    report = written(report)
     if report.isEmpty():
         raise ValueError("no neighbourhood is left")
     return nonredundant(ranked(report, [F.desc("nsubject"), F.desc("k_neighbors"), "left_ix"]), "rank", "neighbors", least_difference)
