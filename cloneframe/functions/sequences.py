@@ -59,11 +59,23 @@ def changed_code(changes: dict[str, str], code: str = _CODE) -> str:
     return "".join(changes.get(c, code[i]) for i, c in enumerate(order))
 
 
+#: Letters of codons, in the order of the lookup's digits; 0 is any other letter.
+_LETTERS = "".join(_MEANS) + "#"
+
+
+@lru_cache(8)
+def _lookup(code: str) -> str:
+    """Residues by the three digits of a codon, ;-joined: # where a codon holds one, X where it has no one meaning."""
+    known = codon_table(code)
+    codons = ("".join(c) for c in product("?" + _LETTERS, repeat=3))
+    return ";".join("#" if "#" in c else known.get(c, "X") for c in codons)
+
+
 def _residue_of(codon: Column, code: str) -> Column:
-    """One search in a text of ;codon=residue entries, cheaper than a map literal's linear lookup."""
-    table = ";" + ";".join(f"{k}={v}" for k, v in codon_table(code).items()) + ";"
-    at = F.instr(F.lit(table), F.concat(F.lit(";"), codon, F.lit("=")))
-    return F.when(codon.contains("#"), "#").when(at > 0, F.substr(F.lit(table), at + 5, F.lit(1))).otherwise("X")
+    """The entry of a constant array at the number that the codon's letters spell: no search in the code."""
+    digit = lambda k: F.instr(F.lit(_LETTERS), F.substr(codon, F.lit(k), F.lit(1)))
+    n = len(_LETTERS) + 1
+    return F.get(F.split(F.lit(_lookup(code)), ";"), (digit(1) * n + digit(2)) * n + digit(3))
 
 
 def translated(c, frame: int = 1, code: str = _CODE) -> Column:
@@ -71,9 +83,9 @@ def translated(c, frame: int = 1, code: str = _CODE) -> Column:
     if frame not in (1, 2, 3, -1, -2, -3):
         raise ValueError("frame must be 1, 2, 3, -1, -2 or -3")
     s = F.upper(_text(c) if frame > 0 else reverse_complement(c))
-    first, n = abs(frame), F.floor((F.length(s) - abs(frame) + 1) / 3).cast("int")
-    letters = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _residue_of(F.substr(s, 3 * i + first, F.lit(3)), code))
-    return F.when(s.isNull(), None).when(n < 1, "").otherwise(F.array_join(letters, ""))
+    # The text is cut into codons once: an expression inside the lambda would be made anew for each of them.
+    codons = F.regexp_extract_all(s if abs(frame) == 1 else F.substr(s, F.lit(abs(frame))), F.lit("(?s).{3}"), F.lit(0))
+    return F.array_join(F.transform(codons, lambda x: _residue_of(x, code)), "")
 
 
 def cdrs_of(aligned, ranges, gaps: bool = True) -> Column:

@@ -1,7 +1,10 @@
 """The stand-in tables go over the lines once, and say the same as the plain joins."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from cloneframe.functions import sequences as S
 from cloneframe.operators import clones as C, neighbors as N
 from cloneframe.plans import queries as Q, testbed as T
 
@@ -52,3 +55,27 @@ def test_numbers_and_usage_read_their_input_once(spark):
 def test_queries_of_clones_do_not_read_lines(spark):
     for name in ("dst13_sparse_add", "pub01_quasi_public", "rad04_rank"):
         assert not {"lineitem.parquet", "orders.parquet"} & read_by(Q.QUERIES[name](spark, SF)), name
+
+
+def test_codons_by_number(spark):
+    """All frames against a plain reading of the table, with ambiguous, gap, unknown, wide and no letters."""
+    rng = random.Random(3)
+    texts = ["", "A", "AT", "acgtnn", None, "ATGß##", "A\nGTTT", "ééé😀AC"] + ["".join(rng.choices("ACGTRYSWKMN#.xacgt", weights=[9] * 4 + [2] * 7 + [1, 1, 1] + [3] * 4, k=rng.randint(0, 40))) for _ in range(200)]
+    table = S.codon_table()
+
+    def plain(s, frame):
+        if s is None or (frame < 0 and set(s) - set("acgtnACGTNRYSWKM.")):
+            return None
+        s = (s if frame > 0 else s[::-1].translate(str.maketrans(S._BASES, S._COMPLEMENTS))).upper()[abs(frame) - 1 :]
+        return "".join("#" if "#" in c else table.get(c, "X") for c in (s[i : i + 3] for i in range(0, len(s) - 2, 3)))
+
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    frames = (1, 2, 3, -1, -2, -3)
+    for r in df.select("s", *(S.translated("s", f).alias(str(f)) for f in frames)).collect():
+        assert [r[str(f)] for f in frames] == [plain(r["s"], f) for f in frames], r["s"]
+
+
+def test_translations_are_made_once_and_spread(spark):
+    """Two milliseconds a part, in one task, before: a gene table's checks made its columns anew, and a small file is one task."""
+    assert "part.parquet" not in read_by(Q.QUERIES["src09_germline_genes"](spark, SF))
+    assert "Exchange hashpartitioning(p_partkey" in Q.QUERIES["scal08_frames"](spark, SF)._jdf.queryExecution().executedPlan().toString()
