@@ -109,6 +109,14 @@ def slices(texts: list[str], room: int = SLICE_CHARS):
         at = end
 
 
+def text_slices(column: pa.Array, room: int, rows: int = 1000):
+    """(place of the first, texts) of ``slices`` of a batch's texts, null ones empty; only ``rows`` of them are Python strings at a time."""
+    for at in range(0, len(column), rows):
+        for part in slices(column.slice(at, rows).fill_null("").to_pylist(), room):
+            yield at, part
+            at += len(part)
+
+
 def _map(df: DataFrame, schema: str, id_col: str, text_col: str, work) -> DataFrame:
     """``work(texts) -> dict of columns`` over slices; the id is carried through."""
 

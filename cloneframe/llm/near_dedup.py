@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_codec import slices
+from .bpe_codec import text_slices
 from .frames import written
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
@@ -164,8 +164,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches):
         for batch in batches:
-            at = 0
-            for part in slices(batch.column(1).fill_null("").to_pylist(), 2_000_000):
+            for at, part in text_slices(batch.column(1), 2_000_000):
                 sets = shingle_sets(part)
                 keys = band_keys(similarity_sketches(sets))
                 size = [len(s) for s in sets]
@@ -178,7 +177,6 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     ],
                     names=[id_col, "n_shingles", "set_hash", "bands"],
                 )
-                at += len(part)
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_shingles long, set_hash binary, bands array<long>")
 
@@ -189,8 +187,7 @@ def full_sets(df: DataFrame, id_col: str, text_col: str, hash_col: str) -> DataF
 
     def run(batches):
         for batch in batches:
-            at = 0
-            for part in slices(batch.column(1).fill_null("").to_pylist(), 2_000_000):
+            for at, part in text_slices(batch.column(1), 2_000_000):
                 sets = shingle_sets(part)
                 wanted = batch.column(2).slice(at, len(part)).to_pylist()
                 own = [k for k, (s, h) in enumerate(zip(sets, wanted)) if len(s) and set_hash(s) == h]
@@ -198,7 +195,6 @@ def full_sets(df: DataFrame, id_col: str, text_col: str, hash_col: str) -> DataF
                     offsets = np.r_[0, np.cumsum([len(sets[k]) for k in own])].astype(np.int32)
                     items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([sets[k].view(np.int64) for k in own])))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)).take(pa.array(own)), items], names=["node", "items"])
-                at += len(part)
 
     return df.select(F.col(id_col), F.col(text_col), F.col(hash_col)).mapInArrow(run, f"node {kind}, items array<long>")
 

@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import CACHE_WORDS, LETTERS, NUMBERS, PLAIN, SPACES, PairIndexBPE
-from .bpe_codec import slices
+from .bpe_codec import text_slices
 from .frames import written
 
 _WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+#: Characters of text whose words a task holds at once (one longer text: that text): words take some fifteen times their text.
+SLICE_CHARS = 3_000_000
 #: Rounds of knapsack pricing at most, steps of multiplicative weights in each, and the gap between cost and bound at which they end.
 ROUNDS, STEPS, GAP = 8, 600, 0.005
 #: Fillings that are drawn, from within this share of the best worth; and the last sharpness of weights as times the first.
@@ -104,8 +106,7 @@ def pieces(
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            at = 0
-            for part in slices([t or "" for t in batch.column(1).to_pylist()]):
+            for at, part in text_slices(batch.column(1), SLICE_CHARS):
                 rows, which = [], []
                 for k, ids in enumerate(enc.encode(part), at):
                     ids += end
@@ -113,7 +114,6 @@ def pieces(
                         cut = ids[a : a + width]
                         which.append(k)
                         rows.append((n, a // 4, len(cut) // 4, zlib.crc32(cut), cut))
-                at += len(part)
                 cols = list(zip(*rows))
                 out = [batch.column(0).take(pa.array(which)), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:4])]
                 if keep_ids:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_codec import slices
+from .bpe_codec import SLICE_CHARS, text_slices
 from .frames import written
 
 #: The ridge is the least of 0.001, 0.003, 0.01, 0.03 and 0.1 at which the non-negative branch hardly binds (a share of the bracket over 0.95) on learning rows by the thousand.
@@ -90,12 +90,10 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches):
         for batch in batches:
-            at = 0
-            for part in slices(batch.column(1).fill_null("").to_pylist()):
+            for at, part in text_slices(batch.column(1), SLICE_CHARS):
                 flat = np.concatenate([features_of(t) for t in part])
                 x = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, FEATURES, dtype=np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), x], names=[id_col, "x"])
-                at += len(part)
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, x array<float>")
 

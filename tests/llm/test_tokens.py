@@ -192,3 +192,17 @@ def test_knapsack_is_exact():
     for w in range(1, 31):
         brute[w] = max([brute[w - 1], *(brute[w - n] + price[n] for n in (3, 5, 7, 11) if n <= w)])
     assert np.allclose(best, brute)
+
+
+def test_slices_of_a_batch_hold_few_texts():
+    """Texts and their words are held a slice at a time: a batch of many rows was text, words and ids at once, 120 MB more a worker."""
+    import pyarrow as pa
+
+    from cloneframe.llm import bpe_codec, packing
+
+    texts = [None, "", "ab" * 40] * 1500 + ["x" * 5000, "y"]
+    got = list(bpe_codec.text_slices(pa.array(texts), 2000))
+    assert [t for _, part in got for t in part] == [t or "" for t in texts]
+    assert [at for at, _ in got] == [sum(len(p) for _, p in got[:i]) for i in range(len(got))]
+    assert all(sum(map(len, part)) <= 2000 or len(part) == 1 for _, part in got) and max(len(p) for _, p in got) <= 1000
+    assert packing.SLICE_CHARS <= 3_000_000
