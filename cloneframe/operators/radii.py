@@ -11,6 +11,29 @@ from .ranks import ranked
 from .regex_join import regex_hits
 
 
+#: Weights of up to ten digits before the point and eighteen after it are summed as decimals.
+_DECIMAL = "decimal(28,18)"
+
+
+def _exact(weight: str) -> Column:
+    """A weight as (exact, rest): a decimal if it is one, else a double. The last digits of a sum of doubles depend on the order of rows, so equal centres would differ; a sum of decimals is exact."""
+    w = F.col(weight).cast("double")
+    d = w.try_cast(_DECIMAL)
+    same = F.coalesce(d.cast("double") == w, F.lit(False))
+    return F.struct(F.when(same, d).alias("exact"), F.when(~same, w).alias("rest"))
+
+
+def _summed(name: str, over=None) -> Column:
+    """The sum of such weights, again as (exact, rest)."""
+    part = lambda k: F.sum(f"{name}.{k}") if over is None else F.sum(f"{name}.{k}").over(over)
+    return F.struct(part("exact").alias("exact"), part("rest").alias("rest"))
+
+
+def _double(weight: Column) -> Column:
+    exact, rest = weight["exact"].cast("double"), weight["rest"]
+    return F.coalesce(exact + rest, exact, rest)
+
+
 def distance_ecdf(
     edges: DataFrame, left: DataFrame, weights: DataFrame, thresholds: list[float] | None = None, weight: str = "weight", pseudo_count: float = 0.0,
     skip_self: bool = False, absolute: bool = False, left_id: str = "clone_ix", right_id: str = "clone_ix",
@@ -20,27 +43,27 @@ def distance_ecdf(
     Without thresholds, every distance of the left row itself is one. ``skip_self`` leaves out the right row of the same
     id, above and below. ``absolute`` divides by the number of right rows.
     """
-    w = weights.select(F.col(right_id).alias("right_ix"), F.col(weight).cast("double").alias("_w"))
-    totals = w.agg((F.count("*").cast("double") if absolute else F.sum("_w")).alias("_total"))
+    w = weights.select(F.col(right_id).alias("right_ix"), _exact(weight).alias("_w"))
+    totals = w.agg((F.count("*").cast("double") if absolute else _double(_summed("_w"))).alias("_total"))
     used = edges.filter("left_ix <> right_ix") if skip_self else edges
-    per = used.join(w, "right_ix").groupBy("left_ix", "dist").agg(F.sum("_w").alias("_w"))
+    per = used.join(w, "right_ix").groupBy("left_ix", "dist").agg(_summed("_w").alias("_w"))
     lefts = left.select(F.col(left_id).alias("left_ix"))
     base = lefts.crossJoin(F.broadcast(totals))
     if skip_self:
-        base = base.join(w.select(F.col("right_ix").alias("left_ix"), F.col("_w").alias("_own")), "left_ix", "left")
+        base = base.join(w.select(F.col("right_ix").alias("left_ix"), _double(F.col("_w")).alias("_own")), "left_ix", "left")
         base = base.withColumn("_total", F.col("_total") - (F.lit(1.0) if absolute else F.coalesce("_own", F.lit(0.0)))).drop("_own")
     if thresholds is None:
         run = Window.partitionBy("left_ix").orderBy("dist").rowsBetween(Window.unboundedPreceding, 0)
-        grid = per.select("left_ix", F.col("dist").alias("threshold"), F.sum("_w").over(run).alias("_in"))
+        grid = per.select("left_ix", F.col("dist").alias("threshold"), _double(_summed("_w", run)).alias("_in"))
         out = base.join(grid, "left_ix")
     else:
         # One row for each left row and first threshold that takes the distance in, then running sums over the grid.
         steps = F.array(*(F.lit(float(t)) for t in sorted(thresholds)))
         first = per.withColumn("threshold", F.array_min(F.filter(steps, lambda t: t >= F.col("dist")))).filter("threshold is not null")
-        sums = first.groupBy("left_ix", "threshold").agg(F.sum("_w").alias("_w"))
+        sums = first.groupBy("left_ix", "threshold").agg(_summed("_w").alias("_w"))
         run = Window.partitionBy("left_ix").orderBy("threshold").rowsBetween(Window.unboundedPreceding, 0)
         grid = base.withColumn("threshold", F.explode(steps)).join(sums, ["left_ix", "threshold"], "left")
-        out = grid.withColumn("_in", F.sum(F.coalesce("_w", F.lit(0.0))).over(run))
+        out = grid.withColumn("_in", F.coalesce(_double(_summed("_w", run)), F.lit(0.0)))
     return out.select("left_ix", "threshold", ((F.col("_in") + pseudo_count) / (F.col("_total") + pseudo_count)).alias("ecdf"))
 
 
@@ -82,10 +105,10 @@ def background_control(
     ecdf = distance_ecdf(background_edges, target, background, thresholds, weight, absolute=True, left_id=target_id, right_id=background_id)
     chosen = radii(ecdf, control)
     chosen = written(chosen.withColumn("radius", F.least("radius", F.lit(float(most)))) if most is not None else chosen)
-    w = background.select(F.col(background_id).alias("right_ix"), F.col(weight).cast("double").alias("_w"))
+    w = background.select(F.col(background_id).alias("right_ix"), _exact(weight).alias("_w"))
     near = lambda e: e.join(chosen, "left_ix").filter(F.col("dist") <= F.col("radius"))
     hits = near(target_edges).groupBy("left_ix").agg(F.count("*").alias("target_hits"))
-    bg = near(background_edges).join(w, "right_ix").groupBy("left_ix").agg(F.count("*").alias("bkgd_hits"), F.sum("_w").alias("bkgd_weighted"))
+    bg = near(background_edges).join(w, "right_ix").groupBy("left_ix").agg(F.count("*").alias("bkgd_hits"), _double(_summed("_w")).alias("bkgd_weighted"))
     sizes = target.agg(F.count("*").alias("n1")).crossJoin(background.agg(F.count("*").alias("n2")))
     out = chosen.join(hits, "left_ix", "left").join(bg, "left_ix", "left").fillna(0, ["target_hits", "bkgd_hits", "bkgd_weighted"]).crossJoin(F.broadcast(sizes))
     return _contrasts(out, "target_hits", "bkgd_weighted", "", "chi2dist")
@@ -104,7 +127,7 @@ def regex_control(
         return regex_hits(clones, distinct, cdr3, "regex").groupBy("regex").agg(*sums)
 
     inside = counted(target.select(cdr3), [F.count("*").alias("target_re_hits")])
-    outside = counted(background.select(cdr3, weight), [F.count("*").alias("bkgd_re_hits"), F.sum(F.col(weight).cast("double")).alias("bkgd_re_weighted")])
+    outside = counted(background.select(cdr3, _exact(weight).alias("_w")), [F.count("*").alias("bkgd_re_hits"), _double(_summed("_w")).alias("bkgd_re_weighted")])
     out = stats.join(own, "left_ix", "left").join(inside, "regex", "left").join(outside, "regex", "left").fillna(0, ["target_re_hits", "bkgd_re_hits", "bkgd_re_weighted"])
     out = _contrasts(out, "target_re_hits", "bkgd_re_weighted", "_re", "chi2re", "TR")
     return out.withColumn("chi2joint", beta_re * F.col("chi2re") + beta_dist * F.col("chi2dist"))
